@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, secret_scan, token_counts
+from . import packing, quality_rules, secret_scan, simhash, token_counts
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_report(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_secrets, op7_token_counts, op9_quality)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_fingerprints, op6_secrets, op7_token_counts, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
