@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, secret_scan, simhash, token_counts
+from . import license_scan, packing, quality_rules, secret_scan, simhash, token_counts
 from .common import table
 
 
@@ -34,5 +34,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_fingerprints, op6_secrets, op7_token_counts, op9_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.with_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_fingerprints, op6_secrets, op7_token_counts, op9_quality, op10_licenses)}
+ORACLE_SQL: dict[str, str] = {"op10_licenses": license_scan.oracle_sql()}
