@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java and Python form of what separates words: space and \x09-\x0D. ``bytes.split()`` splits at the same six bytes.
@@ -67,6 +67,11 @@ def add_columns(df: DataFrame, text_col: str, keep: list[str] | None, new: str,
     return rows.mapInArrow(run, schema)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once: the only element of an array, bound by a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 class TwoGenerations:
     """A bounded cache: when the young half is full the old half is forgotten, what is used in between stays."""
 

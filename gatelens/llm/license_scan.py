@@ -20,10 +20,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
 from .license_texts import TEMPLATES
 
 #: Common words that would let nearly every text pass as anchors.
-COMMON = frozenset("a above all an and any are as at be but by can copies do for form free from has have hope if in into is it list may met more must no not of on one or other out related see should so source such terms that the this to under use used was will with without work you".split())
+COMMON = frozenset("a above all an and any are as at be but by can copies do for form free from has have hope if in into is it list may met mit more must no not of on one or other out related sa see should so source such terms that the this to under use used was will with without work you".split())
 PARTS = ("n_licenses", "license", "dice", "licenses")
 
 
@@ -69,8 +70,8 @@ def _units(text: Column) -> Column:
 
 
 def _pairs(unit: Column) -> Column:
-    words = F.split(unit, " ")
-    return F.array_distinct(F.slice(F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))), 1, F.size(words) - 1))
+    pairs = lambda words: F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    return F.array_distinct(F.filter(let(F.split(unit, " "), pairs), lambda p: p.isNotNull()))
 
 
 def with_licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -82,10 +83,11 @@ def with_licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None
     low = min(math.ceil(round(threshold / (2 - threshold) * len(p), 9)) for _, p in sized)
     high = max(math.floor(round((2 - threshold) / threshold * len(p), 9)) for _, p in sized)
     words = F.array(*map(F.lit, anchors(templates, threshold)))
-    has_anchor = lambda unit: F.arrays_overlap(F.split(unit, " "), words)
+    # anchors are ASCII, so cutting at other letters too can only let a text pass, never stop one
+    has_anchor = lambda unit: F.arrays_overlap(F.split(unit, "[^a-z0-9]+"), words)
     empty = F.expr("cast(array() as array<string>)")
     rows = df.select(*kept, text.alias("__t"))
-    rows = rows.select(*kept, F.when(has_anchor(_normal(F.col("__t"))), F.filter(_units(F.col("__t")), has_anchor)).otherwise(empty).alias("__units"))
+    rows = rows.select(*kept, F.when(has_anchor(F.lower("__t")), F.filter(_units(F.col("__t")), has_anchor)).otherwise(empty).alias("__units"))
     # words of a unit bound its distinct pairs from above only, so the pairs decide about the lower bound again
     rows = rows.select(*kept, F.filter(F.transform("__units", _pairs), lambda p: F.size(p).between(low, high)).alias("__pairs"))
 

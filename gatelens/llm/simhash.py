@@ -1,4 +1,4 @@
-"""SimHash fingerprints of texts, in column expressions, and the search of all fingerprints within a Hamming radius.
+"""SimHash fingerprints of texts, in column expressions, and the search for all fingerprints within a Hamming radius.
 
 Terms are pairs of neighbouring words ``[^\\x20\\x09-\\x0D]+`` (the last word also alone), hashed to 64 bits; each
 occurrence votes on each bit, so a term weighs as often as it occurs. A bit is set when more than half of the votes
@@ -21,34 +21,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, written
+from .common import BLANKS, let, written
 
 #: Lanes of 16 bits in a long, and the number of votes that none of them can overflow.
 LANES, RUN = 0x0001000100010001, 32_767
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once: the only element of an array, bound by a lambda."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def fingerprints(rows: DataFrame, texts: list[str]) -> DataFrame:
+    """Replaces each text column of ``texts`` by its 64-bit SimHash. The other columns must tell rows apart.
 
+    A text becomes rows of neighbouring words that are summed up again in the same task where ``rows`` are already
+    dealt by one of the other columns: the words of a text never travel."""
+    others = [F.col(c) for c in rows.columns if c not in texts]
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), BLANKS)
+    cut = rows.select(*others, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(texts)])).alias("of"))
+    cut = cut.select(*others, "of.which", F.col("of.text").alias("text")).select(*others, "which", words.alias("words"))
+    cut = cut.select(*others, "which", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("b"))).alias("at", "pair"))
+    term = cut.select(*others, "which", F.floor(F.col("at") / RUN).cast("int").alias("run"), F.xxhash64("pair.a", "pair.b").alias("h"), (F.col("pair.a") != "").alias("any"))
+    lane = lambda k: F.sum(F.when(F.col("any"), F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANES))).otherwise(F.lit(0))).alias(f"v{k}")
+    runs = term.groupBy(*others, "which", "run").agg(F.count("*").alias("n"), *[lane(k) for k in range(16)])
+    runs = runs.groupBy(*others).agg(F.collect_list(F.struct("which", "n", *[f"v{k}" for k in range(16)])).alias("runs"))
+    of = lambda i: F.filter("runs", lambda r: r["which"] == i)
+    return runs.select(*others, *[let(of(i), _bits).alias(c) for i, c in enumerate(texts)])
 
-def fingerprint(text: Column) -> Column:
-    """64-bit SimHash of a text column, as long."""
-    found = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    hashes = _let(found, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))))
-    return _let(hashes, lambda h: _let(_votes(h), lambda runs: _bits(runs, F.size(h))))
 
-
-def _votes(hashes: Column) -> Column:
-    """For each run of hashes 16 longs, each with the votes for four bits."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"v{k}") for k in range(16)])
-    add = lambda s, h: F.struct(*[(s[f"v{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES))).alias(f"v{k}") for k in range(16)])
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(RUN)), lambda at: at <= F.size(hashes))
-    return F.transform(starts, lambda at: F.aggregate(F.slice(hashes, at, F.lit(RUN)), zero, add))
-
-
-def _bits(runs: Column, n: Column) -> Column:
-    """The bits that have more than half of n votes."""
+def _bits(runs: Column) -> Column:
+    """The bits that have more than half of the votes of all runs."""
+    n = F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["n"])
     out = F.lit(0).cast("long")
     for b in range(64):
         in_lane = lambda r, k=b % 16, lane=b // 16: F.shiftrightunsigned(r[f"v{k}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
@@ -144,11 +143,9 @@ def fingerprint_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))
-    rows = rows.select("doc_id", "bucket", "rn", "next_bucket", "next_rn", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    base = written(
-        rows.select("doc_id", "bucket", "rn", "next_bucket", "next_rn", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("edited_fp")),
-        "fingerprints",
-    )
+    rows = rows.select("doc_id", "bucket", "rn", "next_bucket", "next_rn", n.cast("long").alias("n_chars"), F.col("text").alias("fp"), edited.alias("edited_fp"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited_fp", 256))
+    base = written(fingerprints(rows, ["fp", "edited_fp"]), "fingerprints")
     prints = base.groupBy("fp").agg(F.count("*").alias("copies"), F.max(F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))).alias("asked"))
     near = within_radius(prints.where("asked").select("fp"), prints.select("fp"), radius)
     near = near.join(prints.select(F.col("fp").alias("other"), "copies"), "other").groupBy("fp").agg((F.sum("copies") - 1).alias("n_near"))
