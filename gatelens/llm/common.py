@@ -111,3 +111,42 @@ def frequent_pieces(df: DataFrame, text_col: str, cut: Callable[[str], list], si
     counts = df.select(F.col(text_col).cast("string")).mapInArrow(count, "piece binary, n bigint")
     top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
     return [bytes(r.piece) for r in top.collect()]  # at most size rows of at most longest bytes
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of sorted batches with one key each, and whether a slice goes on with the key of the one before it."""
+    import numpy as np
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield keys[lo] == last, batch.slice(lo, hi - lo)
+            last = keys[lo]
+
+
+def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, comp for every node of the links (a long, b long): comp is the smallest node that can be reached.
+
+    Large-star and small-star steps in turn: every step joins each node's neighbours to the smallest of them, so a
+    component becomes a star in a number of rounds that grows with the logarithm of its size. No group is collected: a node's
+    smallest neighbour is an aggregate that is joined back. Each round is written to the shared folder."""
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    mark = None
+    for _ in range(rounds):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        edges = written(small, "links")
+        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
