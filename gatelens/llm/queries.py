@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_report(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.with_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_fingerprints, op6_secrets, op7_token_counts, op9_quality, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {"op2_repeats": substring_dedup.ORACLE_SQL, "op10_licenses": license_scan.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_fingerprints, op5_near_duplicates, op6_secrets, op7_token_counts, op9_quality, op10_licenses)}
+ORACLE_SQL: dict[str, str] = {"op2_repeats": substring_dedup.ORACLE_SQL, "op5_near_duplicates": minhash_dedup.ORACLE_SQL, "op10_licenses": license_scan.oracle_sql()}
