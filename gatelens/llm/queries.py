@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, source_mixing, substring_dedup, token_counts
 from .common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.with_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_fingerprints, op5_near_duplicates, op6_secrets, op7_token_counts, op9_quality, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {"op2_repeats": substring_dedup.ORACLE_SQL, "op5_near_duplicates": minhash_dedup.ORACLE_SQL, "op10_licenses": license_scan.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_repeats, op3_packing, op4_fingerprints, op5_near_duplicates, op6_secrets, op7_token_counts, op9_quality, op10_licenses)}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": source_mixing.oracle_sql(), "op2_repeats": substring_dedup.ORACLE_SQL, "op5_near_duplicates": minhash_dedup.ORACLE_SQL, "op10_licenses": license_scan.oracle_sql()}
