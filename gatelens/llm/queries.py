@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, source_mixing, substring_dedup, token_counts
+from . import html_extract, license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, source_mixing, substring_dedup, token_counts
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -50,5 +54,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.with_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_repeats, op3_packing, op4_fingerprints, op5_near_duplicates, op6_secrets, op7_token_counts, op9_quality, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_repeats, op3_packing, op4_fingerprints, op5_near_duplicates, op6_secrets, op7_token_counts, op8_main_text, op9_quality, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": source_mixing.oracle_sql(), "op2_repeats": substring_dedup.ORACLE_SQL, "op5_near_duplicates": minhash_dedup.ORACLE_SQL, "op10_licenses": license_scan.oracle_sql()}
