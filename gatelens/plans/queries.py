@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import boxes, gates, identity
+from ..operators import boxes, gates, identity, reports
 from ..sources.views import VIEWS, inlined, view
 
 IOU = """CASE WHEN un > 0 THEN inter / un ELSE 0.0 END"""
@@ -43,6 +43,16 @@ SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str]] = {
     "latency_summary": (identity.latency_summary, ["v_timing"], "SELECT stage, count(ms) AS n, round(avg(ms), 6) AS mean, round(stddev_pop(ms), 6) AS std, min(ms) AS low, max(ms) AS high, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, round(CASE WHEN avg(ms) > 0 THEN 1000 / avg(ms) ELSE 0.0 END, 6) AS fps FROM {v_timing} t GROUP BY stage"),
     "value_histogram": (identity.value_histogram, ["v_timing"], "SELECT CAST(CASE WHEN hi > lo THEN least(floor((ms - lo) / ((hi - lo) / 25)), 24) ELSE 0 END AS BIGINT) AS bin, count(*) AS n FROM {v_timing} t, (SELECT min(ms) AS lo, max(ms) AS hi FROM {v_timing} u) s WHERE ms IS NOT NULL GROUP BY 1"),
     "edit_cer": (identity.edit_cer, ["v_reads"], "SELECT event_id, CAST(levenshtein(base, pred) AS BIGINT) AS dist, round(levenshtein(base, pred) / greatest(length(base), 1), 6) AS cer FROM {v_reads} r"),
+    "event_union": (reports.event_union, ["v_gate"], f"SELECT event_id, lot, plate, ts, kind AS type FROM ({ACCEPTED}) a"),
+    "active_from_events": (reports.active_from_events, ["v_gate"], f"SELECT lot, plate, entry_id, entry_ts FROM ({SESSIONS}) s WHERE exit_ts IS NULL"),
+    "dup_semi_join": (reports.dup_semi_join, ["v_gate"], "SELECT event_id, lot, plate, ts FROM (SELECT *, lag(kind) OVER (PARTITION BY lot, plate ORDER BY ts, event_id) AS before FROM {v_gate} g) q WHERE kind = 'entry' AND before = 'entry'"),
+    "prefix_group": (reports.prefix_group, ["v_reads"], "SELECT split_part(raw, '-', 1) AS prefix, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM {v_reads} r WHERE raw <> '' GROUP BY 1"),
+    "min_group_size": (reports.min_group_size, ["v_gate"], "SELECT event_id, plate FROM (SELECT *, count(*) OVER (PARTITION BY plate) AS n FROM {v_gate} g) q WHERE n >= 2"),
+    "pattern_exclude": (reports.pattern_exclude, ["v_reads"], "SELECT event_id, pred FROM {v_reads} r WHERE NOT regexp_matches(pred, '^[0-9]{2}[A-Z][0-9]{6}$')"),
+    "asof_frames": (reports.asof_frames, ["v_reads", "v_faces"], "SELECT r.event_id, f.image_id FROM {v_reads} r ASOF LEFT JOIN (SELECT * FROM {v_faces} g WHERE n_faces > 0) f ON f.lane = r.lane AND r.ts >= f.ts"),
+    "worst_strings": (reports.worst_strings, ["v_reads"], "SELECT * FROM (SELECT event_id, CAST(levenshtein(base, pred) AS BIGINT) AS dist, round(levenshtein(base, pred) / greatest(length(base), 1), 6) AS cer FROM {v_reads} r) q WHERE cer > 0 ORDER BY cer DESC, dist DESC, event_id LIMIT 50"),
+    "confusion_counts": (reports.confusion_counts, ["v_reads"], "SELECT truth, said, count(*) AS n FROM (SELECT unnest(string_split(base, '')) AS truth, unnest(string_split(pred, '')) AS said FROM {v_reads} r) q WHERE truth <> '' AND said <> '' GROUP BY ALL"),
+    "threshold_sweep": (reports.threshold_sweep, ["v_exit", "v_active"], "SELECT CAST(thr AS INT) AS thr, CAST(sum(CASE WHEN (floor(sim * 100) >= thr) = same THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) AS n FROM (SELECT x.identity = a.identity AS same, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) p, range(100) t(thr) GROUP BY 1"),
 }
 
 
