@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import boxes, gates, identity, reports
 from ..sources.views import VIEWS, inlined, view
+from ..streaming.counts import stream_hourly_counts
 
 IOU = """CASE WHEN un > 0 THEN inter / un ELSE 0.0 END"""
 ACCEPTED = "SELECT * FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY lot, plate ORDER BY ts, event_id), 'exit') AS before FROM {v_gate} g) q WHERE kind <> before"
@@ -61,7 +62,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: operator(*[view(spark, sf_dir, v) for v in inputs])
 
 
-QUERIES = {name: _query(name) for name in SPECS}
+QUERIES = {name: _query(name) for name in SPECS} | {"stream_hourly_counts": stream_hourly_counts}
 
 
 def _oracle(sql: str) -> str:
@@ -69,4 +70,4 @@ def _oracle(sql: str) -> str:
     return re.sub(r"\{(v_\w+)\}", lambda m: f"({inlined(VIEWS[m[1]])})", sql)
 
 
-ORACLE_SQL = {name: _oracle(sql) for name, (_, _, sql) in SPECS.items()}
+ORACLE_SQL = {name: _oracle(sql) for name, (_, _, sql) in SPECS.items()} | {"stream_hourly_counts": "SELECT user_id AS lane, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL"}
