@@ -24,13 +24,16 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only where the session names none, as in tests, one is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    """The folder all executors see. Only where the session names none, as in tests on one machine, one is made."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not _OWN_DIR:
+        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _OWN_DIR[0]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
