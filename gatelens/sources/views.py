@@ -15,6 +15,7 @@ VIEWS = {
     "v_truth": """SELECT frame_id, det_id AS truth_id, x1 + (k % 4) * 4 AS x1, y1 + (k % 3) * 3 AS y1, x2 + (k % 4) * 4 AS x2, y2 + (k % 3) * 3 AS y2 FROM {v_det} d WHERE det_id % 2 = 1""",
     "v_chars": """SELECT l_orderkey AS crop_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS char_id,
  substring('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + l_suppkey % 36 AS INT), 1) AS ch, CAST(l_partkey % 300 AS DOUBLE) AS cx,
+ CAST((l_linenumber % 2) * 40 + l_suppkey % 7 AS DOUBLE) AS cy, CAST(24 + l_partkey % 6 AS DOUBLE) AS h,
  CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 997 AS DOUBLE) / 997 AS conf FROM {lineitem}""",
     "v_reads": """SELECT event_id, user_id AS lane, ts, base, CASE event_type WHEN 'error' THEN '' WHEN 'click' THEN lower(substring(base, 1, 4)) || '-' || substring(base, 5, 5)
   WHEN 'signup' THEN replace(base, '0', 'O') WHEN 'purchase' THEN substring(base, 1, 4) || '-' || substring(base, 5, 3) || '.' || substring(base, 8, 2) ELSE base END AS raw,
@@ -25,6 +26,11 @@ FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 A
     "v_faces": """SELECT event_id AS image_id, user_id AS lane, ts, value AS blur, CAST(event_id * 7 % 256 AS DOUBLE) AS brightness, CAST(40 + event_id % 160 AS INT) AS w, CAST(40 + event_id % 120 AS INT) AS h, CAST(event_id % 3 AS INT) AS n_faces FROM {events} e""",
     "v_active": """SELECT vec_id AS id, 'P' || CAST(CAST(floor(vec_id / 2) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 0""",
     "v_exit": """SELECT vec_id AS id, 'P' || CAST(CAST(floor(vec_id / 2) + (CASE WHEN vec_id % 10 = 1 THEN 1000000 ELSE 0 END) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 1""",
+    "v_label_lines": """SELECT CAST(frame_id AS STRING) AS stem, det_id AS line_no, CASE WHEN x1 % 17 = 0 THEN '' WHEN x1 % 13 = 0 THEN '7 0.5 0.5' WHEN x1 % 11 = 0 THEN '99 0.5 0.5 0.1 0.1' WHEN x1 % 7 = 0 THEN 'x 0.5 0.5 0.1 0.1'
+  ELSE CAST(x1 % 36 AS STRING) || ' 0.' || CAST(10 + y1 % 80 AS STRING) || ' 0.5 0.25 0.125' END AS line FROM {v_det} d""",
+    "v_truth_lines": """SELECT event_id AS line_no, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'damaged' ELSE 'img' || CAST(event_id % 700 AS STRING) || '.jpg' || (CASE WHEN event_id % 2 = 0 THEN chr(9) ELSE ',' END) || raw END AS line FROM {v_reads} r""",
+    "v_variants": """SELECT CAST(floor(event_id / 3) AS BIGINT) AS crop_id, event_id % 3 AS variant, raw AS text, CAST(event_id * 37 % 101 AS DOUBLE) / 101 AS conf, CASE WHEN event_id % 4 > 0 THEN CAST(event_id * 37 % 101 AS DOUBLE) / 101 END AS score FROM {v_reads} r""",
+    "v_vector_text": """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '[' || CAST(event_id AS STRING) || '.5, ' || CAST(event_id % 7 AS STRING) || '.25,3]' WHEN 1 THEN CAST(event_id AS STRING) || ' 1 2' WHEN 2 THEN '[1,2]' WHEN 3 THEN 'x,1,2' ELSE '' END AS txt FROM {events} e""",
     "v_timing": """SELECT event_type AS stage, value AS ms FROM {events} e""",
 }
 
