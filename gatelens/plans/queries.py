@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import boxes, gates, identity, reports
 from ..sources.views import VIEWS, inlined, view
 from ..streaming.counts import stream_hourly_counts
-from . import text
+from . import matching, text
 
 IOU = """CASE WHEN un > 0 THEN inter / un ELSE 0.0 END"""
 ACCEPTED = "SELECT * FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY lot, plate ORDER BY ts, event_id), 'exit') AS before FROM {v_gate} g) q WHERE kind <> before"
@@ -57,7 +57,7 @@ SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str]] = {
     "threshold_sweep": (reports.threshold_sweep, ["v_exit", "v_active"], "SELECT CAST(thr AS INT) AS thr, CAST(sum(CASE WHEN (floor(sim * 100) >= thr) = same THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) AS n FROM (SELECT x.identity = a.identity AS same, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) p, range(100) t(thr) GROUP BY 1"),
 }
 
-SPECS |= text.SPECS
+SPECS |= text.SPECS | matching.SPECS
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -70,7 +70,8 @@ QUERIES = {name: _query(name) for name in SPECS} | {"stream_hourly_counts": stre
 
 def _oracle(sql: str) -> str:
     # braces of struct literals are not view names, so only known names are replaced
-    return re.sub(r"\{(v_\w+)\}", lambda m: f"({inlined(VIEWS[m[1]])})", sql)
+    # and the views' ``array`` is ``list_value`` there
+    return re.sub(r"\{(v_\w+)\}", lambda m: f"({re.sub(r'\barray\(', 'list_value(', inlined(VIEWS[m[1]]))})", sql)
 
 
 ORACLE_SQL = {name: _oracle(sql) for name, (_, _, sql) in SPECS.items()} | {"stream_hourly_counts": "SELECT user_id AS lane, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL"}

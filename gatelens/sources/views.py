@@ -26,6 +26,10 @@ FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 A
     "v_faces": """SELECT event_id AS image_id, user_id AS lane, ts, value AS blur, CAST(event_id * 7 % 256 AS DOUBLE) AS brightness, CAST(40 + event_id % 160 AS INT) AS w, CAST(40 + event_id % 120 AS INT) AS h, CAST(event_id % 3 AS INT) AS n_faces FROM {events} e""",
     "v_active": """SELECT vec_id AS id, 'P' || CAST(CAST(floor(vec_id / 2) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 0""",
     "v_exit": """SELECT vec_id AS id, 'P' || CAST(CAST(floor(vec_id / 2) + (CASE WHEN vec_id % 10 = 1 THEN 1000000 ELSE 0 END) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 1""",
+    "v_det_ch": """SELECT *, substring('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + det_id % 36 AS INT), 1) AS ch FROM {v_det} d""",
+    "v_truth_ch": """SELECT *, substring('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + (truth_id + (CASE WHEN x1 % 5 = 0 THEN 1 ELSE 0 END)) % 36 AS INT), 1) AS ch FROM {v_truth} t""",
+    "v_anchors": """SELECT event_id AS frame_id, array(CAST(event_id % 50 AS DOUBLE), CAST(event_id % 60 AS DOUBLE), CAST(30 AS DOUBLE)) AS cx, array(CAST(event_id % 40 AS DOUBLE), CAST(12 AS DOUBLE), CAST(20 AS DOUBLE)) AS cy, array(CAST(8 AS DOUBLE), CAST(10 AS DOUBLE), CAST(event_id % 9 AS DOUBLE)) AS w, array(CAST(4 AS DOUBLE), CAST(6 AS DOUBLE), CAST(8 AS DOUBLE)) AS h,
+  array(array(CAST(event_id % 100 AS DOUBLE) / 100, CAST(0.5 AS DOUBLE), CAST(event_id % 7 AS DOUBLE) / 7), array(CAST(event_id % 90 AS DOUBLE) / 90, CAST(0.5 AS DOUBLE), CAST(event_id % 11 AS DOUBLE) / 11)) AS scores FROM {events} e""",
     "v_label_lines": """SELECT CAST(frame_id AS STRING) AS stem, det_id AS line_no, CASE WHEN x1 % 17 = 0 THEN '' WHEN x1 % 13 = 0 THEN '7 0.5 0.5' WHEN x1 % 11 = 0 THEN '99 0.5 0.5 0.1 0.1' WHEN x1 % 7 = 0 THEN 'x 0.5 0.5 0.1 0.1'
   ELSE CAST(x1 % 36 AS STRING) || ' 0.' || CAST(10 + y1 % 80 AS STRING) || ' 0.5 0.25 0.125' END AS line FROM {v_det} d""",
     "v_truth_lines": """SELECT event_id AS line_no, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'damaged' ELSE 'img' || CAST(event_id % 700 AS STRING) || '.jpg' || (CASE WHEN event_id % 2 = 0 THEN chr(9) ELSE ',' END) || raw END AS line FROM {v_reads} r""",
