@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import boxes, gates, identity, reports
 from ..sources.views import VIEWS, inlined, view
 from ..streaming.counts import stream_hourly_counts
-from . import matching, text
+from . import matching, search, text
 
 IOU = """CASE WHEN un > 0 THEN inter / un ELSE 0.0 END"""
 ACCEPTED = "SELECT * FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY lot, plate ORDER BY ts, event_id), 'exit') AS before FROM {v_gate} g) q WHERE kind <> before"
@@ -19,7 +19,7 @@ SESSIONS = f"""SELECT lot, plate, event_id AS entry_id, ts AS entry_ts, exit_ts,
 GATE = "blur >= 50 AND brightness > 30 AND brightness < 230"
 
 #: name -> operator, its input tables or views, SQL.
-SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str]] = {
+SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str | None]] = {
     "conf_filter": (boxes.conf_filter, ["v_det"], "SELECT * FROM {v_det} d WHERE conf >= 0.4"),
     "box_geometry": (boxes.box_geometry, ["v_det"], "SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h FROM {v_det} d"),
     "box_clamp": (boxes.box_clamp, ["v_det"], "SELECT * FROM (SELECT frame_id, det_id, least(greatest(x1, 0), 200) AS x1, least(greatest(y1, 0), 100) AS y1, least(greatest(x2, 0), 200) AS x2, least(greatest(y2, 0), 100) AS y2, conf FROM {v_det} d) q WHERE x2 > x1 AND y2 > y1"),
@@ -57,7 +57,7 @@ SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str]] = {
     "threshold_sweep": (reports.threshold_sweep, ["v_exit", "v_active"], "SELECT CAST(thr AS INT) AS thr, CAST(sum(CASE WHEN (floor(sim * 100) >= thr) = same THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) AS n FROM (SELECT x.identity = a.identity AS same, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) p, range(100) t(thr) GROUP BY 1"),
 }
 
-SPECS |= text.SPECS | matching.SPECS
+SPECS |= text.SPECS | matching.SPECS | search.SPECS
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -74,4 +74,4 @@ def _oracle(sql: str) -> str:
     return re.sub(r"\{(v_\w+)\}", lambda m: f"({re.sub(r'\barray\(', 'list_value(', inlined(VIEWS[m[1]]))})", sql)
 
 
-ORACLE_SQL = {name: _oracle(sql) for name, (_, _, sql) in SPECS.items()} | {"stream_hourly_counts": "SELECT user_id AS lane, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL"}
+ORACLE_SQL = {name: _oracle(sql) for name, (_, _, sql) in SPECS.items() if sql} | {"stream_hourly_counts": "SELECT user_id AS lane, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL"}

@@ -1,12 +1,12 @@
 import pytest
 
 from gatelens.operators import boxes, gates
-from gatelens.plans.queries import QUERIES
+from gatelens.plans.queries import ORACLE_SQL
 
 from .oracle import compare
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_rows_equal_sql(spark, name):
     compare(spark, name)
 
