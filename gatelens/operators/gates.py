@@ -67,3 +67,44 @@ def frame_sample(frames: DataFrame, every: int = 3) -> DataFrame:
 def fps_per_second(frames: DataFrame) -> DataFrame:
     """Frames of each lane in each second that has any."""
     return frames.groupBy("lane", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second")).agg(F.count("*").alias("frames"))
+
+
+def event_feed(events: DataFrame, most: int = 50) -> DataFrame:
+    """The newest accepted events."""
+    newest = accepted(events).orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
+    return newest.select("event_id", "lot", "plate", "ts", F.col("kind").alias("type"))
+
+
+def session_display(events: DataFrame) -> DataFrame:
+    """entry_id, plate, entered, left ('' while in), stay: texts for a listing."""
+    iso = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    stay = F.coalesce(F.concat(F.col("duration_min").cast("string"), F.lit(" min")), F.lit(""))
+    return session_pairing(events).select("entry_id", "plate", iso("entry_ts").alias("entered"), iso("exit_ts").alias("left"), stay.alias("stay"))
+
+
+def source_route(frames: DataFrame) -> DataFrame:
+    """event_id, source: frames of source 0 are plates, of source 1 faces; others are dropped."""
+    return frames.where("source_id IN (0, 1)").select("event_id", F.when(F.col("source_id") == 0, "plate").otherwise("face").alias("source"))
+
+
+def like_scope(events: DataFrame, pattern: str = "P1_%") -> DataFrame:
+    """Events whose plate is LIKE the pattern; an underscore stands for any one character."""
+    return events.where(F.col("plate").like(pattern)).select("event_id", "plate")
+
+
+def scan_active(active: DataFrame, plate: str | None = None) -> DataFrame:
+    """id, plate, identity of the gallery, all of it or one plate; the vectors are not read."""
+    return (active if plate is None else active.where(F.col("plate") == plate)).select("id", "plate", "identity")
+
+
+def plate_suffix_join(exits: DataFrame, keyed: DataFrame) -> DataFrame:
+    """event_id, key for keys 'PREFIX|plate' whose last part is the plate: the key is split once, so it is an equi join."""
+    return exits.select("event_id", "plate").join(keyed.select("key", F.substring_index("key", "|", -1).alias("plate")), "plate").select("event_id", "key")
+
+
+def camera_health(frames: DataFrame, gap: str = "6 hours") -> DataFrame:
+    """lane, up_from, up_to, frames for each period in which the frames of a lane follow each other within the gap."""
+    order = W.partitionBy("lane").orderBy("ts", "event_id")
+    late = F.coalesce(F.col("ts") > F.lag("ts").over(order) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    periods = frames.withColumn("late", late).withColumn("period", F.sum(F.col("late").cast("int")).over(order))
+    return periods.groupBy("lane", "period").agg(F.min("ts").alias("up_from"), F.max("ts").alias("up_to"), F.count("*").alias("frames")).drop("period")

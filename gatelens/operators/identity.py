@@ -55,13 +55,18 @@ def first_n_per_group(rows: DataFrame, most: int = 2) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("identity", "id", "place")
 
 
-def split_hold_out(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """id, part: exactly a fifth (rounded down) of the rows in val, by md5 order; ranked over hash ranges, so no task sorts all."""
+def hash_rank(rows: DataFrame, seed: int) -> DataFrame:
+    """id, at (place from 1 in md5 order), all_n; ranked over hash ranges, so no task sorts all."""
     keyed = rows.select("id", F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")).cast("binary")).alias("key")).withColumn("range", F.substring("key", 1, 3))
     sizes = keyed.groupBy("range").agg(F.count("*").alias("n"))  # 4,096 rows at most
     below = sizes.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("below"), F.sum("n").over(W.partitionBy()).alias("all_n"))
-    ranked = keyed.join(F.broadcast(below), "range").withColumn("at", F.col("below") + F.row_number().over(W.partitionBy("range").orderBy("key", "id")))
-    return ranked.select("id", F.when(F.col("at") <= F.floor(F.col("all_n") * 0.2), "val").otherwise("train").alias("part"))
+    place = F.col("below") + F.row_number().over(W.partitionBy("range").orderBy("key", "id"))
+    return keyed.join(F.broadcast(below), "range").select("id", place.alias("at"), "all_n")
+
+
+def split_hold_out(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """id, part: exactly a fifth (rounded down) of the rows in val, by md5 order."""
+    return hash_rank(rows, seed).select("id", F.when(F.col("at") <= F.floor(F.col("all_n") * 0.2), "val").otherwise("train").alias("part"))
 
 
 def latency_summary(timing: DataFrame) -> DataFrame:
@@ -83,3 +88,30 @@ def edit_cer(reads: DataFrame) -> DataFrame:
     """event_id, dist, cer (6 decimals) of predicted against true strings; an empty truth counts as one character."""
     dist = F.levenshtein("base", "pred").cast("long")
     return reads.select("event_id", dist.alias("dist"), F.round(dist / F.greatest(F.length("base"), F.lit(1)), 6).alias("cer"))
+
+
+def orientation_pick(images: DataFrame, order: tuple[int, ...] = (0, 1, 3, 2)) -> DataFrame:
+    """image, code: the first orientation in order that shows a face; images without one have no row."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("code"))
+    return images.where("n_faces > 0").groupBy("image").agg(F.min_by("code", place).alias("code"))
+
+
+def embedding_avg(faces: DataFrame, width: int = 3) -> DataFrame:
+    """image_id, lane, avg: unit mean of the last accepted vectors of the lane, weighted by quality (0.01 at least). Faces
+    without quality are not accepted and have no row; a mean of norm 0 stays as it is."""
+    order = W.partitionBy("lane").orderBy("ts", "image_id").rowsBetween(1 - width, 0)
+    held = faces.where("quality IS NOT NULL AND embedding IS NOT NULL").select("image_id", "lane", F.collect_list(F.struct(F.greatest("quality", F.lit(0.01)).alias("q"), F.col("embedding").cast("array<double>").alias("e"))).over(order).alias("held"))
+    zero = F.transform(F.get("held", F.lit(0)).e, lambda x: F.lit(0.0))
+    total = F.aggregate("held", zero, lambda s, h: F.zip_with(s, h.e, lambda x, y: x + y * h.q))
+    weight = F.aggregate("held", F.lit(0.0), lambda s, h: s + h.q)
+    mean = held.select("image_id", "lane", total.alias("total"), weight.alias("weight")).select("image_id", "lane", F.transform("total", lambda x: x / F.col("weight")).alias("mean"))
+    norm = F.sqrt(dot(F.col("mean"), F.col("mean")))
+    return mean.withColumn("norm", norm).select("image_id", "lane", F.when(F.col("norm") > 0, F.transform("mean", lambda x: x / F.col("norm"))).otherwise(F.col("mean")).alias("avg"))
+
+
+def exit_settlement(exits: DataFrame, active: DataFrame, least: float = 0.05) -> DataFrame:
+    """id, active_id, outcome (matched, mismatch, not_found), sim: plate first, then the face."""
+    both = exits.select("id", "plate", F.col("embedding").alias("a")).join(active.select(F.col("id").alias("active_id"), "plate", F.col("embedding").alias("b")), "plate", "left")
+    rows = both.select("id", "active_id", F.round(cosine("a", "b"), 6).alias("sim"))
+    outcome = F.when(F.col("active_id").isNull(), "not_found").when(F.col("sim") >= least, "matched").otherwise("mismatch")
+    return rows.select("id", "active_id", outcome.alias("outcome"), "sim")

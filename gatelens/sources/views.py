@@ -30,6 +30,14 @@ FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 A
     "v_truth_ch": """SELECT *, substring('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + (truth_id + (CASE WHEN x1 % 5 = 0 THEN 1 ELSE 0 END)) % 36 AS INT), 1) AS ch FROM {v_truth} t""",
     "v_anchors": """SELECT event_id AS frame_id, array(CAST(event_id % 50 AS DOUBLE), CAST(event_id % 60 AS DOUBLE), CAST(30 AS DOUBLE)) AS cx, array(CAST(event_id % 40 AS DOUBLE), CAST(12 AS DOUBLE), CAST(20 AS DOUBLE)) AS cy, array(CAST(8 AS DOUBLE), CAST(10 AS DOUBLE), CAST(event_id % 9 AS DOUBLE)) AS w, array(CAST(4 AS DOUBLE), CAST(6 AS DOUBLE), CAST(8 AS DOUBLE)) AS h,
   array(array(CAST(event_id % 100 AS DOUBLE) / 100, CAST(0.5 AS DOUBLE), CAST(event_id % 7 AS DOUBLE) / 7), array(CAST(event_id % 90 AS DOUBLE) / 90, CAST(0.5 AS DOUBLE), CAST(event_id % 11 AS DOUBLE) / 11)) AS scores FROM {events} e""",
+    "v_samples": """SELECT r.event_id AS i, r.raw AS entry_raw, r.pred AS exit_raw, CASE r.event_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS entry_faces, CASE WHEN r.event_id % 8 = 0 THEN 0 ELSE 1 END AS exit_faces, g.embedding AS gallery, p.embedding AS probe
+ FROM {v_reads} r JOIN {embeddings} g ON g.vec_id = r.event_id % 500 JOIN {embeddings} p ON p.vec_id = r.event_id * 7 % 500""",
+    "v_face_vectors": """SELECT f.image_id, f.lane, f.ts, CASE WHEN f.blur >= 50 THEN f.blur / 500 END AS quality, e.embedding FROM {v_faces} f JOIN {embeddings} e ON e.vec_id = f.image_id % 500""",
+    "v_rotations": """SELECT CAST(floor(image_id / 4) AS BIGINT) AS image, CAST(image_id % 4 AS INT) AS code, CASE WHEN image_id % 5 < 3 THEN 0 ELSE 1 END AS n_faces FROM {v_faces} f""",
+    "v_frames": """SELECT event_id, CAST(user_id % 3 AS INT) AS source_id FROM {events} e""",
+    "v_keys": """SELECT 'FULL_' || CAST(id AS STRING) || '|' || plate AS key FROM {v_active} a""",
+    "v_scaling": """SELECT CASE event_id % 5 WHEN 0 THEN 10 WHEN 1 THEN 50 WHEN 2 THEN 100 WHEN 3 THEN 200 ELSE 500 END AS n, CASE WHEN event_id % 2 = 0 THEN 'insert' ELSE 'search' END AS op, value AS ms FROM {events} e""",
+    "v_gate_frames": """SELECT r.event_id, r.lane % 5 AS lot, r.lane, r.ts, CASE WHEN extract(DAY FROM r.ts) % 2 = 0 THEN 'entry' ELSE 'exit' END AS kind, r.raw, f.quality, f.embedding FROM {v_reads} r JOIN {v_face_vectors} f ON f.image_id = r.event_id""",
     "v_label_lines": """SELECT CAST(frame_id AS STRING) AS stem, det_id AS line_no, CASE WHEN x1 % 17 = 0 THEN '' WHEN x1 % 13 = 0 THEN '7 0.5 0.5' WHEN x1 % 11 = 0 THEN '99 0.5 0.5 0.1 0.1' WHEN x1 % 7 = 0 THEN 'x 0.5 0.5 0.1 0.1'
   ELSE CAST(x1 % 36 AS STRING) || ' 0.' || CAST(10 + y1 % 80 AS STRING) || ' 0.5 0.25 0.125' END AS line FROM {v_det} d""",
     "v_truth_lines": """SELECT event_id AS line_no, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'damaged' ELSE 'img' || CAST(event_id % 700 AS STRING) || '.jpg' || (CASE WHEN event_id % 2 = 0 THEN chr(9) ELSE ',' END) || raw END AS line FROM {v_reads} r""",
