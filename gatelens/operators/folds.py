@@ -99,7 +99,8 @@ class Gate:
         top = max(votes, key=lambda v: (votes.count(v), -votes.index(v)))
         return top if len(votes) >= 3 and 2 * votes.count(top) >= len(votes) else None
 
-    def mean(self, faces: list) -> list[float]:
+    @staticmethod
+    def mean(faces: list) -> list[float]:
         q = np.array([max(f[0], 0.01) for f in faces])
         m = (q / q.sum()) @ np.array([f[1] for f in faces])
         return (m / n if (n := np.linalg.norm(m)) > 0 else m).tolist()

@@ -35,11 +35,16 @@ def _over(report):
 
 
 def _avg_digest(faces: DataFrame) -> DataFrame:
-    at = lambda i: F.round(F.get("avg", F.lit(i)), 5)
-    return identity.embedding_avg(faces).select("image_id", "lane", at(0).alias("first"), at(63).alias("last"))
+    return digest(identity.embedding_avg(faces))
 
 
-_AVG = """SELECT image_id, lane, round(s[1] / sqrt(list_inner_product(s, s)), 5) AS first, round(s[64] / sqrt(list_inner_product(s, s)), 5) AS last FROM
+def digest(averages: DataFrame) -> DataFrame:
+    """The outer components as whole hundred-thousandths, so that no engine's negative zero matters."""
+    at = lambda i: F.round(F.get("avg", F.lit(i)) * 100_000).cast("long")
+    return averages.select("image_id", "lane", at(0).alias("first"), at(63).alias("last"))
+
+
+AVG = """SELECT image_id, lane, CAST(round(s[1] / sqrt(list_inner_product(s, s)) * 100000) AS BIGINT) AS first, CAST(round(s[64] / sqrt(list_inner_product(s, s)) * 100000) AS BIGINT) AS last FROM
  (SELECT image_id, lane, list_transform(range(1, 65), lambda i: q * e[i] + coalesce(q1 * e1[i], 0) + coalesce(q2 * e2[i], 0)) AS s FROM
  (SELECT image_id, lane, q, e, lag(q) OVER w AS q1, lag(e) OVER w AS e1, lag(q, 2) OVER w AS q2, lag(e, 2) OVER w AS e2 FROM (SELECT *, greatest(quality, 0.01::DOUBLE) AS q, embedding::DOUBLE[] AS e FROM {v_face_vectors} f WHERE quality IS NOT NULL) a WINDOW w AS (PARTITION BY lane ORDER BY ts, image_id)) b) c"""
 
@@ -57,7 +62,7 @@ def specs(accepted: str, sessions: str) -> dict:
         "index_pairing": (evaluate.index_pairing, ["v_exit", "v_active"], f"SELECT x.id AS a, y.id AS b FROM {_RANKED.format('{v_exit}')} x JOIN {_RANKED.format('{v_active}')} y USING (place)"),
         "db_scaling_summary": (evaluate.db_scaling_summary, ["v_scaling"], "SELECT n, round(sum(ms) FILTER (op = 'insert'), 4) AS total_ms, round(sum(ms) FILTER (op = 'insert') / n, 6) AS per_ms, round(avg(ms) FILTER (op = 'search'), 6) AS search_ms FROM {v_scaling} s GROUP BY n"),
         "orientation_pick": (identity.orientation_pick, ["v_rotations"], "SELECT image, code FROM {v_rotations} r WHERE n_faces > 0 QUALIFY row_number() OVER (PARTITION BY image ORDER BY list_position([0, 1, 3, 2], code)) = 1"),
-        "embedding_avg": (_avg_digest, ["v_face_vectors"], _AVG),
+        "embedding_avg": (_avg_digest, ["v_face_vectors"], AVG),
         "exit_settlement": (identity.exit_settlement, ["v_exit", "v_active"], f"SELECT id, active_id, CASE WHEN active_id IS NULL THEN 'not_found' WHEN sim >= 0.05 THEN 'matched' ELSE 'mismatch' END AS outcome, sim FROM (SELECT x.id, a.id AS active_id, {_cosine('x.embedding', 'a.embedding')} AS sim FROM {{v_exit}} x LEFT JOIN {{v_active}} a ON a.plate = x.plate) q"),
         "event_feed": (gates.event_feed, ["v_gate"], f"SELECT event_id, lot, plate, ts, kind AS type FROM ({accepted}) a ORDER BY ts DESC, event_id DESC LIMIT 50"),
         "session_display": (gates.session_display, ["v_gate"], f"SELECT entry_id, plate, strftime(entry_ts, '%Y-%m-%dT%H:%M:%S') AS entered, coalesce(strftime(exit_ts, '%Y-%m-%dT%H:%M:%S'), '') AS \"left\", coalesce(CAST(duration_min AS VARCHAR) || ' min', '') AS stay FROM ({sessions}) s"),

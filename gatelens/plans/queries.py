@@ -57,7 +57,7 @@ SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str | None]] = {
     "threshold_sweep": (reports.threshold_sweep, ["v_exit", "v_active"], "SELECT CAST(thr AS INT) AS thr, CAST(sum(CASE WHEN (floor(sim * 100) >= thr) = same THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) AS n FROM (SELECT x.identity = a.identity AS same, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) p, range(100) t(thr) GROUP BY 1"),
 }
 
-SPECS |= text.SPECS | matching.SPECS | search.SPECS | evaluate.specs(ACCEPTED, SESSIONS) | flows.specs(ACCEPTED)
+SPECS |= text.SPECS | matching.SPECS | search.SPECS | evaluate.specs(ACCEPTED, SESSIONS) | flows.specs(ACCEPTED, SESSIONS)
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -66,3 +66,15 @@ def sink_sessions(sessions: DataFrame, path: str) -> None:
 def sink_csv(rows: DataFrame, fields: list[str], path: str) -> None:
     """Writes the fields as CSV with a header."""
     rows.select(*fields).write.mode("overwrite").csv(path, header=True)
+
+
+def sessions_read_back(sessions: DataFrame, path: str) -> DataFrame:
+    """Writes finished sessions and reads the folder again."""
+    sink_sessions(sessions, path)
+    return sessions.sparkSession.read.schema(sessions.schema).parquet(path).select(*sessions.columns)
+
+
+def csv_read_back(rows: DataFrame, path: str) -> DataFrame:
+    """Writes all columns as CSV and reads the folder again."""
+    sink_csv(rows, rows.columns, path)
+    return rows.sparkSession.read.schema(rows.schema).csv(path, header=True)

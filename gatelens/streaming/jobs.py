@@ -6,6 +6,7 @@ rows that come in a later batch than newer rows of their key are taken as they c
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -111,6 +112,29 @@ def stream_vote(reads: DataFrame, width: int = 5, least: int = 3, files: int | N
     return gathered(reads.sparkSession, reads.select("event_id", "lane", "ts", "raw", "control"), job, "append", "vote", files).drop("batch")
 
 
+def stream_embedding_avg(faces: DataFrame, width: int = 3, files: int | None = None) -> DataFrame:
+    """image_id, lane, avg for every face with a quality; a row whose ``control`` is 'clear' forgets the lane's faces."""
+
+    def average(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "image_id"])  # one lane's faces of one batch
+        out = []
+        for image, quality, face, control in zip(rows["image_id"], rows["quality"], rows["embedding"], rows["control"]):
+            if control == "clear":
+                held = []
+            elif quality == quality and quality is not None and face is not None:
+                held = [*held, (float(quality), [float(x) for x in face])][-width:]
+                out.append((image, key[0], Gate.mean(held)))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["image_id", "lane", "avg"])
+
+    if "control" not in faces.columns:
+        faces = faces.withColumn("control", F.lit(None).cast("string"))
+    job = lambda s: s.groupBy("lane").applyInPandasWithState(average, "image_id long, lane long, avg array<double>", "held string", "append", "NoTimeout")
+    rows = faces.select("image_id", "lane", "ts", "quality", F.col("embedding").cast("array<double>").alias("embedding"), "control")
+    return gathered(faces.sparkSession, rows, job, "append", "average", files).drop("batch")
+
+
 def stream_gate(frames: DataFrame, capacity: int = 500, files: int | None = None) -> DataFrame:
     """event_id, lot, plate, code of entries and exits; one state for each lot, since success clears what was voted."""
 
