@@ -191,7 +191,7 @@ def outlier_prune(rows: DataFrame, most: float = -0.2, bound: int = 20_000) -> D
     return facts.withColumnRenamed("identity", "who").groupBy("who").cogroup(links.groupBy("owner")).applyInPandas(prune, f"identity {kind}, id long, reason string")
 
 
-def ivf_topk(exits: DataFrame, active: DataFrame, k: int = 3, cells: int = 22, probes: int = 8, sample: int = 50_000, seed: int = 11) -> DataFrame:
+def ivf_topk(exits: DataFrame, active: DataFrame, k: int = 3, cells: int = 22, probes: int = 16, sample: int = 50_000, seed: int = 11) -> DataFrame:
     """id, rank, active_id, sim among the ``probes`` nearest of ``cells`` cells. The cells are learned from about ``sample``
     gallery rows; every gallery row is indexed. A cell is split into blocks like any other key."""
     from pyspark.ml.clustering import KMeans

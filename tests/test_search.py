@@ -47,7 +47,7 @@ def test_approximate_search_recall(spark):
 
     exits, active = (view(spark, "/root/testdata/sf0.001", v) for v in ("v_exit", "v_active"))
     exact = {(r.id, r.active_id) for r in search.topk_similar(exits, active, least=-1.0).collect()}
-    near = {(r.id, r.active_id) for r in search.ivf_topk(exits, active, probes=18).collect()}
+    near = {(r.id, r.active_id) for r in search.ivf_topk(exits, active).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
