@@ -6,8 +6,12 @@ exactly. Equal windows have their minimiser at the same place, so windows of one
 needs no work, and equal packed strings are whole runs of repeats. The packing is exact: frequent words have codes of one or two
 bytes, others are spelled out, so equal strings are equal word sequences.
 
-A bucket with more distinct strings than ``bucket_limit`` is not held: its windows go, one row each, through a grouped
-count and a join on the window. Results do not depend on the limit.
+Hot buckets are split where runs are made: a task sends a string to its bucket twice at most, since two suffice to
+count it, and settles later copies itself; after ``spread`` runs for one bucket it marks the bucket and hands the rest on
+to any task. A marked bucket, or one with more distinct strings than ``bucket_limit``, is not held: its windows
+go, one row each, through a grouped count and a join on the window, again twice a task at most. So what one task reads of a
+bucket or window is bounded by the number of tasks, not of copies. Results do not depend on the limits. What a task settles
+depends on the order of its rows, so an input that is not read from files should be written first.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none. Texts of any length are read whole. Repeated rows are occurrences like any
 others; rows with equal id and text get equal results. Extra columns are not read. An empty table gives an empty result.
@@ -21,16 +25,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, frequent_pieces, runs_of, words, written
+from .common import TwoGenerations, frequent_pieces, words, written
 
 #: One-byte codes, then first bytes of two-byte codes; 255 opens a word that is spelled out and closed by a space.
 SHORT, ESCAPE = 200, 255
 CODES = SHORT + (ESCAPE - SHORT) * 256 - 256
 #: Words of a text that are worked on at once, at least.
 CHUNK = 60_000
+#: States of a run: to be counted in its bucket, known as a repeat, to be counted window by window.
+COUNT, REPEAT, OPEN = 0, 1, 2
+
+
+class Sent:
+    """How often a task has sent a string or to a bucket, in bounded memory: what was forgotten is only sent again."""
+
+    def __init__(self, size: int = 100_000, longest: int = 600):
+        self.times, self.longest = TwoGenerations(size), longest
+
+    def twice(self, string: bytes) -> bool:
+        """Whether it has been sent twice before; else it is noted as sent now."""
+        if (n := self.times.get(string) or 0) == 2:
+            return True
+        if len(string) <= self.longest:
+            self.times.put(string, n + 1)
+        return False
+
+    def next(self, bucket: int) -> int:
+        n = (self.times.get(bucket) or 0) + 1
+        self.times.put(bucket, n)
+        return n
 
 
 class Packer(dict):
@@ -80,15 +107,36 @@ def minimisers(hashes: np.ndarray, width: int, grams: int) -> tuple[np.ndarray,
     return at, mixed
 
 
-PARTS = "k bigint, doc_id bigint, th bigint, at bigint, lead int, n int, packed binary"
+PARTS = "k bigint, doc_id bigint, th bigint, at bigint, lead int, n int, packed binary, state tinyint"
+
 
+def super_kmers(df: DataFrame, frequent: list[bytes], width: int, grams: int, spread: int) -> DataFrame:
+    """PARTS for each run of windows: bucket, row, first word, words before the minimiser, windows, packed words, state.
 
-def super_kmers(df: DataFrame, frequent: list[bytes], width: int, grams: int) -> DataFrame:
-    """PARTS for each run of windows: bucket, row, first word, words before the minimiser, windows, packed words."""
+    Runs that need not meet others of their bucket get a number of their own for it. An empty string marks a bucket
+    whose runs are all to be counted window by window."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)  # at most CODES words of at most 32 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(shared.value)
+        strings, buckets = Sent(), Sent()
+        passed = TaskContext.get().partitionId() << 40
+
+        def deal(k: np.ndarray, packed: list[bytes | None]) -> tuple[np.ndarray, list[int]]:
+            """States of the runs, and the buckets to mark; settles repeats in ``packed`` and spreads ``k``."""
+            nonlocal passed
+            state, marks = np.zeros(len(k), np.int8), []
+            for i, (bucket, string) in enumerate(zip(k.tolist(), packed)):
+                if strings.twice(string):
+                    state[i], packed[i] = REPEAT, None
+                elif (n := buckets.next(bucket)) > spread:
+                    state[i] = OPEN
+                    if n == spread + 1:
+                        marks.append(bucket)
+            free = np.flatnonzero(state)
+            k[free] = np.arange(passed, passed + len(free)) * 0x1E3779B97F4A7C15
+            passed += len(free)
+            return state, marks
 
         def cut(docs: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
             sizes = np.array([len(w) for _, _, w in docs])
@@ -106,8 +154,13 @@ def super_kmers(df: DataFrame, frequent: list[bytes], width: int, grams: int) ->
             lo, hi = start[new], start[np.concatenate([new[1:], [len(start)]]) - 1]
             owner = of[lo]
             packed = [blob[a:b] for a, b in zip(ends[lo].tolist(), ends[hi + width].tolist())]
-            ids, th = np.array([d for d, _, _ in docs], np.int64), np.array([t for _, t, _ in docs], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(mixed[at[new]].view(np.int64)), pa.array(ids[owner]), pa.array(th[owner]), pa.array((lo - first[owner]).astype(np.int64)), pa.array((at[new] - lo).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array(packed, pa.binary())], ["k", "doc_id", "th", "at", "lead", "n", "packed"])
+            ids, th = pa.array([d for d, _, _ in docs], pa.int64()), pa.array([t for _, t, _ in docs], pa.int64())
+            k = mixed[at[new]].view(np.int64)
+            state, marks = deal(k, packed)
+            none = pa.nulls(len(marks), pa.int64())
+            columns = [pa.array(k), ids.take(pa.array(owner)), th.take(pa.array(owner)), pa.array((lo - first[owner]).astype(np.int64)), pa.array((at[new] - lo).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), pa.array(packed, pa.binary()), pa.array(state)]
+            marking = [pa.array(marks, pa.int64()), none, none, none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array([b""] * len(marks), pa.binary()), pa.array([COUNT] * len(marks), pa.int8())]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in zip(columns, marking)], ["k", "doc_id", "th", "at", "lead", "n", "packed", "state"])
 
         for batch in batches:
             held, size = [], 0
@@ -135,6 +188,7 @@ def count_windows(parts: DataFrame, width: int, bucket_limit: int) -> DataFrame:
         out: list[tuple] = []
         bucket: dict[bytes, list] = {}  # packed -> [first owner or None once it has been reported, lead, n]
         too_many = False
+        before = None
 
         def settle() -> None:
             """Counts the windows of the bucket's distinct strings by sorting; a string met twice is a repeat as a whole."""
@@ -167,14 +221,29 @@ def count_windows(parts: DataFrame, width: int, bucket_limit: int) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()])], ["doc_id", "th", "lo", "hi", "lead", "n", "packed"])
 
-        for goes_on, part in runs_of(batches, "k"):
-            if not goes_on:
-                settle()
-                bucket, too_many = {}, False
-                if len(out) > 20_000:
-                    yield flush()
-            for doc, th, at, lead, n, packed in zip(*(part.column(i).to_pylist() for i in range(1, 7))):
-                if too_many:
+        last = None
+        for batch in batches:
+            state = batch.column(7).to_numpy()
+            if state.any():
+                ready = batch.filter(pa.array(state != COUNT))
+                ends = ready.column(3).to_numpy() + ready.column(5).to_numpy() + (width - 1)
+                yield pa.RecordBatch.from_arrays([*ready.columns[1:4], pa.array(ends, mask=state[state != COUNT] == OPEN), *ready.columns[4:7]], ["doc_id", "th", "lo", "hi", "lead", "n", "packed"])
+                batch = batch.filter(pa.array(state == COUNT))
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            shared = np.append(same, True)  # the last one's bucket may go on in the next batch
+            shared[1:] |= same
+            shared[0] |= keys[0] == before
+            before = keys[-1]
+            for key, doc, th, at, lead, n, packed in zip(*(c.to_pylist() for c in batch.filter(pa.array(shared)).columns[:7])):
+                if key != last:
+                    settle()
+                    bucket, too_many, last = {}, False, key
+                if not packed:
+                    too_many = True
+                elif too_many:
                     out.append((doc, th, at, None, lead, n, packed))
                 elif (seen := bucket.get(packed)) is None:
                     bucket[packed] = [(doc, th, at), lead, n]
@@ -204,24 +273,28 @@ def spread_windows(left_open: DataFrame, width: int) -> DataFrame:
     """doc_id, th, lo, hi for the repeated windows of runs that no bucket could hold: counted by grouping, then joined back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for batch in batches:
             rows = []
             for doc, th, lo, n, packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 edge = boundaries(packed)
-                rows += [(doc, th, lo + j if lo is not None else None, packed[edge[j] : edge[j + width]]) for j in range(n)]
+                for j in range(n):
+                    window = packed[edge[j] : edge[j + width]]
+                    rows.append((doc, th, lo + j if lo is not None else None, None if sent.twice(window) else window))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()])], ["doc_id", "th", "lo", "window"])
 
     windows = left_open.select("doc_id", "th", "lo", "n", "packed").mapInArrow(run, "doc_id bigint, th bigint, lo bigint, window binary")
-    twice = windows.groupBy("window").count().where("count > 1").select("window")
-    return windows.where("lo is not null").join(twice, "window").select("doc_id", "th", "lo", (F.col("lo") + width).alias("hi"))
+    twice = windows.where("window is not null").groupBy("window").count().where("count > 1").select("window")
+    found = windows.where("lo is not null and window is not null").join(twice, "window").select("doc_id", "th", "lo")
+    return found.unionByName(windows.where("lo is not null and window is null").select("doc_id", "th", "lo")).withColumn("hi", F.col("lo") + width)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, grams: int = 6, bucket_limit: int = 4_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, grams: int = 6, bucket_limit: int = 4_000, spread: int = 256, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed (long), kept_sha256 and, with_text, the kept words joined by one space."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     frequent = frequent_pieces(docs, "text", lambda t: t.encode().split(), CODES)
-    found = written(count_windows(super_kmers(docs, frequent, width, grams), width, bucket_limit), "spans")
+    found = written(count_windows(super_kmers(docs, frequent, width, grams, spread), width, bucket_limit), "spans")
     spans = found.where("packed is null").select("doc_id", "th", "lo", "hi")
     left_open = found.where("packed is not null")
     if not left_open.isEmpty():

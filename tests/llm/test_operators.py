@@ -100,9 +100,10 @@ def test_lower_bound_never_exceeds_a_packing():
     assert packing.lower_bound(np.array([33] * 7), 64) == 7
 
 
-@pytest.mark.parametrize("limit", [4000, 1])
-def test_repeats_equal_brute_force(docs, limit):
-    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, bucket_limit=limit).collect()}
+@pytest.mark.parametrize("limits", [{}, {"bucket_limit": 1}, {"spread": 1}, {"spread": 0}])
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_repeats_equal_brute_force(docs, limits, tasks):
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs.coalesce(tasks), **limits).collect()}
     words = {i: (t or "").encode().split() for i, t, *_ in corpus()}
     starts = {}
     for i, w in words.items():
