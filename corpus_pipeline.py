@@ -16,16 +16,17 @@ from gatelens.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or whose posterior is under one half go."""
-    judged = quality_rules.quality_rules(docs)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    return quality_rules.quality_rules(whole).where("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; of rows with equal id and text one."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     kept = minhash_dedup.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     copies = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return rows.withColumn("__copy", F.row_number().over(copies)).where("__copy = 1").drop("__copy")
+    return rows.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("document.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
