@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Java and Python form of what separates words: space and \x09-\x0D. ``bytes.split()`` splits at the same six bytes.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -55,19 +56,20 @@ def add_columns(df: DataFrame, text_col: str, keep: list[str] | None, new: str,
 
     ``make`` runs once a task and gives the function of a batch's texts. Kept columns whose names clash with new ones
     are replaced. The text travels back only if it is kept."""
-    names = [x.split()[0] for x in new.split(",")]
-    taken = {n.lower() for n in names}
+    added = StructType.fromDDL(new)
+    taken = {n.lower() for n in added.names}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), new])
+    # tasks see numbers for names: any column name may come, with dots in it or in use already
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = StructType([*(StructField(f"c{i}", rows.schema[i].dataType) for i in range(len(keep))), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            added = each(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *added], [*keep, *names])
+            made = each(batch.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, *added.names)
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

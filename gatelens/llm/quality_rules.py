@@ -128,9 +128,11 @@ def fit(patterns: dict[str, int], rounds: int = 200, prior: tuple[float, float]
 
 def quality_rules(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``keep`` (None: all columns), base figures, base_failed, votes, p_good double and kept boolean.
+    Columns of the table that have such names are replaced.
 
     The first pass counts vote patterns over all rows, the second decides; texts are never shuffled. Rows that do not
     keep the text are small, so they are written once and read twice instead."""
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("p_good", "kept")]
     rows = with_votes(df, text_col, keep)
     if text_col not in rows.columns:
         rows = written(rows, "votes")
@@ -138,5 +140,5 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep: list[str] | None
     p_good = fit({r["votes"]: r["count"] for r in counts})
     scores = df.sparkSession.createDataFrame(sorted(p_good.items()), "votes string, p_good double")
     out = rows.join(F.broadcast(scores), "votes", "left")
-    first = [c for c in out.columns if c not in ("votes", "p_good", "kept")]
+    first = [c for c in rows.columns if c.lower() not in ("votes", "p_good", "kept")]
     return out.select(*[F.col(f"`{c}`") for c in first], "votes", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))

@@ -117,13 +117,14 @@ def scan_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """The same rows and columns with every span of the text replaced by ``mark``; null texts stay null."""
-    spanned = with_spans(df, text_col)
-    t = F.col(f"`{text_col}`")
+    whole = df.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    spanned = with_spans(whole, "text", "spans")
+    t = F.col("text")
     cut = F.aggregate(
-        "secret_spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.when(x["start"] >= s["at"], F.concat(F.substr(t, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise("")).alias("out"))),
         lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1, F.length(t) - s["at"])),
     )
-    clean = F.when(F.size("secret_spans") > 0, cut).otherwise(t)
-    return spanned.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    clean = F.when(F.size("spans") > 0, cut).otherwise(t)
+    return spanned.select(*[clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
