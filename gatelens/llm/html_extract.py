@@ -5,7 +5,9 @@ and id attributes, and figures of its text (length, share of link text, closing
 word of the text. The field is trained on labelled pages (``labelled_pages``: laid out by rule in many ways, every block
 labelled; a fixed number, so training doesn't grow with the corpus) and decoded by Viterbi for each page.
 
-Scripts, styles, templates, comments and the head are no text. White space inside a block is one space, character
+Scripts, styles, templates, images, comments and the head are no text. A head without end tag goes as far as its own kinds of tags do, an
+image without one up to the next block; scripts, styles and templates without one run to the end of the page. A '<' that begins no tag
+is text, except as the last character of a page. White space inside a block is one space, character
 references are decoded, blocks are joined by a line feed. A null or empty page, or one without blocks, gives an empty text with 0
 characters. Pages are read whole, cut-off ones up to where they end. Rows are independent, so repeated rows
 repeat their result; columns named like a result are replaced, extra columns stay where they are kept. An empty table gives an empty result.
@@ -28,7 +30,19 @@ BLOCK_TAGS = frozenset("html body div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 tabl
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open one of these kinds when no other block stands between.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {t: ("p",) for t in ("div", "ul", "ol", "table", "section", "article", "aside", "nav", "header", "footer", "main", "form", "h1", "h2", "h3", "h4", "blockquote", "pre")}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S | re.I)
+#: Block tags, and others that end foreign content; those that an image may hold itself do not.
+BREAKS = "|".join(sorted((BLOCK_TAGS | set("b big br code em embed font i img s small span strike strong sub sup tt u var".split())) - set("iframe video audio canvas".split())))
+ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+
+def _whole(tags: str, last: str = "") -> str:
+    """Elements of these tags with all that is in them; without groups, which possessive repeats would spoil."""
+    return "|".join(rf"<{t}(?=[\s/>])[^>]*>.*?(?:</{t}\s*>{last})" for t in tags.split())
+
+
+#: A head up to its end tag if no block comes before it, else as far as its own kinds of tags go.
+HEAD = rf"""<head(?=[\s/>])[^>]*>(?:(?:[^<]++|<!--.*?-->|{_whole("script style noscript template title svg")}|<(?!/?(?:{"|".join(sorted(BLOCK_TAGS))})[\s/>]|/head\s*>))*+</head\s*>|(?:\s++|<!--.*?(?:-->|\Z)|{_whole("script style noscript template title noframes", r"|\Z")}|</?(?:meta|link|base|basefont|bgsound)(?=[\s/>]){ATTRIBUTES}(?:>|\Z)|<[!?][^>]*(?:>|\Z))*+)"""
+SVG = rf"""<svg(?=[\s/>]){ATTRIBUTES}(?:(?<=/)>|>(?:[^<]++|<!--.*?-->|{_whole("foreignObject style script")}|<(?!/?(?:{BREAKS})[\s/>]|/svg\s*>))*+(?:</svg\s*>)?)"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|{HEAD}|{SVG}|<(?P<skip>script|style|noscript|template)(?=[\s/>])[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<named>{ATTRIBUTES})(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<named2>[^>]*)(?:>|\Z)""", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
@@ -59,10 +73,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
-        closing = (m[2] or m[5]) == "/"
+        closing = (m["end"] or m["end2"]) == "/"
         if tag == "a":
             in_link = 0 if closing else 1
         elif tag == "br":
@@ -81,10 +95,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             ends = CLOSES.get(tag, ())
             while stack and stack[-1][0] in ends:
                 stack.pop()
-            names = " ".join(v.strip("\"'") for v in NAMED.findall(m[4] or m[7] or ""))
+            names = " ".join(v.strip("\"'") for v in NAMED.findall(m["named"] or m["named2"] or ""))
             words = sorted({w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()) if len(w) > 1})
             stack.append((tag, " ".join([tag, *words])))
-    add(page[at:].partition("<")[0] if at < len(page) else "")
+    add(re.sub(r"</?\Z", "", page[at:]))
     end_block()
     return out
 
