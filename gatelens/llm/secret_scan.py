@@ -1,9 +1,12 @@
 """Secret scans in column expressions: three fixed patterns, and strings whose characters are too evenly spread.
 
-Strings of 20 or more token characters are candidates. A window slides over each; for the class of its characters
-(hexadecimal, or mixed letters and digits) the Shannon entropy of every window follows from the previous one by
-the counts of the character that enters and the one that leaves. A candidate whose highest window reaches its
-class's threshold is a span of kind ``entropy`` unless the allow-list matches it or a pattern's span overlaps it.
+Strings of 20 or more token characters are candidates. A window slides over each, and over each of its parts between
+separators that fills a window; for the class of the characters (hexadecimal, mixed letters and digits, lower-case letters and
+digits, upper-case letters and digits) the Shannon entropy of every window follows from the previous one by the counts of the
+character that enters and the one that leaves. A candidate is a span of kind ``entropy`` if the highest window of it or of a part
+reaches the class's threshold, unless the allow-list matches it or a pattern's span overlaps it. Words with numbers are
+told from single-case keys by how often letters and digits take turns: three times in lower case, twice in upper case. Of random keys
+of 20 characters 2 to 3 percent have fewer turns, of 32 less than 0.3. A single-case key cut by separators into parts of less than a window is not found.
 
 A null text is empty: no spans. Texts of any length are scanned whole. Spans that start together are ordered as the
 kinds are listed. Repeated rows are scanned each on its own. Columns named like a result are replaced, all other
@@ -26,6 +29,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+SEPARATORS = "[-+/_=]+"
 #: What marks a high-entropy string as harmless: placeholders, paths and slugs of plain words, alphabets in order.
 ALLOWED = (
     r"(?i)example|placeholder|changeme|your[-_]?|dummy|xxxx|test[-_]?key",
@@ -73,15 +77,22 @@ def highest_entropy(candidate: Column, window: int) -> Column:
     return F.aggregate(chars, start, step, lambda s: s["best"])
 
 
-def suspicious(candidate: Column, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.7) -> Column:
-    """True for a candidate that its class's threshold finds and the allow-list does not let go."""
+def suspicious(candidate: Column, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.7, lower_bits: float = 3.3, upper_bits: float = 3.2) -> Column:
+    """True for a candidate that a class's threshold finds, in it or in a part, and the allow-list does not let go."""
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
-    is_hex = candidate.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & candidate.rlike("[0-9]") & candidate.rlike("[a-fA-F]")
-    is_mixed = candidate.rlike("[0-9]") & candidate.rlike("[a-z]") & candidate.rlike("[A-Z]")
-    bits = F.when(is_hex, F.lit(hex_bits)).when(is_mixed, F.lit(mixed_bits))
-    return F.when(allowed | bits.isNull(), F.lit(False)).otherwise(highest_entropy(candidate, window) >= bits)
+
+    def judged(unit: Column) -> Column:
+        is_hex = unit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & unit.rlike("[0-9]") & unit.rlike("[a-fA-F]")
+        is_mixed = unit.rlike("[0-9]") & unit.rlike("[a-z]") & unit.rlike("[A-Z]")
+        is_lower = unit.rlike("^[a-z0-9]+$") & unit.rlike("[a-z][0-9]+[a-z]+[0-9]|[0-9][a-z]+[0-9]+[a-z]")
+        is_upper = unit.rlike("^[A-Z0-9]+$") & unit.rlike("[A-Z][0-9]+[A-Z]|[0-9][A-Z]+[0-9]")
+        bits = F.when(is_hex, F.lit(hex_bits)).when(is_mixed, F.lit(mixed_bits)).when(is_lower, F.lit(lower_bits)).when(is_upper, F.lit(upper_bits))
+        return F.when(bits.isNull(), F.lit(False)).otherwise(highest_entropy(unit, window) >= bits)
+
+    parts = F.filter(F.split(candidate, SEPARATORS), lambda p: F.length(p) >= window)
+    return F.when(allowed, F.lit(False)).otherwise(F.exists(F.array_distinct(F.concat(F.array(candidate), parts)), judged))
 
 
 def with_spans(df: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:

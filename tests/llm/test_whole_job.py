@@ -2,7 +2,7 @@
 
 import pytest
 
-from gatelens.llm import html_extract
+from gatelens.llm import html_extract, secret_scan
 
 
 @pytest.mark.parametrize(
@@ -20,3 +20,14 @@ from gatelens.llm import html_extract
 )
 def test_blocks_lose_no_text(page, texts):
     assert [text for _, text, _ in html_extract.blocks_of(page)] == texts
+
+
+KEYS = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "3ax6xnjp29jd6fds4gc373sgvjxteol0", "JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP", "SEED_MZXW6YTBOI2GC3TEN5WUQ7LK", "key-9f86d081884c7d659a2f", "id/9F86D081884C7D659A2F"]
+CLEAN = ["how-to-build-3-data-pipelines-in-2024", "top10-things-to-see-in-paris", "covid19vaccinationrates", "img/photo20231105/interior", "internationalization2024", "REQUIREMENTSDOCUMENT2024", "11111111112222222222", "zyzy12zyzy12zyzy12zyzy12"]
+
+
+def test_single_case_keys_beside_slugs(spark):
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(KEYS + CLEAN)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.scan_report(docs).collect()}
+    assert [spans[i] for i in range(len(spans))] == [f"entropy:4:{4 + len(k)}" for k in KEYS] + [""] * len(CLEAN)
+    assert {r.text for r in secret_scan.redact(docs).where(f"doc_id < {len(KEYS)}").collect()} == {"see [REDACTED] there"}
