@@ -21,11 +21,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of rows with equal id and text one."""
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
-    kept = minhash_dedup.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    copies = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    """One row of each group stays, its owner: the smallest id, null ids last; of rows with equal id and text one."""
+    whole = docs.select("doc_id", minhash_dedup.row_hash().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    kept = minhash_dedup.components(docs).where("owner IS NULL OR rid = owner").select(F.col("rid").alias("kept_rid")).distinct()
+    rows = whole.join(kept, F.col("rid") == F.col("kept_rid"), "left_semi")
+    copies = W.partitionBy("rid").orderBy("doc_id")
     return rows.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("document.*")
 
 

@@ -12,8 +12,10 @@ bounded size. Both ways find the same links; results do not depend on the limits
 
 With 32 bands of 4 hashes a pair at the threshold of 0.8 is missed by all bands with probability 5e-8. Shingles and
 nodes are 64-bit hashes. Nulls, empty texts and texts without words are linked with nothing. Texts of any length are
-read whole. Rows that share an id are joined by it only if their sets are linked; the smallest id stands for a component.
-Extra columns are not read. An empty table gives an empty result.
+read whole. Rows that share an id are joined by it only if their sets are linked. Sets are found by their row, a hash of id and text, so
+null and repeated ids lose no link. The smallest id stands for a component, null if it has none but null ids. The owner of a component is
+its first row by id (null ids last), then by the row's hash: it alone is kept, with the rows that equal it in id and text. Rows without words
+are all kept. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, runs_of, written
@@ -145,14 +147,14 @@ def link_group(signatures: np.ndarray, sets: list[np.ndarray], percent: int, mis
 
 
 def shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node, sig (8 bits of each hash), bands (a hash of each ROWS hashes); nulls without words."""
+    """doc_id, rid, n_shingles, node, sig (8 bits of each hash), bands (a hash of each ROWS hashes); nulls without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             size, node, sig, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 members = shingle_set(text.encode().lower().split() if text else [], shingle, hashes)
                 size.append(len(members))
                 if not len(members):
@@ -168,9 +170,9 @@ def shingled(docs: DataFrame, shingle: int) -> DataFrame:
                     key = (key ^ s[r::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(31)
                 bands.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "rid", "n_shingles", "node", "sig", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sig binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, rid bigint, n_shingles bigint, node bigint, sig binary, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -217,19 +219,24 @@ def links_in_groups(groups: DataFrame, percent: int, miss: float) -> DataFrame:
     return groups.select("gid", "node", "sig", "members").repartition("gid").sortWithinPartitions("gid", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6, cluster_nodes: int = 4_000, cluster_bytes: int = 64_000_000, block: int = 800) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """One hash of a row's id and text; nulls have hashes as well."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6, cluster_nodes: int = 4_000, cluster_bytes: int = 64_000_000, block: int = 800) -> DataFrame:
+    """doc_id, rid, n_shingles, component_id, owner for every row: the row hash of its component's owner, null without words."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     base = written(shingled(docs, shingle), "shingled")
-    nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    nodes = base.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("low"))
     bands = base.where("node is not null").select("node", F.explode("bands").alias("key")).distinct()
     # buckets of two nodes or more; those with the same members count once
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     buckets = buckets.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key"))
     members = written(bands.join(buckets.select("key", "n", F.col("lo").alias("first")), "key").select("key", "node", "n", "first"), "buckets")
     clusters = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    owners = clusters.join(nodes, "node").select("node", F.col("low").alias("doc_id"))
-    sets = full_sets(docs.join(owners.select("doc_id").distinct(), "doc_id", "left_semi"), shingle).dropDuplicates(["node"])
+    owners = clusters.join(nodes, "node").select("node", F.col("low.rid").alias("rid"))
+    sets = full_sets(docs.join(owners.select("rid").distinct(), "rid", "left_semi"), shingle).dropDuplicates(["node"])
     sigs = base.where("node is not null").join(clusters.select("node"), "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
     ready = written(clusters.join(sets, "node").join(sigs, "node"), "sets")
     weights = ready.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum(F.length("members")).alias("bytes"))
@@ -245,9 +252,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.unionByName(links_in_groups(split.join(ready.select("node", "sig", "members"), "node"), percent, miss))
     comps = connected_components(links)
     lows = nodes.join(comps, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
-    lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
-    out = base.join(lows, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("first")), "comp").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("owner"))
+    out = base.join(lows, "node", "left")
+    return out.select("doc_id", "rid", "n_shingles", F.when(F.col("owner").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "owner")
+
+
+def near_duplicates(df: DataFrame, *args, **limits) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; arguments as in ``components``."""
+    is_owner = F.coalesce(F.col("rid") == F.col("owner"), F.lit(True))
+    return components(df, *args, **limits).select("doc_id", "n_shingles", "component_id", is_owner.alias("kept"))
 
 
 #: DuckDB SQL for op5's rows over ``documents``: shingles counted pair by pair, components by a recursive walk.

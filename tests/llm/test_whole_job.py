@@ -2,7 +2,8 @@
 
 import pytest
 
-from gatelens.llm import html_extract, secret_scan
+import corpus_pipeline
+from gatelens.llm import html_extract, minhash_dedup, secret_scan
 
 
 @pytest.mark.parametrize(
@@ -31,3 +32,22 @@ def test_single_case_keys_beside_slugs(spark):
     spans = {r.doc_id: r.spans for r in secret_scan.scan_report(docs).collect()}
     assert [spans[i] for i in range(len(spans))] == [f"entropy:4:{4 + len(k)}" for k in KEYS] + [""] * len(CLEAN)
     assert {r.text for r in secret_scan.redact(docs).where(f"doc_id < {len(KEYS)}").collect()} == {"see [REDACTED] there"}
+
+
+def test_near_copies_under_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = lambda k: " ".join([*base[k:], *(f"t{i}" for i in range(k))])
+    other = lambda k: " ".join([f"v{i}" for i in range(100)] + ["end"] * k)
+    spread = "  ".join(base)  # the same words, another text
+    rows = [(None, near(0)), (None, near(2)), (None, spread), (7, "quite another text"), (None, other(0)), (9, other(1)), (9, near(4)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert [r for r in kept if r[1]] == sorted([(7, "quite another text"), (9, other(1)), (9, near(4))], key=repr)
+    without = docs.where("doc_id IS NULL")
+    assert sorted(len(r.text or "") > 0 for r in corpus_pipeline.near_duplicates(spark, without, "").collect())[-2:] == [True, True]
+    marks = minhash_dedup.near_duplicates(without).collect()
+    assert sum(r.kept for r in marks if r.n_shingles) == 2 and all(r.component_id is None for r in marks)
+    # a null row is the only link between two others
+    chain = [(1, near(0)), (None, near(9)), (2, near(18))]
+    ids = {r.doc_id: (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()}
+    assert ids == {1: (1, True), None: (1, False), 2: (1, False)}
