@@ -1,8 +1,11 @@
 """Licence scans in column expressions: normalised text against licence templates by the Dice coefficient of the sets of
 neighbouring word pairs.
 
-A text's units are the whole text, its paragraphs (between blank lines), its lines and its sentences, each once; so a notice
-is found wherever it stands and a template of many sentences as a paragraph or text. Normalised: lower case, letters and digits kept, everything
+A text's units are the whole text, its paragraphs (between blank lines), its lines and its sentences, each once, and runs of
+neighbouring pieces (sentences, cut at line ends too) that neither hold nor lie in a unit which matches by itself. So a notice of several paragraphs, lines or
+sentences is found between other text; one that begins or ends inside a piece is not. Of runs that overlap the one that shares most pairs
+with its template counts, then the most alike; a run has at most three times the words that the upper bound allows pairs. Runs are looked for
+only where a text has as many of a template's pairs as a match needs. The SQL has no runs: rows with such a notice differ. Normalised: lower case, letters and digits kept, everything
 else one space. A template is compared only with units whose number of pairs lies within the bounds that the threshold
 leaves: 2 min / (a + b) >= t. Texts without any anchor word have no match at all: anchors are chosen so that the
 pairs of a template without an anchor are too few to reach the threshold, and this is checked for every template.
@@ -74,6 +77,51 @@ def _pairs(unit: Column) -> Column:
     return F.array_distinct(F.filter(let(F.split(unit, " "), pairs), lambda p: p.isNotNull()))
 
 
+def _pieces(text: Column, matched: Column) -> Column:
+    """Normalised pieces in order; a unit among ``matched`` is one bar, which no run crosses."""
+    unless = lambda unit, inner: F.when(F.array_contains(matched, _normal(unit)), F.array(F.lit("|"))).otherwise(inner)
+    sentences = lambda line: F.flatten(F.transform(F.split(F.regexp_replace(line, r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n"), lambda u: unless(u, F.array(_normal(u)))))
+    lines = lambda part: F.flatten(F.transform(F.split(part, "\n"), lambda u: unless(u, sentences(u))))
+    paragraphs = F.flatten(F.transform(F.split(text, r"\n[\x20\x09-\x0D]*\n"), lambda u: unless(u, lines(u))))
+    return F.filter(unless(text, paragraphs), lambda u: u != "")
+
+
+def _sums(numbers: Column) -> Column:
+    """0, then the sum of the numbers up to each."""
+    return F.aggregate(numbers, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+
+def _runs(pieces: Column, wanted: Column, threshold: float) -> Column:
+    """(minus shared, worse, name, first, last) of runs of two pieces or more that match, none overlapping a better one."""
+    pairs = F.transform(pieces, lambda p, i: F.transform(F.split(p, " "), lambda w, k: F.concat(w, F.lit(" "), F.coalesce(F.get(F.split(p, " "), k + 1), F.get(F.split(F.get(pieces, i + 1), " "), F.lit(0)), F.lit("|")))))
+
+    def of_template(t: Column, listed: Column, size: Column) -> Column:
+        hits = F.transform(listed, lambda ps: F.size(F.filter(ps, lambda p: F.array_contains(t["pairs"], p))))
+        last = F.size(pieces) - 1
+
+        def with_sums(h: Column) -> Column:
+            hit, bar = h["hit"], h["bar"]
+            between = lambda sums, i, j: F.get(sums, j + 1) - F.get(sums, i)
+            fits = lambda i, j: (between(size, i, j) <= t["most"]) & (between(hit, i, j) >= t["need"]) & (between(bar, i, j) == 0)
+            starts = F.filter(F.sequence(F.lit(0), last - 1), lambda i: between(hit, i, i) > 0)
+            found = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(i + 1, last), lambda j: fits(i, j)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+            def scored(r: Column) -> Column:
+                flat = F.flatten(F.slice(listed, r["i"] + 1, r["j"] - r["i"] + 1))
+                unit = F.array_distinct(F.slice(flat, F.lit(1), F.size(flat) - 1))  # without the pair that leads out of the run
+                return let(unit, lambda u: let(F.size(F.array_intersect(u, t["pairs"])), lambda n: F.struct((-n).alias("shared"), (F.lit(-2.0) * n / (F.size(u) + F.size(t["pairs"]))).alias("worse"), t["name"].alias("name"), r["i"].alias("i"), r["j"].alias("j"))))
+
+            return F.filter(F.transform(found, scored), lambda r: r["worse"] <= -threshold)
+
+        return let(F.struct(_sums(hits).alias("hit"), _sums(F.transform(pieces, lambda p: (p == "|").cast("int"))).alias("bar")), with_sums)
+
+    every = let(pairs, lambda listed: let(_sums(F.transform(listed, F.size)), lambda size: F.flatten(F.transform(wanted, lambda t: of_template(t, listed, size)))))
+    none = F.expr("cast(array() as array<struct<shared:int,worse:double,name:string,i:int,j:int>>)")
+    free = lambda kept, r: ~F.exists(kept, lambda k: (k["i"] <= r["j"]) & (r["i"] <= k["j"]))
+    chosen = F.aggregate(F.array_sort(every), none, lambda kept, r: F.when(free(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+    return F.when((F.size(wanted) > 0) & (F.size(pieces) > 1), chosen).otherwise(none)
+
+
 def with_licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """``keep`` (None: all columns), n_licenses long (units that match a template), license string (the best one's name, null if
     none), dice double (its score) and licenses string (all names, sorted, comma-joined)."""
@@ -87,9 +135,10 @@ def with_licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None
     has_anchor = lambda unit: F.arrays_overlap(F.split(unit, "[^a-z0-9]+"), words)
     empty = F.expr("cast(array() as array<string>)")
     rows = df.select(*kept, text.alias("__t"))
-    rows = rows.select(*kept, F.when(has_anchor(F.lower("__t")), F.filter(_units(F.col("__t")), has_anchor)).otherwise(empty).alias("__units"))
+    rows = rows.select(*kept, "__t", F.when(has_anchor(F.lower("__t")), F.filter(_units(F.col("__t")), has_anchor)).otherwise(empty).alias("__units"))
     # words of a unit bound its distinct pairs from above only, so the pairs decide about the lower bound again
-    rows = rows.select(*kept, F.filter(F.transform("__units", _pairs), lambda p: F.size(p).between(low, high)).alias("__pairs"))
+    sized_units = F.filter(F.transform("__units", lambda u: F.struct(u.alias("unit"), _pairs(u).alias("pairs"))), lambda p: F.size(p["pairs"]).between(low, high))
+    rows = rows.select(*kept, "__t", (F.size("__units") > 0).alias("__any"), sized_units.alias("__pairs"))
 
     def best(unit: Column) -> Column:
         scores = []
@@ -100,7 +149,16 @@ def with_licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None
             scores.append(F.when(within, F.struct((-dice).alias("worse"), F.lit(name).alias("name"))))
         return F.array_min(F.array_compact(F.array(*scores)))
 
-    rows = rows.select(*kept, F.filter(F.transform("__pairs", best), lambda s: s["worse"] <= -threshold).alias("__found"))
+    alone = F.filter(F.transform("__pairs", lambda p: let(best(p["pairs"]), lambda b: F.struct(b["worse"].alias("worse"), b["name"].alias("name"), p["unit"].alias("unit")))), lambda s: s["worse"] <= -threshold)
+    most = lambda pairs: 3 * math.floor(round((2 - threshold) / threshold * len(pairs), 9))
+    searched = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, p)).alias("pairs"), F.lit(least_shared(len(p), threshold)).alias("need"), F.lit(most(p)).alias("most")) for name, p in sized])
+    wanted = let(_pairs(_normal(F.col("__t"))), lambda have: F.filter(searched, lambda t: F.size(F.array_intersect(t["pairs"], have)) >= t["need"]))
+    rows = rows.select(*kept, "__t", alone.alias("__alone"), F.when(F.col("__any"), wanted).otherwise(F.filter(searched, lambda t: F.lit(False))).alias("__wanted"))
+    pieces = F.when(F.size("__wanted") > 0, _pieces(F.col("__t"), F.transform("__alone", lambda s: s["unit"]))).otherwise(empty)
+    rows = rows.select(*kept, "__alone", "__wanted", pieces.alias("__pieces"))
+    rows = rows.select(*kept, "__alone", _runs(F.col("__pieces"), F.col("__wanted"), threshold).alias("__runs"))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["worse"].alias("worse"), s["name"].alias("name")))
+    rows = rows.select(*kept, F.concat(plain("__alone"), plain("__runs")).alias("__found"))
     found = F.col("__found")
     top = F.array_min(found)
     return rows.select(*kept, F.size(found).cast("long").alias("n_licenses"), top["name"].alias("license"), (-top["worse"]).alias("dice"), F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda s: s["name"]))), ",").alias("licenses"))

@@ -1,9 +1,13 @@
 """Inputs on which operators once did less than the whole job."""
 
+import re
+import textwrap
+
 import pytest
 
 import corpus_pipeline
-from gatelens.llm import html_extract, minhash_dedup, secret_scan
+from gatelens.llm import html_extract, license_scan, minhash_dedup, secret_scan
+from gatelens.llm.license_texts import TEMPLATES
 
 
 @pytest.mark.parametrize(
@@ -51,3 +55,15 @@ def test_near_copies_under_null_and_repeated_ids(spark):
     chain = [(1, near(0)), (None, near(9)), (2, near(18))]
     ids = {r.doc_id: (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()}
     assert ids == {1: (1, True), None: (1, False), 2: (1, False)}
+
+
+def test_notices_of_several_paragraphs_between_prose(spark):
+    long = {name: text for name, text in TEMPLATES if len(text) > 300}
+    prose = "\n\n".join(f"A paragraph of the report with number n{i}. It t{i} tells t{i} of w{i} the work a{i} and b{i} of its c{i} use d{i} in town e{i}." for i in range(12))
+    broken = lambda text: re.sub(r"(: 1\.|[.:]) (?=[A-Z1-9])", r"\1\n\n", text)
+    wrapped = lambda text: "\n".join(textwrap.wrap(text, 60))
+    rows = [(name, str(how is broken), f"{prose}\n{how(text)}\n{prose}") for name, text in long.items() for how in (broken, wrapped)]
+    rows += [("", "prose", prose), ("MIT", "one paragraph", f"{prose}\n\n{long['MIT']}\n\n{prose}")]
+    got = license_scan.with_licenses(spark.createDataFrame(rows, "want string, how string, text string"), keep=["want", "how"]).collect()
+    assert {(r.want, r.how): r.license or "" for r in got} == {(w, h): w for w, h, _ in rows}
+    assert all((r.n_licenses > 0) == (r.want != "") and (not r.want or r.dice >= 0.8) for r in got), got
