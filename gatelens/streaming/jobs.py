@@ -25,7 +25,8 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def gathered(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, name: str, files: int | None = None) -> DataFrame:
     """The rows that the job gave over all batches, with the number of their batch. The source's rows are written as a
-    stream's input: one after the other in ``files`` files by time, each a batch, or as they are."""
+    stream's input: one after the other in ``files`` files by time, each a batch, or as they are, all in one batch at any size:
+    files of several batches would not follow time, and rows behind the watermark would be lost."""
     at = folder(spark, name)
     if files:
         time = F.col("ts") if dict(source.dtypes)["ts"] == "bigint" else F.unix_micros(F.col("ts").cast("timestamp"))
@@ -35,7 +36,8 @@ def gathered(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame],
             source.where(part).coalesce(1).write.mode("append").parquet(f"{at}/input")
     else:
         source.write.parquet(f"{at}/input")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1 if files else 1000).parquet(f"{at}/input")
+    reader = spark.readStream.schema(source.schema)
+    stream = (reader.option("maxFilesPerTrigger", 1) if files else reader).parquet(f"{at}/input")
     rows = job(stream)
 
     def keep(batch: DataFrame, number: int) -> None:
