@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections import Counter
@@ -29,9 +30,12 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only where the session names none, as in tests on one machine, one is made."""
+    """The folder all executors see. Where the session names none, one is made if driver and tasks are one process; a
+    cluster has to name one."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not re.fullmatch(r"local(\[.*\])?", master := spark.conf.get("spark.master", "")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _OWN_DIR[0]
@@ -77,6 +81,23 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: Steps of a scan: an array has fewer than 2 ** 31 elements.
+POWERS = [1 << k for k in range(31)]
+
+
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element ``op`` (associative) over it and all before it: each round reaches twice as far back, so an array of n
+    elements is rewritten log n times and never once an element."""
+
+    def doubled(found: Column, far: Column) -> Column:
+        return F.transform(found, lambda x, i: F.when(i >= far, op(F.get(found, i - far), x)).otherwise(x))
+
+    def rounds(v: Column) -> Column:
+        return F.aggregate(F.filter(F.lit(POWERS), lambda far: far < F.size(v)), v, doubled)
+
+    return let(values, rounds)
+
+
 class TwoGenerations:
     """A bounded cache: when the young half is full the old half is forgotten, what is used in between stays."""
 
