@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,28 +116,29 @@ class TwoGenerations:
         self.young[key] = value
 
 
-def frequent_pieces(df: DataFrame, text_col: str, cut: Callable[[str], list], size: int, longest: int = 32, held: int = 400_000) -> list:
-    """The ``size`` most frequent pieces of all texts, most frequent first; ties by the piece.
+def frequent_pieces(df: DataFrame, text_col: str, cut: Callable[[str], list], size: int, longest: int = 32, sampled: int = 20_000, tasks: int = 8) -> list[bytes]:
+    """At most ``size`` frequent pieces, the most frequent first; ties by the piece.
 
-    Every task counts all its own pieces and hands on at most ``size`` of them with their counts, so what is
-    shuffled is bounded by the number of tasks and never holds the pieces themselves. A task that holds more than
-    ``held`` counts forgets the rarer half of them: the result steers caches and codes, never a value."""
+    They are counted over about ``sampled`` rows drawn from all of the table, for they only steer caches and codes and
+    never decide a value. So whatever the table's size, what is dealt to the ``tasks`` is that many texts, each task hands the
+    driver at most ``size`` pieces of at most ``longest`` bytes, and no pre-token is ever shuffled."""
+    texts = df.select(F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    share = min(1.0, sampled / max(1, df.count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(cut(text))
-                    if len(seen) > held:
-                        seen = Counter(dict(seen.most_common(held // 2)))
-        top = [(k if isinstance(k, bytes) else k.encode(), n) for k, n in seen.most_common(4 * size)]
-        top = [(k, n) for k, n in top if 0 < len(k) <= longest][:size]
+                seen.update(cut(text))
+        top = ((k if isinstance(k, bytes) else k.encode(), n) for k, n in seen.most_common())
+        top = list(islice(((k, n) for k, n in top if 0 < len(k) <= longest), size))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    counts = df.select(F.col(text_col).cast("string")).mapInArrow(count, "piece binary, n bigint")
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
-    return [bytes(r.piece) for r in top.collect()]  # at most size rows of at most longest bytes
+    drawn = texts if share == 1.0 else texts.sample(share, seed=17)
+    total: Counter = Counter()
+    for row in drawn.repartition(tasks).mapInArrow(count, "piece binary, n bigint").collect():  # at most tasks * size rows
+        total[bytes(row.piece)] += row.n
+    return sorted(total, key=lambda k: (-total[k], k))[:size]
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[bool, pa.RecordBatch]]:
