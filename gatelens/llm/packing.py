@@ -2,8 +2,9 @@
 
 Documents become pieces of at most ``capacity`` tokens (only longer documents are cut). Pieces are dealt to groups
 of bounded size; each group is packed by best-fit decreasing and gets a lower bound of its bin count from dual
-feasible functions. Groups whose bound is met are final. The others keep their full bins, give up the pieces of all
-other bins, exchange them, and are packed and certified again; a rerun is taken only if it needs fewer bins.
+feasible functions. Groups whose bound is met are certified. The others keep their full bins, give up the pieces of all
+other bins, exchange them, and are packed and certified again; a rerun is taken only if it needs fewer bins. As the groups'
+bounds may add up to more than the bound over all pieces, the emptiest bins of all groups then meet in the same way.
 
 A null text is empty and still has its closing id. Texts of any length are tokenised whole. Equal lengths are taken in
 the order of (doc_id, piece). Repeated rows are packed as often as they occur. Extra columns are not
@@ -137,13 +138,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of several dual feasible functions, each evaluated on the histogram.
+    """Bins that any packing of these lengths needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs of ``count[n]`` pieces of each length n: the best of several dual feasible functions.
 
     Threshold functions take a length over capacity - e as a whole bin and one below e as nothing; rounding functions
     take x as floor((k + 1) x) / k unless (k + 1) x is whole."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     many, mass = np.cumsum(count[::-1])[::-1], np.cumsum(count * size)
@@ -173,32 +176,59 @@ def _pack_groups(pieces: DataFrame, capacity: int) -> DataFrame:
     return pieces.groupBy("grp").applyInPandas(pack, PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 150_000, rounds: int = 3) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
+def least_sequences(pieces: DataFrame, capacity: int) -> int:
+    """The lower bound over all pieces, from the histogram of their lengths: at most ``capacity`` rows come to the driver."""
+    count = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").count().collect():
+        count[row["length"]] = row["count"]
+    return bound_of_counts(count, capacity)
+
+
+def _emptiest(state: DataFrame, capacity: int, per_group: int) -> int:
+    """Up to which fill the emptiest bins with room hold no more than ``per_group`` pieces; the smallest fill at least. At most
+    ``capacity`` rows come to the driver."""
+    held = sorted((r["fill"], r["count"]) for r in state.where(F.col("fill") < capacity).groupBy("fill").count().collect())
+    up_to, total = held[0][0] if held else 0, 0
+    for fill, n in held:
+        total += n
+        if total > per_group:
+            break
+        up_to = fill
+    return up_to
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 150_000, rounds: int = 4) -> DataFrame:
+    """Adds sequence_id, offset, sequence_length and least_sequences (the bound over all pieces) to pieces (doc_id, piece, start,
+    length, ids_crc32).
 
     per_group: about as many pieces are packed by one task, whatever the table's size. rounds: reruns at most; the
-    result is whole after any of them. Only counts come to the driver."""
+    result is whole after any of them. Groups whose own bound is not met exchange pieces first. When that saves nothing, the
+    emptiest bins of all groups, certified groups' too, as many as one task packs, are packed once more, unless all bins together
+    meet ``least_sequences``.
+    Only counts come to the driver."""
     pieces = written(pieces, "pieces")
-    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "length", "ids_crc32"), F.lit(n)).cast("long")
-    n = max(1, -(-pieces.count() // per_group))
-    state, first, final = written(_pack_groups(pieces.withColumn("grp", deal(0, n)), capacity), "packed"), 0, []
+    # a row's number goes into the deal, so equal rows are spread as well
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(n)).cast("long")
+    least = least_sequences(pieces, capacity)
+    groups = n = max(1, -(-pieces.count() // per_group))
+    state = written(_pack_groups(pieces.withColumn("grp", deal(0, n)), capacity), "packed")
+    has_room, opens, of_all = F.col("fill") < capacity, F.col("offset") == 0, n == 1  # each bin has one piece at 0
     for again in range(1, rounds + 1):
-        open_bin = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        loose = state.where(open_bin)
-        had = loose.groupBy("grp", "bin").count().agg(F.count("*").alias("bins"), F.countDistinct("grp").alias("groups"), F.sum("count").alias("pieces")).first()
-        if had.groups < 2:  # nothing to exchange with
+        loose = has_room & (F.col("fill") <= _emptiest(state, capacity, per_group) if of_all else F.col("gap") > 0)
+        had = state.agg(F.count_if(opens).alias("all"), F.count_if(opens & loose).alias("bins"), F.count_if(loose).alias("pieces")).first()
+        if had["all"] <= least:
+            break  # certified over all pieces
+        n = max(1, -(-had["pieces"] // per_group))
+        rows = state.where(loose).select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("grp", F.lit(groups) + deal(again, n))
+        groups, rerun = groups + n, written(_pack_groups(rows, capacity), "packed")
+        if rerun.where(opens).count() < had["bins"]:
+            state = state.where(~loose).unionByName(rerun)
+        elif of_all:
             break
-        first, n = first + n, max(1, -(-had.pieces // per_group))
-        rerun = loose.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("grp", F.lit(first) + deal(again, n))
-        rerun = written(_pack_groups(rerun, capacity), "packed")
-        if rerun.select("grp", "bin").distinct().count() >= had.bins:
-            break
-        final.append(state.where(~open_bin))
-        state = rerun
-    out = state
-    for part in final:
-        out = out.unionByName(part)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("grp") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"), "offset", F.col("fill").alias("sequence_length"))
+        else:
+            of_all = True
+    sequence = F.col("grp") * F.lit(1 << 32) + F.col("bin")
+    return state.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset", F.col("fill").alias("sequence_length"), F.lit(least).cast("long").alias("least_sequences"))
 
 
 def pack_documents(df: DataFrame, tokenizer_file: str, capacity: int = 2048, **options) -> DataFrame:

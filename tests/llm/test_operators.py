@@ -5,13 +5,15 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from gatelens.llm import html_extract, license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, source_mixing, substring_dedup, token_counts
-from gatelens.llm.common import connected_components
+from gatelens.llm.common import connected_components, frequent_pieces
 from gatelens.llm.queries import ORACLE_SQL, tokenizer_path
 
 from ..oracle import compare
@@ -62,10 +64,69 @@ def test_token_counts_equal_the_library(spark, docs, empty):
 
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "  ", "a\nb", "a \n\n b", "\ta", "a▁b", "<s>x</s>", "é\n  é ", "\r\n", "日 本"])
 def test_pre_tokens_with_blanks(text):
-    lengths = token_counts.PieceLengths(tokenizer_path("piece_bpe_32k.model"), ["a"])
+    lengths = token_counts.PieceLengths(tokenizer_path("piece_bpe_32k.model"), {"a": 1})
     assert lengths.count(text) == len(lengths.model.encode(text))
 
 
+def odd_marks(rng):
+    """Texts of blanks, marks, special strings, letters of many scripts and words."""
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\u3000", "▁", "<s>", "</s>", "<unk>", "<|endoftext|>", "<0x0A>", "it's", "don’t", "Å", "İ", "ß", "ﬁ", "日本", "𝄞", "👩‍👩‍👧", "é", "e\u0301", "12,345.6", "!?", "--", "a", "The", "token", "of", "Straße"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+
+
+def test_tokens_of_random_texts_equal_the_libraries():
+    rng = random.Random(6)
+    lengths = token_counts.PieceLengths(tokenizer_path("piece_bpe_32k.model"))
+    ids = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    for _ in range(3000):
+        text = odd_marks(rng)
+        assert lengths.count(text) == len(lengths.model.encode(text)), repr(text)
+        assert ids.text(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+@pytest.mark.parametrize("sampled", [1, 30, 10**6])
+def test_frequent_pieces_come_from_a_bounded_sample(docs, sampled):
+    found = frequent_pieces(docs, "text", lambda t: t.encode().split(), 2000, sampled=sampled)
+    assert len(found) <= 2000 and all(0 < len(p) <= 32 for p in found)
+    if sampled > 1000:
+        n = Counter(w for _, t, *_ in corpus() for w in (t or "").encode().split())
+        assert found == sorted((w for w in n if len(w) <= 32), key=lambda w: (-n[w], w))
+
+
+def test_equal_rows_are_packed_in_bounded_groups(spark):
+    same = spark.createDataFrame([(None, 0, 0, 700, 5)] * 1000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(same, 2048, per_group=100).collect()
+    assert len(rows) == 1000 and len({r.sequence_id for r in rows}) == 500
+    assert {r.least_sequences for r in rows} == {500}
+
+
+def test_certificate_holds_over_all_groups(spark):
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(rng.geometric(1 / 300, 20_000), 2048)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(pieces, 2048, per_group=500).collect()
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert len(rows) == 20_000 and max(used.values()) <= 2048
+    assert rows[0].least_sequences == packing.lower_bound(sizes, 2048)
+    assert len(used) <= rows[0].least_sequences + 3 < len({r.sequence_id for r in packing.pack(pieces, 2048, per_group=500, rounds=0).collect()})
+
+
+def test_fingerprints_equal_plain_votes(spark, docs):
+    def plain(text):
+        found = text.encode().split()
+        votes = np.zeros(64, int)
+        for a, b in zip(found, [*found[1:], None]):
+            h = xxhash.xxh64_intdigest(a, 42)
+            h = xxhash.xxh64_intdigest(b, h) if b is not None else h
+            votes += [(h >> k & 1) * 2 - 1 for k in range(64)]
+        return sum(1 << k for k in range(64) if votes[k] > 0)
+
+    got = {r.doc_id: r.fingerprint for r in simhash.fingerprint_report(docs).collect()}
+    assert got == {i: f"{plain(t or ''):016x}" for i, t, *_ in corpus()}
+
+
 @pytest.mark.parametrize("text", ["İstanbul it's", "Σας, 12ab", "x<|endoftext|>y", "a b\x1cc", "Éa!! o'x", "ﬁ ㎏", ""])
 def test_word_ids_equal_the_tokenizer(text):
     ids = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
