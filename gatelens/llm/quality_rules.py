@@ -3,7 +3,8 @@ by their posterior probability of being good.
 
 Each rule looks at one figure of a text and votes good (+), bad (-) or abstains (0). Documents with the same votes are
 alike to the model, so all of them are counted by vote pattern (at most 2 ** 8 * 3 ** 2 patterns, whatever the table's
-size) and EM runs on the counts, estimating how often each rule is right when it votes.
+size) and EM runs on the counts, estimating the share of good documents and how often each rule votes rightly, wrongly or not at
+all on good and on bad ones.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text has no words and fails the base rule. Texts are read whole. Repeated
 rows count as often as they occur; ties (posterior equal to the threshold) are kept. Columns named like a result are
@@ -104,22 +105,29 @@ def with_votes(df: DataFrame, text_col: str = "text", keep: list[str] | None = N
 def fit(patterns: dict[str, int], rounds: int = 200, prior: tuple[float, float] = (8.0, 2.0)) -> dict[str, float]:
     """Posterior probability of good for each vote pattern, from counts of patterns over all documents.
 
-    A rule that votes is right with its accuracy, on good and on bad documents alike; abstaining says nothing. prior:
-    pseudo-votes right and wrong of each rule, weighted by a hundredth of the documents, so that their part stays the
-    same as tables grow. Accuracies stay over one half, so that the classes can't change places."""
+    The share of good documents and, for each rule, how often it votes rightly, wrongly or abstains on good and on bad documents
+    are estimated in turns with the posteriors: most rules only ever vote bad, so their accuracy is that they abstain on good
+    documents and vote on bad ones, and an abstention counts little where the rule seldom votes. prior: pseudo-votes right and
+    wrong of each rule on each class, as many abstentions as both, together weighted by a hundredth of the documents, so that their
+    part stays the same as tables grow. A vote never speaks for the class that it is against, and the share stays between a
+    twentieth and nineteen, so that the classes can't change places."""
     if not patterns:
         return {}
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
-    v = np.array([[{"+": 1, "-": -1}.get(c, 0) for c in p] for p in names])
-    weight = max(1.0, n.sum() / 100) / sum(prior)
-    voted = v != 0
-    good = 1 / (1 + np.exp(-1.4 * v.sum(1)))
+    cast = np.array([[["-0+".index(c) == k for k in range(3)] for c in p] for p in names], float)  # pattern, rule, vote
+    can = cast.any(0)  # votes that a rule has cast at all
+    right, wrong = (x / sum(prior) / 2 for x in prior)
+    expected = np.array([[right, 0.5, wrong], [wrong, 0.5, right]])  # of bad, good documents
+    pseudo = np.where(can, expected[:, None, :], 0) * max(1.0, n.sum() / 100)
+    good = 1 / (1 + np.exp(-1.4 * (cast[:, :, 2] - cast[:, :, 0]).sum(1)))
     for _ in range(rounds):
-        right = good[:, None] * (v == 1) + (1 - good)[:, None] * (v == -1)
-        accuracy = (n @ right + prior[0] * weight) / (n @ voted + sum(prior) * weight)
-        accuracy = np.clip(accuracy, 0.55, 0.99)
-        new = 1 / (1 + np.exp(-(v @ np.log(accuracy / (1 - accuracy)))))
+        rates = np.einsum("cp,pjk->cjk", np.stack([n * (1 - good), n * good]), cast) + pseudo
+        rates /= rates.sum(2, keepdims=True)
+        says = np.log(np.where(can, rates[1], 1) / np.where(can, rates[0], 1))
+        says[:, 0], says[:, 2] = np.minimum(says[:, 0], 0), np.maximum(says[:, 2], 0)
+        share = np.clip(n @ good / n.sum(), 0.05, 0.95)
+        new = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + np.einsum("pjk,jk->p", cast, says))))
         if np.abs(new - good).max() < 1e-12:
             break
         good = new
@@ -130,8 +138,8 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep: list[str] | None
     """``keep`` (None: all columns), base figures, base_failed, votes, p_good double and kept boolean.
     Columns of the table that have such names are replaced.
 
-    The first pass counts vote patterns over all rows, the second decides; texts are never shuffled. Rows that do not
-    keep the text are small, so they are written once and read twice instead."""
+    Vote patterns are counted over all rows before any is decided; texts are never shuffled. Rows that do not keep the text as a
+    column are written once with their votes and read twice, others are voted on twice."""
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("p_good", "kept")]
     rows = with_votes(df, text_col, keep)
     if text_col not in rows.columns:

@@ -244,11 +244,47 @@ def test_radius_search_equals_all_pairs(spark):
     assert got == {(a, b) for a in prints for b in prints if bin(a ^ b).count("1") <= 3}
 
 
-def test_quality(docs, empty):
-    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, keep=["doc_id"]).collect()}
-    assert not got[0].kept and got[0].n_words == 0 and not got[3].kept
-    assert quality_rules.repeated_words("a b c d e a b c d e f".encode().split()) == 10
-    assert quality_rules.quality_rules(empty).count() == 0
+def plain_figures(text):
+    found = re.findall("[^\x20\x09-\x0d]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    again = sum(x in lines[:i] for i, x in enumerate(lines))
+    windows = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    return len(found), sum(map(len, found)), len(re.findall("[#*$%&|<>]", text or "")), again, len(covered)
+
+
+def test_quality_figures_equal_plain_counts(spark):
+    rng = random.Random(12)
+    part = ["a", "bc", "d e f g h", "Ééé", "日本", "\x1c", "\xa0", "\u2028", "#", "*$%&|<>", "\n", "\n\n", " ", "\t", "\x0b", "\x0c", "\r\n", "line of words", "x\ud7ff"]
+    texts = [None, "", " ", "\n"] + ["".join(rng.choice(part) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(rows, keep=["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        r, (n, chars, symbols, again, repeats) = got[i], plain_figures(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, again, repeats), repr(t)
+        assert r.base_failed == (n < 10 or 100 * repeats > 20 * n) and r.kept == (not r.base_failed and r.p_good >= 0.5)
+
+
+def test_quality_against_labels(spark):
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "quality")
+    kept = quality_rules.quality_rules(spark.read.parquet(f"{at}/documents.parquet"), keep=["doc_id"])
+    rows = kept.join(labels, "doc_id").select("kept", "quality").collect()
+    good, bad = ([r.kept for r in rows if r.quality == k] for k in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.05 * len(bad) and len(bad) > 20
+
+
+def test_share_and_rates_are_estimated():
+    n = 100_000
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.9):
+        good = rng.random(n) < share
+        says = lambda on_good, on_bad, c: np.where(rng.random(n) < np.where(good, on_good, on_bad), c, "0")
+        votes = [says(0.02, 0.6, "-") for _ in range(8)] + [np.where(rng.random(n) < 0.9, np.where(good, "+", "-"), "0") for _ in range(2)]
+        patterns = ["".join(p) for p in zip(*votes)]
+        p_good = quality_rules.fit(Counter(patterns))
+        kept = np.array([p_good[p] >= 0.5 for p in patterns])
+        assert (kept == good).mean() > 0.99 and abs(np.mean([p_good[p] for p in patterns]) - share) < 0.01
 
 
 def test_main_text_on_held_out_pages(spark):
