@@ -17,7 +17,7 @@ from gatelens.llm.queries import tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or whose posterior is under one half go."""
     whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
-    return quality_rules.quality_rules(whole).where("kept").select("document.*")
+    return quality_rules.quality_rules(whole, keep=["document"]).where("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
