@@ -7,8 +7,9 @@ by signature a batch of hashes at a time and given up as soon as the posterior p
 below ``miss``; survivors are verified on the full sets, most alike first, and only while they are not joined yet.
 
 A cluster of at most ``cluster_nodes`` nodes and ``cluster_bytes`` is one group, so each of its sets travels once. Larger clusters
-are worked on bucket by bucket, large buckets in blocks: every two blocks of a bucket meet in one group of
-bounded size. Both ways find the same links; results do not depend on the limits.
+are worked on bucket by bucket, large buckets in blocks of bounded size (``links_in_buckets``). Both ways join the same
+nodes; results do not depend on the limits. Joins whose key may hold many rows (copies of a text, a bucket, a component) keep these
+where they are (``join_hot``).
 
 With 32 bands of 4 hashes a pair at the threshold of 0.8 is missed by all bands with probability 5e-8. Shingles and
 nodes are 64-bit hashes. Nulls, empty texts and texts without words are linked with nothing. Texts of any length are
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, runs_of, written
+from .common import connected_components, join_hot, runs_of, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -109,10 +110,14 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def link_group(signatures: np.ndarray, sets: list[np.ndarray], percent: int, miss: float) -> np.ndarray:
-    """For each node of a group the first node of its component; pairs of joined nodes are not verified again."""
+def link_group(signatures: np.ndarray, sets: list[np.ndarray], percent: int, miss: float, joined: np.ndarray | None = None) -> np.ndarray:
+    """For each node of a group the first node of its component; pairs of joined nodes are not verified again. joined: numbers of
+    the components that are known already."""
     n = len(sets)
-    root = np.arange(n)
+    root, known = np.arange(n), np.arange(n)
+    if joined is not None:
+        known = np.unique(joined, return_inverse=True)[1]
+        root = np.unique(known, return_index=True)[1][known]
     keep = least_matches(percent, miss)
 
     def find(i: int) -> int:
@@ -130,7 +135,7 @@ def link_group(signatures: np.ndarray, sets: list[np.ndarray], percent: int, mis
     done = np.zeros(n, bool)
     for i in order:
         done[i] = True
-        others = np.flatnonzero(~done & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+        others = np.flatnonzero(~done & (known != known[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
         same = np.zeros(len(others), np.int64)
         for k, least in enumerate(keep):
             lo = k * BATCH
@@ -193,17 +198,20 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def links_in_groups(groups: DataFrame, percent: int, miss: float) -> DataFrame:
-    """a, b for rows (gid, node, sig, members): each node of a group with the first of its component."""
+    """a, b for rows (gid, node, sig, members, known): each node of a group with the first of its component. Nodes with the same
+    ``known`` are joined already, unless it is null; a node that comes twice counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def settle() -> pa.RecordBatch | None:
-            if len(held) < 2:
+            once = [h for h, before in zip(held, [None, *held]) if before is None or h[0] != before[0]]
+            if len(once) < 2:
                 return None
-            node = np.array([h[0] for h in held], np.int64)
-            sig = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(len(held), HASHES)
-            root = link_group(sig, [np.frombuffer(h[2], np.uint64) for h in held], percent, miss)
+            node = np.array([h[0] for h in once], np.int64)
+            sig = np.frombuffer(b"".join(h[1] for h in once), np.uint8).reshape(len(once), HASHES)
+            known = None if once[0][3] is None else np.array([h[3] for h in once], np.int64)
+            root = link_group(sig, [np.frombuffer(h[2], np.uint64) for h in once], percent, miss, known)
             joined = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[root[joined]])], ["a", "b"])
 
@@ -212,11 +220,46 @@ def links_in_groups(groups: DataFrame, percent: int, miss: float) -> DataFrame:
                 if found := settle():
                     yield found
                 held = []
-            held += zip(*(part.column(i).to_pylist() for i in (1, 2, 3)))
+            held += zip(*(part.column(i).to_pylist() for i in range(1, 5)))
         if found := settle():
             yield found
 
-    return groups.select("gid", "node", "sig", "members").repartition("gid").sortWithinPartitions("gid", "node").mapInArrow(run, "a bigint, b bigint")
+    dealt = groups.select("gid", "node", "sig", "members", "known").repartition("gid").sortWithinPartitions("gid", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def links_in_buckets(members: DataFrame, sets: DataFrame, percent: int, miss: float, block: int, pivots: int = 32) -> DataFrame:
+    """a, b for the nodes of ``sets`` (node, sig, members), compared in each bucket of ``members`` (key, node, n) that they share.
+
+    A bucket is dealt to blocks of about ``block`` nodes. First each block is worked on by itself, with some ``pivots`` nodes of the
+    bucket that come to all of its blocks, so that what is alike nearly everywhere is one component then. Pairs of one
+    component need no more work. So in a second step only the nodes outside a bucket's largest component meet all the others of it, block
+    by block: a set travels as often as there are blocks of such nodes, not as often as there are blocks."""
+    here = written(members.join(sets.select("node"), "node", "left_semi").select("key", "node", "n"), "blocks")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    spot = lambda seed, k: F.pmod(F.xxhash64("node", F.lit(seed)), k).cast("int")
+    every = lambda k: F.sequence(F.lit(0), k - 1)
+    with_sets = lambda rows: rows.join(sets.select("node", "sig", "members"), "node")
+
+    to = F.when(spot(3, F.col("n")) < pivots, every(blocks)).otherwise(F.array(spot(2, blocks)))
+    first = here.select("node", "key", F.explode(to).alias("j")).select("node", F.xxhash64("key", "j").alias("gid"), F.lit(None).cast("bigint").alias("known"))
+    links = written(links_in_groups(with_sets(first), percent, miss), "links-in-blocks")
+
+    split = here.where(F.col("n") > block)
+    if split.isEmpty():
+        return links
+    comps = connected_components(links)
+    placed = written(split.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("known")), "placed")
+    largest = placed.groupBy("key", "n", "known").agg(F.count("*").alias("m")).groupBy("key", "n").agg(F.max(F.struct("m", "known")).alias("top"), F.sum("m").alias("all"))
+    largest = largest.select("key", "n", F.col("top.known").alias("main"), (F.col("all") - F.col("top.m")).alias("apart")).where("apart > 0")
+    rows = join_hot(placed.drop("n"), written(largest, "largest"), "key")
+    rest = F.ceil(F.col("apart") / block).cast("int")
+    group = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_other = F.transform(every(rest), lambda i: group(i, spot(2, blocks)))
+    as_apart = F.when(F.col("known") != F.col("main"), F.transform(every(blocks), lambda j: group(spot(4, rest), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    second = rows.select("node", "known", "key", F.explode(F.concat(as_other, as_apart)).alias("to"))
+    second = second.select("node", "known", F.xxhash64("key", "to.i", "to.j").alias("gid"))
+    return links.unionByName(links_in_groups(with_sets(second), percent, miss))
 
 
 def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -228,33 +271,33 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """doc_id, rid, n_shingles, component_id, owner for every row: the row hash of its component's owner, null without words."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     base = written(shingled(docs, shingle), "shingled")
-    nodes = base.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("low"))
-    bands = base.where("node is not null").select("node", F.explode("bands").alias("key")).distinct()
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
+    nodes = base.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), low.alias("low"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = written(nodes, "nodes")
+    bands = nodes.select("node", F.explode("bands").alias("key"))
     # buckets of two nodes or more; those with the same members count once
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    buckets = buckets.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key"))
-    members = written(bands.join(buckets.select("key", "n", F.col("lo").alias("first")), "key").select("key", "node", "n", "first"), "buckets")
+    buckets = written(buckets.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", "n", F.col("lo").alias("first")), "buckets")
+    members = written(join_hot(bands, buckets, "key").select("key", "node", "n", "first"), "members")
     clusters = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    owners = clusters.join(nodes, "node").select("node", F.col("low.rid").alias("rid"))
-    sets = full_sets(docs.join(owners.select("rid").distinct(), "rid", "left_semi"), shingle).dropDuplicates(["node"])
-    sigs = base.where("node is not null").join(clusters.select("node"), "node", "left_semi").select("node", "sig").dropDuplicates(["node"])
-    ready = written(clusters.join(sets, "node").join(sigs, "node"), "sets")
-    weights = ready.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum(F.length("members")).alias("bytes"))
-    small = (F.col("nodes") <= cluster_nodes) & (F.col("bytes") <= cluster_bytes)
-    links = links_in_groups(ready.join(weights.where(small).select("comp"), "comp", "left_semi").withColumn("gid", F.col("comp")), percent, miss)
-    large = weights.where(~small).select("comp")
+    owners = written(clusters.join(nodes.select("node", F.col("low.rid").alias("rid"), "size", "sig"), "node"), "owners")
+    weights = written(owners.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes")), "weights")
+    small = (F.col("n") <= cluster_nodes) & (F.col("bytes") <= cluster_bytes)
+    placed = join_hot(owners, weights, "comp").select("node", "comp", "sig", small.alias("small"))
+    sets = full_sets(docs.join(owners.select("rid"), "rid", "left_semi"), shingle).dropDuplicates(["node"])
+    ready = written(placed.join(sets, "node"), "sets")
+    links = links_in_groups(ready.where("small").select(F.col("comp").alias("gid"), "node", "sig", "members", F.lit(None).cast("bigint").alias("known")), percent, miss)
+    large = ready.where("not small")
     if not large.isEmpty():
-        of_large = members.join(ready.join(large, "comp", "left_semi").select("node"), "node", "left_semi")
-        blocks = F.ceil(F.col("n") / block).cast("int")
-        mine = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
-        meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("key", F.least(o, mine), F.greatest(o, mine)))
-        split = of_large.select("node", F.explode(meets).alias("gid"))
-        links = links.unionByName(links_in_groups(split.join(ready.select("node", "sig", "members"), "node"), percent, miss))
+        links = links.unionByName(links_in_buckets(members, large, percent, miss, block))
     comps = connected_components(links)
-    lows = nodes.join(comps, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
-    lows = lows.join(lows.groupBy("comp").agg(F.min("low").alias("first")), "comp").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("owner"))
-    out = base.join(lows, "node", "left")
-    return out.select("doc_id", "rid", "n_shingles", F.when(F.col("owner").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "owner")
+    lows = written(nodes.join(comps, "node", "left").select("node", "n", "low", F.coalesce("comp", "node").alias("comp")), "lows")
+    firsts = written(lows.groupBy("comp").agg(F.min("low").alias("first"), F.count("*").alias("n")), "firsts")
+    lows = join_hot(lows.select("node", "comp", F.col("n").alias("rows")), firsts, "comp")
+    lows = written(lows.select("node", F.col("rows").alias("n"), F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("owner")), "lows")
+    has_words = join_hot(base.where("node is not null").select("node", "doc_id", "rid", "n_shingles"), lows, "node").select("doc_id", "rid", "n_shingles", "component_id", "owner")
+    none = base.where("node is null").select("doc_id", "rid", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("owner"))
+    return has_words.unionByName(none)
 
 
 def near_duplicates(df: DataFrame, *args, **limits) -> DataFrame:

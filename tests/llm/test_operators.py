@@ -10,10 +10,11 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gatelens.llm import html_extract, license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, source_mixing, substring_dedup, token_counts
-from gatelens.llm.common import connected_components, frequent_pieces
+from gatelens.llm.common import connected_components, frequent_pieces, join_hot
 from gatelens.llm.queries import ORACLE_SQL, tokenizer_path
 
 from ..oracle import compare
@@ -176,7 +177,7 @@ def test_repeats_equal_brute_force(docs, limits, tasks):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
-@pytest.mark.parametrize("limits", [{}, {"cluster_nodes": 2, "block": 2}])
+@pytest.mark.parametrize("limits", [{}, {"cluster_nodes": 2, "block": 2}, {"cluster_bytes": 0, "block": 5}])
 def test_components_equal_brute_force(docs, limits):
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs, **limits).collect()}
     sets = {}
@@ -192,6 +193,52 @@ def test_components_equal_brute_force(docs, limits):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+@pytest.mark.parametrize("limits", [{}, {"cluster_nodes": 10, "block": 40}, {"cluster_nodes": 10, "block": 7}])
+def test_chains_and_families_across_blocks(spark, limits):
+    """A family of near copies, a chain of which only neighbours are linked, and copies under null ids."""
+    rng = random.Random(21)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    base = [next(fresh) for _ in range(300)]
+    texts = []
+    for _ in range(120):  # most are alike, all share bands
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(300)] = next(fresh)
+        texts.append(" ".join(copy))
+    chain = [next(fresh) for _ in range(400)]
+    for _ in range(60):
+        texts.append(" ".join(chain))
+        chain = chain[30:] + [next(fresh) for _ in range(30)]
+    rows = [(None if i % 7 == 3 else i, t) for i, t in enumerate(texts)] + [(None, texts[0])] * 50 + [(900 + i, texts[0].upper()) for i in range(50)] + [(7, None), (None, None), (8, " ")]
+    got = minhash_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), **limits).collect()
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0:
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    least = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp)}
+    want = sorted(((rows[i][0] or -1, len(sets[i]), least[comp[i]] if least[comp[i]] is not None else -1) for i in range(len(rows))))
+    assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got)) == want
+
+
+def test_hot_keys_lose_no_rows(spark):
+    rows = spark.range(20_000).selectExpr("if(id < 8000, 0, id % 5000) AS k", "id AS v")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")).where("k % 2 = 0")
+    got = join_hot(rows, facts, "k").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("top")).alias("s")).first()
+    assert got == rows.join(facts, "k").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("top")).alias("s")).first()
+    assert join_hot(rows, facts, "k", "left_semi").count() == rows.join(facts, "k", "left_semi").count()
+
+
+def test_components_of_a_star(spark):
+    links = [(i, 5000) for i in range(1, 3000)] + [(5001, i) for i in range(6000, 8000)] + [(3000, 6000)]
+    found = {r.node: r.comp for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {n: 1 if n <= 5000 and n != 3000 else 3000 for link in links for n in link}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.comp for r in connected_components(links).collect()}
