@@ -160,17 +160,17 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[bool,
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot: bool | None = None) -> DataFrame:
     """``rows`` joined (inner or left_semi) with ``facts``: one row a key, with a column ``n``, how many of ``rows`` it has (roughly).
 
     Facts of hot keys are broadcast, fewer than HOT of them; so rows of a hot key stay where they are, and all the others meet
-    their facts in a shuffle in which no key has more than one in HOT rows. Both may be read twice: they should be written tables."""
-    held = facts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
-    if (held["most"] or 0) * HOT <= (held["all"] or 0):
+    their facts in a shuffle in which no key has more than one in HOT rows. Where no key is hot, or ``hot`` says so, it is a plain join."""
+    held = facts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first() if hot is not False else None
+    if held is None or (held["most"] or 0) * HOT <= (held["all"] or 0):
         return rows.join(facts, key, how)
     is_hot = F.col("n") * HOT > held["all"]
-    hot = F.broadcast(facts.where(is_hot))
-    return rows.join(hot, key, how).unionByName(rows.join(hot.select(key), key, "left_anti").join(facts.where(~is_hot), key, how))
+    few = F.broadcast(facts.where(is_hot))
+    return rows.join(few, key, how).unionByName(rows.join(few.select(key), key, "left_anti").join(facts.where(~is_hot), key, how))
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -178,23 +178,28 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn: every step joins each node's neighbours to the smallest of them, so a
     component becomes a star in a number of rounds that grows with the logarithm of its size. No group is collected: a node's
-    smallest neighbour is an aggregate that is joined back, apart for the few nodes with very many neighbours. Each round is
+    smallest neighbour is an aggregate that is joined back, by ``join_hot`` where some node has very many neighbours. Each round is
     written to the shared folder."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-        least = written(least.where("n > 0"), "least")  # a node that is larger than all its neighbours has none to hand on
-        large = written(join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        ends = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = join_hot(large, least, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = written(small, "links")
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if now == mark:
+        up, down = F.count_if(F.col("b") > F.col("a")), F.count_if(F.col("b") < F.col("a"))
+        nodes = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), up.alias("n"), down.alias("down"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+        now = nodes.agg(F.sum("n").alias("all"), F.max("n").alias("up"), F.max("down").alias("down"), F.bit_xor("x").alias("x")).first()
+        if now["all"] is None or (now["all"], now["x"]) == mark:
             break
-        mark = now
+        mark = (now["all"], now["x"])
+        up_hot, down_hot = now["up"] * HOT > now["all"], now["down"] * HOT > now["all"]
+        least = nodes.where("n > 0").select("a", "m", "n")  # a node that is larger than all its neighbours has none to hand on
+        least = written(least, "least") if up_hot else least
+        large = join_hot(both.where("b > a"), least, "a", hot=up_hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "large") if down_hot else large
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = written(least, "least") if down_hot else least  # a node has no more smaller neighbours now than before
+        ends = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = join_hot(large, least, "a", hot=down_hot).select(F.explode(ends).alias("e")).select("e.a", "e.b")
+        edges = written(small.where("a <> b").distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

@@ -281,7 +281,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     members = written(join_hot(bands, buckets, "key").select("key", "node", "n", "first"), "members")
     clusters = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
     owners = written(clusters.join(nodes.select("node", F.col("low.rid").alias("rid"), "size", "sig"), "node"), "owners")
-    weights = written(owners.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes")), "weights")
+    weights = owners.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
     small = (F.col("n") <= cluster_nodes) & (F.col("bytes") <= cluster_bytes)
     placed = join_hot(owners, weights, "comp").select("node", "comp", "sig", small.alias("small"))
     sets = full_sets(docs.join(owners.select("rid"), "rid", "left_semi"), shingle).dropDuplicates(["node"])
@@ -292,7 +292,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         links = links.unionByName(links_in_buckets(members, large, percent, miss, block))
     comps = connected_components(links)
     lows = written(nodes.join(comps, "node", "left").select("node", "n", "low", F.coalesce("comp", "node").alias("comp")), "lows")
-    firsts = written(lows.groupBy("comp").agg(F.min("low").alias("first"), F.count("*").alias("n")), "firsts")
+    firsts = lows.groupBy("comp").agg(F.min("low").alias("first"), F.count("*").alias("n"))
     lows = join_hot(lows.select("node", "comp", F.col("n").alias("rows")), firsts, "comp")
     lows = written(lows.select("node", F.col("rows").alias("n"), F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("owner")), "lows")
     has_words = join_hot(base.where("node is not null").select("node", "doc_id", "rid", "n_shingles"), lows, "node").select("doc_id", "rid", "n_shingles", "component_id", "owner")
