@@ -6,9 +6,9 @@ members are one; nodes joined by buckets are a cluster, and no link crosses clus
 by signature a batch of hashes at a time and given up as soon as the posterior probability that they are alike falls
 below ``miss``; survivors are verified on the full sets, most alike first, and only while they are not joined yet.
 
-A cluster of at most ``cluster_nodes`` nodes and ``cluster_bytes`` is one group, so each of its sets travels once. Larger clusters
-are worked on bucket by bucket, large buckets in blocks of bounded size (``links_in_buckets``). Both ways join the same
-nodes; results do not depend on the limits. Joins whose key may hold many rows (copies of a text, a bucket, a component) keep these
+A cluster of at most ``cluster_nodes`` nodes is worked on like one bucket, so its sets need not travel once a bucket; larger clusters
+go bucket by bucket. What is over ``block`` nodes or ``block_bytes`` is worked on in blocks (``links_in_buckets``), so what a task
+holds is bounded but for single long texts. All ways join the same nodes; results do not depend on the limits. Joins whose key may hold many rows (copies of a text, a bucket, a component) keep these
 where they are (``join_hot``).
 
 With 32 bands of 4 hashes a pair at the threshold of 0.8 is missed by all bands with probability 5e-8. Shingles and
@@ -228,35 +228,35 @@ def links_in_groups(groups: DataFrame, percent: int, miss: float) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def links_in_buckets(members: DataFrame, sets: DataFrame, percent: int, miss: float, block: int, pivots: int = 32) -> DataFrame:
-    """a, b for the nodes of ``sets`` (node, sig, members), compared in each bucket of ``members`` (key, node, n) that they share.
+def links_in_buckets(units: DataFrame, sets: DataFrame, percent: int, miss: float, block: int, block_bytes: int, pivots: int = 32) -> DataFrame:
+    """a, b for the nodes of ``sets`` (node, sig, members), compared in each bucket of ``units`` (key, node, n, bytes) that they share.
 
-    A bucket is dealt to blocks of about ``block`` nodes. First each block is worked on by itself, with some ``pivots`` nodes of the
-    bucket that come to all of its blocks, so that what is alike nearly everywhere is one component then. Pairs of one
-    component need no more work. So in a second step only the nodes outside a bucket's largest component meet all the others of it, block
-    by block: a set travels as often as there are blocks of such nodes, not as often as there are blocks."""
-    here = written(members.join(sets.select("node"), "node", "left_semi").select("key", "node", "n"), "blocks")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    A bucket is dealt to blocks of about ``block`` nodes or ``block_bytes``. First each block is worked on by itself, with some
+    ``pivots`` nodes of the bucket that come to all of its blocks, so that what is alike nearly everywhere is one component then. Pairs
+    of one component need no more work. So in a second step only the nodes outside a bucket's largest component meet all the
+    others of it, block by block: a set travels as often as there are blocks of such nodes, not as often as there are blocks."""
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int")
+    units = written(units.select("key", "node", "n", blocks.alias("blocks")), "units")
     spot = lambda seed, k: F.pmod(F.xxhash64("node", F.lit(seed)), k).cast("int")
     every = lambda k: F.sequence(F.lit(0), k - 1)
     with_sets = lambda rows: rows.join(sets.select("node", "sig", "members"), "node")
 
-    to = F.when(spot(3, F.col("n")) < pivots, every(blocks)).otherwise(F.array(spot(2, blocks)))
-    first = here.select("node", "key", F.explode(to).alias("j")).select("node", F.xxhash64("key", "j").alias("gid"), F.lit(None).cast("bigint").alias("known"))
+    to = F.when(spot(3, F.col("n")) < pivots, every(F.col("blocks"))).otherwise(F.array(spot(2, F.col("blocks"))))
+    first = units.select("node", "key", F.explode(to).alias("j")).select("node", F.xxhash64("key", "j").alias("gid"), F.lit(None).cast("bigint").alias("known"))
     links = written(links_in_groups(with_sets(first), percent, miss), "links-in-blocks")
 
-    split = here.where(F.col("n") > block)
+    split = units.where("blocks > 1")
     if split.isEmpty():
         return links
     comps = connected_components(links)
-    placed = written(split.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("known")), "placed")
-    largest = placed.groupBy("key", "n", "known").agg(F.count("*").alias("m")).groupBy("key", "n").agg(F.max(F.struct("m", "known")).alias("top"), F.sum("m").alias("all"))
-    largest = largest.select("key", "n", F.col("top.known").alias("main"), (F.col("all") - F.col("top.m")).alias("apart")).where("apart > 0")
-    rows = join_hot(placed.drop("n"), written(largest, "largest"), "key")
-    rest = F.ceil(F.col("apart") / block).cast("int")
+    placed = written(split.join(comps, "node", "left").select("key", "node", "blocks", F.coalesce("comp", "node").alias("known")), "placed")
+    largest = placed.groupBy("key", "known").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "known")).alias("top"), F.sum("m").alias("n"))
+    largest = largest.select("key", "n", F.col("top.known").alias("main"), (F.lit(1) - F.col("top.m") / F.col("n")).alias("apart")).where("apart > 0")
+    rows = join_hot(placed, written(largest, "largest"), "key")
+    rest = F.ceil(F.col("apart") * F.col("blocks")).cast("int")
     group = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    as_other = F.transform(every(rest), lambda i: group(i, spot(2, blocks)))
-    as_apart = F.when(F.col("known") != F.col("main"), F.transform(every(blocks), lambda j: group(spot(4, rest), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    as_other = F.transform(every(rest), lambda i: group(i, spot(2, F.col("blocks"))))
+    as_apart = F.when(F.col("known") != F.col("main"), F.transform(every(F.col("blocks")), lambda j: group(spot(4, rest), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     second = rows.select("node", "known", "key", F.explode(F.concat(as_other, as_apart)).alias("to"))
     second = second.select("node", "known", F.xxhash64("key", "to.i", "to.j").alias("gid"))
     return links.unionByName(links_in_groups(with_sets(second), percent, miss))
@@ -267,29 +267,31 @@ def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6, cluster_nodes: int = 4_000, cluster_bytes: int = 64_000_000, block: int = 800) -> DataFrame:
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6, cluster_nodes: int = 4_000, block: int = 250, block_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, rid, n_shingles, component_id, owner for every row: the row hash of its component's owner, null without words."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     base = written(shingled(docs, shingle), "shingled")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    nodes = base.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), low.alias("low"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = base.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), low.alias("low"), (F.first("n_shingles") * 8).alias("bytes"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    bands = nodes.select("node", F.explode("bands").alias("key"))
+    bands = nodes.select("node", "bytes", F.explode("bands").alias("key"))
     # buckets of two nodes or more; those with the same members count once
-    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    buckets = written(buckets.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", "n", F.col("lo").alias("first")), "buckets")
-    members = written(join_hot(bands, buckets, "key").select("key", "node", "n", "first"), "members")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (0, 1)]
+    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("lo"), F.max("node").alias("hi"), *same).where("n > 1")
+    buckets = buckets.groupBy("n", "lo", "hi", "x0", "x1").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes"))
+    buckets = written(buckets.select("key", "n", "bytes", F.col("lo").alias("first")), "buckets")
+    members = written(join_hot(bands.drop("bytes"), buckets, "key").select("key", "node", "n", "bytes", "first"), "members")
     clusters = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    owners = written(clusters.join(nodes.select("node", F.col("low.rid").alias("rid"), "size", "sig"), "node"), "owners")
-    weights = owners.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
-    small = (F.col("n") <= cluster_nodes) & (F.col("bytes") <= cluster_bytes)
-    placed = join_hot(owners, weights, "comp").select("node", "comp", "sig", small.alias("small"))
-    sets = full_sets(docs.join(owners.select("rid"), "rid", "left_semi"), shingle).dropDuplicates(["node"])
-    ready = written(placed.join(sets, "node"), "sets")
-    links = links_in_groups(ready.where("small").select(F.col("comp").alias("gid"), "node", "sig", "members", F.lit(None).cast("bigint").alias("known")), percent, miss)
-    large = ready.where("not small")
-    if not large.isEmpty():
-        links = links.unionByName(links_in_buckets(members, large, percent, miss, block))
+    owners = written(clusters.join(nodes.select("node", F.col("low.rid").alias("rid"), "bytes", "sig"), "node"), "owners")
+    weights = owners.groupBy("comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    placed = written(join_hot(owners.select("node", "comp"), weights, "comp"), "placed")
+    # the texts are dealt by row, even where so few are wanted that their rows could be broadcast
+    sets = full_sets(docs.join(owners.select("rid").hint("shuffle_hash"), "rid", "left_semi"), shingle).dropDuplicates(["node"])
+    ready = written(owners.select("node", "sig").join(sets, "node"), "sets")
+    in_one = F.col("n") <= cluster_nodes
+    units = placed.where(in_one).select(F.col("comp").alias("key"), "node", "n", "bytes")
+    units = units.unionByName(members.join(placed.where(~in_one).select("node"), "node", "left_semi").select("key", "node", "n", "bytes"))
+    links = links_in_buckets(units, ready, percent, miss, block, block_bytes)
     comps = connected_components(links)
     lows = written(nodes.join(comps, "node", "left").select("node", "n", "low", F.coalesce("comp", "node").alias("comp")), "lows")
     firsts = lows.groupBy("comp").agg(F.min("low").alias("first"), F.count("*").alias("n"))

@@ -177,7 +177,7 @@ def test_repeats_equal_brute_force(docs, limits, tasks):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
-@pytest.mark.parametrize("limits", [{}, {"cluster_nodes": 2, "block": 2}, {"cluster_bytes": 0, "block": 5}])
+@pytest.mark.parametrize("limits", [{}, {"cluster_nodes": 2, "block": 2}, {"block_bytes": 2_000, "block": 5}])
 def test_components_equal_brute_force(docs, limits):
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs, **limits).collect()}
     sets = {}
@@ -193,7 +193,7 @@ def test_components_equal_brute_force(docs, limits):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"cluster_nodes": 10, "block": 40}, {"cluster_nodes": 10, "block": 7}])
+@pytest.mark.parametrize("limits", [{}, {"block": 40}, {"cluster_nodes": 10, "block": 7}])
 def test_chains_and_families_across_blocks(spark, limits):
     """A family of near copies, a chain of which only neighbours are linked, and copies under null ids."""
     rng = random.Random(21)
