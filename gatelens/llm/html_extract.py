@@ -6,8 +6,9 @@ word of the text. The field is trained on labelled pages (``labelled_pages``: la
 labelled; a fixed number, so training doesn't grow with the corpus) and decoded by Viterbi for each page.
 
 Scripts, styles, templates, images, comments and the head are no text. A head without end tag goes as far as its own kinds of tags do, an
-image without one up to the next block; scripts, styles and templates without one run to the end of the page. A '<' that begins no tag
-is text, except as the last character of a page. White space inside a block is one space, character
+image without one up to the next block; scripts and styles without one run to the end of the page, of templates and noscript
+parts only the tag is left out then. A '<' that begins no tag is text, except as the last character of a page. Blocks nested more than
+DEEPEST deep count as blocks of that depth. White space inside a block is one space, character
 references are decoded, blocks are joined by a line feed. A null or empty page, or one without blocks, gives an empty text with 0
 characters. Pages are read whole, cut-off ones up to where they end. Rows are independent, so repeated rows
 repeat their result; columns named like a result are replaced, extra columns stay where they are kept. An empty table gives an empty result.
@@ -30,19 +31,38 @@ BLOCK_TAGS = frozenset("html body div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 tabl
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open one of these kinds when no other block stands between.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {t: ("p",) for t in ("div", "ul", "ol", "table", "section", "article", "aside", "nav", "header", "footer", "main", "form", "h1", "h2", "h3", "h4", "blockquote", "pre")}
+DEEPEST = 64
 #: Block tags, and others that end foreign content; those that an image may hold itself do not.
 BREAKS = "|".join(sorted((BLOCK_TAGS | set("b big br code em embed font i img s small span strike strong sub sup tt u var".split())) - set("iframe video audio canvas".split())))
 ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 
-def _whole(tags: str, last: str = "") -> str:
-    """Elements of these tags with all that is in them; without groups, which possessive repeats would spoil."""
-    return "|".join(rf"<{t}(?=[\s/>])[^>]*>.*?(?:</{t}\s*>{last})" for t in tags.split())
 
-
-#: A head up to its end tag if no block comes before it, else as far as its own kinds of tags go.
-HEAD = rf"""<head(?=[\s/>])[^>]*>(?:(?:[^<]++|<!--.*?-->|{_whole("script style noscript template title svg")}|<(?!/?(?:{"|".join(sorted(BLOCK_TAGS))})[\s/>]|/head\s*>))*+</head\s*>|(?:\s++|<!--.*?(?:-->|\Z)|{_whole("script style noscript template title noframes", r"|\Z")}|</?(?:meta|link|base|basefont|bgsound)(?=[\s/>]){ATTRIBUTES}(?:>|\Z)|<[!?][^>]*(?:>|\Z))*+)"""
-SVG = rf"""<svg(?=[\s/>]){ATTRIBUTES}(?:(?<=/)>|>(?:[^<]++|<!--.*?-->|{_whole("foreignObject style script")}|<(?!/?(?:{BREAKS})[\s/>]|/svg\s*>))*+(?:</svg\s*>)?)"""
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|{HEAD}|{SVG}|<(?P<skip>script|style|noscript|template)(?=[\s/>])[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<named>{ATTRIBUTES})(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<named2>[^>]*)(?:>|\Z)""", re.S | re.I)
+def _whole(tags: str) -> str:
+    """Elements of these tags with all that is in them; without groups, which possessive repeats would spoil. Without its end tag
+    one runs to the end of the page, so no place is searched from twice."""
+    return "|".join(rf"<{t}(?=[\s/>])[^>]*>.*?(?:</{t}\s*>|\Z)" for t in tags.split())
+
+
+#: The first head, after its name: up to its end tag if no block comes before it, else as far as its own kinds of tags go.
+HEAD = re.compile(
+    rf"""[^>]*>(?:
+    (?:[^<]++|<!--.*?(?:-->|\Z)|{_whole("script style noscript template title svg")}|<(?!/?(?:{"|".join(sorted(BLOCK_TAGS))})[\s/>]|/head\s*>))*+</head\s*>
+    |(?:\s++|<!--.*?(?:-->|\Z)|{_whole("script style noscript template title noframes")}|</?(?:meta|link|base|basefont|bgsound)(?=[\s/>]){ATTRIBUTES}(?:>|\Z)|<[!?][^>]*(?:>|\Z))*+
+    )""",
+    re.S | re.I | re.X,
+)
+SVG = rf"""<svg(?=[\s/>]){ATTRIBUTES}(?:(?<=/)>|>(?:[^<]++|<!--.*?-->|{_whole("style script")}|<(?!/?(?:{BREAKS})[\s/>]|/svg\s*>))*+(?:</svg\s*>)?)"""
+TOKEN = re.compile(
+    rf"""<!--.*?(?:-->|\Z)
+    |{SVG}
+    |<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
+    |<[!?][^>]*(?:>|\Z)
+    |<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<named>{ATTRIBUTES})(?:>|\Z)
+    |<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<named2>[^>]*)(?:>|\Z)""",
+    re.S | re.I | re.X,
+)
+#: Left out with all that is in them where they are closed.
+CLOSED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template")}
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
@@ -69,7 +89,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if in_link:
                 linked += len(raw.strip())
 
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()  # tags that are not closed any more; a second head is none
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -77,6 +98,16 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not tag:
             continue
         closing = (m["end"] or m["end2"]) == "/"
+        if not closing and tag not in unclosed:
+            if tag in CLOSED:
+                if closed := CLOSED[tag].search(page, at):
+                    at = closed.end()
+                    continue
+                unclosed.add(tag)
+            elif tag == "head":
+                unclosed.add(tag)
+                if head := HEAD.match(page, m.start() + len("<head")):
+                    at = head.end()
         if tag == "a":
             in_link = 0 if closing else 1
         elif tag == "br":
@@ -97,6 +128,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 stack.pop()
             names = " ".join(v.strip("\"'") for v in NAMED.findall(m["named"] or m["named2"] or ""))
             words = sorted({w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()) if len(w) > 1})
+            if len(stack) >= DEEPEST:
+                stack.pop()
             stack.append((tag, " ".join([tag, *words])))
     add(re.sub(r"</?\Z", "", page[at:]))
     end_block()
@@ -166,9 +199,17 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list, list[int]]]
 
     def main() -> str:
         parts = [f"<h1>{run(2, 10)}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 12)):
-            parts.append(rng.choices([lambda: f"<p>{prose()}</p>", lambda: f"<p><b>{run(3, 14)}<br><p>{prose()}</p>", lambda: f"<h2>{run(1, 6)}</h2>", lambda: f"<ul><li>{sentence(2)}</li><li>{run(2, 8)}</li></ul>", lambda: f"<blockquote><p>{prose()}</p></blockquote>", lambda: f"<pre>{run(2, 9)}</pre>", lambda: f"<p>{sentence()} {link()} {sentence()}</p>", lambda: f"<table><tr><td>{run(1, 3)}</td><td>{run(1, 2)}</td></tr></table>", lambda: f"<p>{run(1, 3)}</p>", lambda: f"<figure><figcaption>{sentence(3)}</figcaption></figure>", lambda: f"<div>{prose()}</div>"], [40, 4, 6, 5, 3, 2, 6, 2, 4, 2, 6])[0]())
-        return "".join(parts)
+        kinds = {
+            40: lambda: f"<p>{prose()}</p>",
+            6: lambda: f"<h2>{run(1, 6)}</h2>",
+            5: lambda: f"<ul><li>{sentence(2)}</li><li>{run(2, 8)}</li></ul>",
+            3: lambda: f"<blockquote><p>{prose()}</p></blockquote>",
+            2: lambda: rng.choice([f"<pre>{run(2, 9)}</pre>", f"<figure><figcaption>{sentence(3)}</figcaption></figure>", f"<table><tr><td>{run(1, 3)}</td><td>{run(1, 2)}</td></tr></table>"]),
+            7: lambda: f"<p>{sentence()} {link()} {sentence()}</p>",
+            4: lambda: f"<p>{run(1, 3)}</p>",
+            8: lambda: f"<div>{prose()}</div>",
+        }
+        return "".join([*parts, *(rng.choices([*kinds.values()], [*kinds])[0]() for _ in range(rng.randint(1, 12)))])
 
     pages = []
     for _ in range(n):
