@@ -4,7 +4,8 @@ neighbouring word pairs.
 A text's units are the whole text, its paragraphs (between blank lines), its lines and its sentences, each once, and runs of
 neighbouring pieces (sentences, cut at line ends too) that neither hold nor lie in a unit which matches by itself. So a notice of several paragraphs, lines or
 sentences is found between other text; one that begins or ends inside a piece is not. Of runs that overlap the one that shares most pairs
-with its template counts, then the most alike; a run has at most three times the words that the upper bound allows pairs. Runs are looked for
+with its template counts, then the most alike; a run has at most three times the words that the upper bound allows pairs. For a template of
+more than LONG pairs the only run is the one from the first to the last piece half of whose pairs are the template's. Runs are looked for
 only where a text has as many of a template's pairs as a match needs. The SQL has no runs: rows with such a notice differ. Normalised: lower case, letters and digits kept, everything
 else one space. A template is compared only with units whose number of pairs lies within the bounds that the threshold
 leaves: 2 min / (a + b) >= t. Texts without any anchor word have no match at all: anchors are chosen so that the
@@ -19,15 +20,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, scan
 from .license_texts import TEMPLATES
 
 #: Common words that would let nearly every text pass as anchors.
 COMMON = frozenset("a above all an and any are as at be but by can copies do for form free from has have hope if in into is it list may met mit more must no not of on one or other out related sa see should so source such terms that the this to under use used was will with without work you".split())
+#: Pairs from which a template is long.
+LONG = 400
 PARTS = ("n_licenses", "license", "dice", "licenses")
 
 
@@ -49,14 +53,13 @@ def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
     """Words of which every unit that matches a template has at least one."""
     chosen: set[str] = set()
     for _, text in sorted(templates, key=lambda t: len(t[1])):
-        pairs = pairs_of(normal_words(text))
+        pairs = [p.split() for p in pairs_of(normal_words(text))]
         need = least_shared(len(pairs), threshold)
-        while len([p for p in pairs if not chosen & set(p.split())]) >= need:
-            open_pairs = [p.split() for p in pairs if not chosen & set(p.split())]
-            found = sorted({w for p in open_pairs for w in p if w not in COMMON}, key=lambda w: (-sum(w in p for p in open_pairs), -len(w), w))
+        while len(open_pairs := [p for p in pairs if not chosen.intersection(p)]) >= need:
+            found = Counter(w for p in open_pairs for w in set(p) if w not in COMMON)
             if not found:
                 raise ValueError(f"no anchor words left for: {text[:60]}")
-            chosen.add(found[0])
+            chosen.add(min(found, key=lambda w: (-found[w], -len(w), w)))
     return sorted(chosen)
 
 
@@ -88,7 +91,12 @@ def _pieces(text: Column, matched: Column) -> Column:
 
 def _sums(numbers: Column) -> Column:
     """0, then the sum of the numbers up to each."""
-    return F.aggregate(numbers, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    return F.concat(F.array(F.lit(0)), scan(numbers, lambda a, b: a + b))
+
+
+def _listed(pairs: list[str]) -> Column:
+    """The pairs, letters, digits and one space each, as a literal array of the plan."""
+    return F.split(F.lit("|".join(pairs)), r"\|")
 
 
 def _runs(pieces: Column, wanted: Column, threshold: float) -> Column:
@@ -96,15 +104,20 @@ def _runs(pieces: Column, wanted: Column, threshold: float) -> Column:
     pairs = F.transform(pieces, lambda p, i: F.transform(F.split(p, " "), lambda w, k: F.concat(w, F.lit(" "), F.coalesce(F.get(F.split(p, " "), k + 1), F.get(F.split(F.get(pieces, i + 1), " "), F.lit(0)), F.lit("|")))))
 
     def of_template(t: Column, listed: Column, size: Column) -> Column:
-        hits = F.transform(listed, lambda ps: F.size(F.filter(ps, lambda p: F.array_contains(t["pairs"], p))))
+        hits = F.transform(listed, lambda ps: F.size(F.array_intersect(ps, t["pairs"])))
         last = F.size(pieces) - 1
 
         def with_sums(h: Column) -> Column:
             hit, bar = h["hit"], h["bar"]
             between = lambda sums, i, j: F.get(sums, j + 1) - F.get(sums, i)
             fits = lambda i, j: (between(size, i, j) <= t["most"]) & (between(hit, i, j) >= t["need"]) & (between(bar, i, j) == 0)
+            run = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
             starts = F.filter(F.sequence(F.lit(0), last - 1), lambda i: between(hit, i, i) > 0)
-            found = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(i + 1, last), lambda j: fits(i, j)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+            # a piece has a word at least, which bounds how far a run may go
+            short = lambda i: F.transform(F.filter(F.sequence(i + 1, F.least(last, i + t["most"])), lambda j: fits(i, j)), lambda j: run(i, j))
+            strong = F.filter(F.sequence(F.lit(0), last), lambda i: (between(hit, i, i) * 2 >= between(size, i, i)) & (between(size, i, i) > 2))
+            whole = let(strong, lambda at: F.filter(F.array(run(F.get(at, F.lit(0)), F.element_at(at, -1))), lambda r: (r["i"] < r["j"]) & fits(r["i"], r["j"])))
+            found = F.when(t["long"], whole).otherwise(F.flatten(F.transform(starts, short)))
 
             def scored(r: Column) -> Column:
                 flat = F.flatten(F.slice(listed, r["i"] + 1, r["j"] - r["i"] + 1))
@@ -130,9 +143,15 @@ def with_licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None
     sized = [(name, pairs_of(normal_words(t))) for name, t in templates]
     low = min(math.ceil(round(threshold / (2 - threshold) * len(p), 9)) for _, p in sized)
     high = max(math.floor(round((2 - threshold) / threshold * len(p), 9)) for _, p in sized)
-    words = F.array(*map(F.lit, anchors(templates, threshold)))
-    # anchors are ASCII, so cutting at other letters too can only let a text pass, never stop one
-    has_anchor = lambda unit: F.arrays_overlap(F.split(unit, "[^a-z0-9]+"), words)
+    of_short, of_long = ([t for t, (_, p) in zip(templates, sized) if (len(p) > LONG) == is_long] for is_long in (False, True))
+    least_long = min([math.ceil(round(threshold / (2 - threshold) * len(p), 9)) for _, p in sized if len(p) > LONG], default=0)
+
+    def has_anchor(unit: Column) -> Column:
+        """Whether it has a word that a match needs; words of long templates count in texts that are long enough for one."""
+        # anchors are ASCII, so cutting at other letters too can only let a text pass, never stop one
+        of = lambda words, some: F.arrays_overlap(words, F.lit(anchors(some, threshold)).cast("array<string>"))
+        return let(F.split(unit, "[^a-z0-9]+"), lambda words: of(words, of_short) | ((F.size(words) > least_long) & of(words, of_long)))
+
     empty = F.expr("cast(array() as array<string>)")
     rows = df.select(*kept, text.alias("__t"))
     rows = rows.select(*kept, "__t", F.when(has_anchor(F.lower("__t")), F.filter(_units(F.col("__t")), has_anchor)).otherwise(empty).alias("__units"))
@@ -145,14 +164,15 @@ def with_licenses(df: DataFrame, text_col: str = "text", keep: list[str] | None
         for name, pairs in sized:
             n = F.size(unit)
             within = (n >= threshold / (2 - threshold) * len(pairs) - 1e-9) & (n <= (2 - threshold) / threshold * len(pairs) + 1e-9)
-            dice = F.lit(2.0) * F.size(F.array_intersect(unit, F.array(*map(F.lit, pairs)))) / (n + F.lit(len(pairs)))
+            dice = F.lit(2.0) * F.size(F.array_intersect(unit, _listed(pairs))) / (n + F.lit(len(pairs)))
             scores.append(F.when(within, F.struct((-dice).alias("worse"), F.lit(name).alias("name"))))
         return F.array_min(F.array_compact(F.array(*scores)))
 
     alone = F.filter(F.transform("__pairs", lambda p: let(best(p["pairs"]), lambda b: F.struct(b["worse"].alias("worse"), b["name"].alias("name"), p["unit"].alias("unit")))), lambda s: s["worse"] <= -threshold)
     most = lambda pairs: 3 * math.floor(round((2 - threshold) / threshold * len(pairs), 9))
-    searched = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, p)).alias("pairs"), F.lit(least_shared(len(p), threshold)).alias("need"), F.lit(most(p)).alias("most")) for name, p in sized])
-    wanted = let(_pairs(_normal(F.col("__t"))), lambda have: F.filter(searched, lambda t: F.size(F.array_intersect(t["pairs"], have)) >= t["need"]))
+    template = lambda name, p: F.struct(F.lit(name).alias("name"), _listed(p).alias("pairs"), F.lit(least_shared(len(p), threshold)).alias("need"), F.lit(most(p)).alias("most"), F.lit(len(p) > LONG).alias("long"))
+    searched = F.array(*[template(name, p) for name, p in sized])
+    wanted = let(_pairs(_normal(F.col("__t"))), lambda have: F.filter(searched, lambda t: (F.size(have) >= t["need"]) & (F.size(F.array_intersect(have, t["pairs"])) >= t["need"])))
     rows = rows.select(*kept, "__t", alone.alias("__alone"), F.when(F.col("__any"), wanted).otherwise(F.filter(searched, lambda t: F.lit(False))).alias("__wanted"))
     pieces = F.when(F.size("__wanted") > 0, _pieces(F.col("__t"), F.transform("__alone", lambda s: s["unit"]))).otherwise(empty)
     rows = rows.select(*kept, "__alone", "__wanted", pieces.alias("__pieces"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -352,6 +353,30 @@ def test_licenses_and_mixture_on_odd_tables(docs, empty):
     assert {r.domain for r in mixed.select("domain").distinct().collect()} == {"d0", "d2", "d3"}
 
 
+WHOLE = sorted({name: text for name, text in sorted(license_scan.TEMPLATES, key=lambda t: len(t[1]))}.items())
+
+
+@pytest.mark.parametrize("name, text", [pytest.param(*t, id=t[0]) for t in WHOLE if len(t[1].split()) > 60])
+def test_whole_licences_alone_and_inside_prose(spark, name, text):
+    """The longest template of each licence as it is, wrapped at other places, and between other paragraphs."""
+    rng = random.Random(name)
+    prose = lambda: " ".join("".join(rng.choice("etaoinsr") for _ in range(rng.randint(3, 8))) for _ in range(60)) + "."
+    wrapped = "\n".join(textwrap.wrap(text, 71))
+    inside = f"{prose()}\n\n{prose()}\n\nCopyright (c) 2020 Some Author\n\n{wrapped}\n\n{prose()}"
+    rows = spark.createDataFrame(list(enumerate([text, wrapped, inside, prose(), text[: len(text) // 4]])), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.with_licenses(rows).collect()}
+    for i in (0, 1, 2):
+        assert name in (got[i].licenses or "").split(","), (name, i, got[i].licenses)
+    assert got[3].n_licenses == 0
+
+
+def test_licences_in_a_text_of_a_megabyte(spark):
+    line = "some words that tell you of the use of this software and its terms\n"
+    text = line * 8_000 + "Released under the MIT License.\n" + line * 8_000
+    got = license_scan.with_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.licenses == "MIT"
+
+
 def test_pipeline_stages(spark, docs, empty):
     kept = corpus_pipeline.STAGES[0][1](spark, docs, "")
     once = corpus_pipeline.STAGES[1][1](spark, kept, "")
