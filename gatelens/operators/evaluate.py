@@ -16,8 +16,10 @@ THRESHOLD = 0.05
 
 
 def plate_of(raw: str) -> Column:
-    clean = bare(F.col(raw))
-    return F.when(~clean.rlike("^[0-9]{5}(NN|NG|QT|CV)000$"), first_format(clean, FORMATS)[0])
+    """The canonical plate of a read, null for none. The cleaned read is bound once, as the only element of an array, so the
+    rule stays one small call where filters repeat it."""
+    canonical = lambda clean: F.when(~clean.rlike("^[0-9]{5}(NN|NG|QT|CV)000$"), first_format(clean, FORMATS)[0])
+    return F.get(F.transform(F.array(bare(F.col(raw))), canonical), F.lit(0))
 
 
 def _passes(samples: DataFrame) -> DataFrame:

@@ -109,6 +109,9 @@ class Gate:
         """event_id, lot, plate, code: the entry's event_id, or the record that leaves for an exit; -1 full, -2 inside already,
         -3 not inside, -4 another face."""
         event, lot, ts, lane, kind, plate, quality, face = row
+        if kind == "clear":
+            self.lanes = {name: at | {"votes": [], "faces": []} for name, at in self.lanes.items()}
+            return None
         at = self.lanes.setdefault(str(lane), {"votes": [], "faces": [], "until": None})
         if at["until"] is not None and ts < at["until"]:
             return None

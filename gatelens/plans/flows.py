@@ -11,6 +11,17 @@ _COOL = "SELECT event_id, lane FROM (SELECT lane, unnest(list_reduce(seen, lambd
 _VOTE = "SELECT event_id, lane, CASE WHEN len(held) >= 3 AND top.n * 2 >= len(held) THEN top.value END AS stable FROM (SELECT *, list_max(list_transform(list_distinct(held), lambda v: {'n': len(list_filter(held, lambda x: x = v)), 'age': -list_position(held, v), 'value': v})) AS top FROM (SELECT event_id, lane, list(raw) OVER (PARTITION BY lane ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held FROM {v_reads} r WHERE raw <> '') a) b"
 _HEALTH = "SELECT lane, min(ts) AS up_from, max(ts) AS up_to, count(*) AS frames FROM (SELECT *, sum(late) OVER (PARTITION BY lane ORDER BY ts, event_id) AS period FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY lane ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS late FROM {v_reads} r) a) b GROUP BY lane, period"
 
+_RESET = _VOTE.replace("PARTITION BY lane ORDER", "PARTITION BY lane, era ORDER").replace("FROM {v_reads} r", "FROM (SELECT *, sum(CASE WHEN control = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY ts, event_id) AS era FROM {v_mode_reads} m) r")
+#: Places of a lot in ``admission_full``: fewer than the vehicles that come, so lots fill up.
+PLACES = 12
+_INSIDE = f"CASE WHEN x.k = 'exit' THEN list_filter(s.inside, lambda p: p <> x.p) WHEN len(s.inside) >= {PLACES} OR list_contains(s.inside, x.p) THEN s.inside ELSE list_append(s.inside, x.p) END"
+_CODE = f"CASE WHEN len(s.inside) >= {PLACES} THEN -1 WHEN list_contains(s.inside, x.p) THEN -2 ELSE x.e END"
+_FULL = (
+    "SELECT r.e AS event_id, lot, r.c AS code FROM (SELECT lot, unnest(list_reduce(list_prepend({'inside': []::VARCHAR[], 'codes': []::STRUCT(e BIGINT, c BIGINT)[], 'p': NULL, 'k': NULL, 'e': NULL}, seen), "
+    f"lambda s, x: {{'inside': {_INSIDE}, 'codes': CASE WHEN x.k = 'exit' THEN s.codes ELSE list_append(s.codes, {{'e': x.e, 'c': {_CODE}}}) END, 'p': x.p, 'k': x.k, 'e': x.e}}).codes) AS r "
+    "FROM (SELECT lot, list({'inside': []::VARCHAR[], 'codes': []::STRUCT(e BIGINT, c BIGINT)[], 'p': plate, 'k': kind, 'e': event_id} ORDER BY ts, event_id) AS seen FROM {v_gate} g GROUP BY lot) l) q"
+)
+
 
 def specs(accepted: str, sessions: str) -> dict:
     return {
@@ -19,6 +30,7 @@ def specs(accepted: str, sessions: str) -> dict:
         "stream_embedding_avg": (lambda faces: digest(jobs.stream_embedding_avg(faces)), ["v_face_vectors"], AVG),
         "cooldown_suppress": (folds.cooldown_suppress, ["v_reads"], _COOL),
         "admission": (folds.admission, ["v_gate"], f"SELECT g.event_id, g.lot, CASE WHEN a.event_id IS NULL THEN -2 ELSE g.event_id END AS code FROM {{v_gate}} g LEFT JOIN ({accepted}) a ON a.event_id = g.event_id WHERE g.kind = 'entry'"),
+        "admission_full": (lambda events: folds.admission(events, PLACES), ["v_gate"], _FULL),
         "entry_pipeline_batch": (folds.entry_pipeline_batch, ["v_gate_frames"], None),
         "exit_pipeline_batch": (folds.exit_pipeline_batch, ["v_gate_frames"], None),
         "stream_latest": (jobs.stream_latest, ["v_reads"], "SELECT lane, arg_max(event_id, (ts, event_id)) AS event_id FROM {v_reads} r GROUP BY lane"),
@@ -26,5 +38,6 @@ def specs(accepted: str, sessions: str) -> dict:
         "stream_camera_health": (jobs.stream_camera_health, ["v_reads"], _HEALTH),
         "stream_occupancy": (jobs.stream_occupancy, ["v_gate"], f"SELECT lot, CAST(sum(CASE WHEN kind = 'entry' THEN 1 ELSE -1 END) AS BIGINT) AS current FROM ({accepted}) a GROUP BY lot"),
         "stream_vote": (jobs.stream_vote, ["v_reads"], _VOTE),
+        "stream_mode_reset": (jobs.stream_mode_reset, ["v_mode_reads"], _RESET),
         "stream_gate": (jobs.stream_gate, ["v_gate_frames"], None),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import boxes, gates, identity, reports
 from ..sources.views import VIEWS, inlined, view
 from ..streaming.counts import stream_hourly_counts
+from ..streaming.jobs import stream_gate_source
 from . import evaluate, flows, matching, search, text
 
 IOU = """CASE WHEN un > 0 THEN inter / un ELSE 0.0 END"""
@@ -65,7 +66,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: operator(*[view(spark, sf_dir, v) for v in inputs])
 
 
-QUERIES = {name: _query(name) for name in SPECS} | {"stream_hourly_counts": stream_hourly_counts}
+QUERIES = {name: _query(name) for name in SPECS} | {"stream_hourly_counts": stream_hourly_counts, "stream_gate_source": stream_gate_source}
 
 
 def _oracle(sql: str) -> str:
@@ -74,4 +75,4 @@ def _oracle(sql: str) -> str:
     return re.sub(r"\{(v_\w+)\}", lambda m: f"({re.sub(r'\barray\(', 'list_value(', inlined(VIEWS[m[1]]))})", sql)
 
 
-ORACLE_SQL = {name: _oracle(sql) for name, (_, _, sql) in SPECS.items() if sql} | {"stream_hourly_counts": "SELECT user_id AS lane, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL"}
+ORACLE_SQL = {name: _oracle(sql) for name, (_, _, sql) in SPECS.items() if sql} | {"stream_hourly_counts": "SELECT user_id AS lane, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL", "stream_gate_source": "SELECT event_id, user_id % 5 AS lot, user_id AS lane, user_id % 3 AS source, ts, CASE WHEN event_type IN ('signup', 'view') THEN 'entry' ELSE 'exit' END AS kind FROM events WHERE event_type <> 'error'"}

@@ -5,18 +5,16 @@ number; the newest of each is the result. Events later than the watermark allows
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jobs import folder
+
 
 def stream_hourly_counts(spark: SparkSession, sf_dir: str, late: str = "1 day") -> DataFrame:
     """lane, hour, n after all events that the folder holds now; a later run with the same checkpoint would go on from there."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = f"{shared}/hourly-{uuid.uuid4().hex}"
+    out = folder(spark, "hourly")
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*")
     # event time must be an instant; the session's zone leads there and back
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))

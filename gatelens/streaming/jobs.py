@@ -7,6 +7,7 @@ rows that come in a later batch than newer rows of their key are taken as they c
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +20,12 @@ from ..operators.folds import GATE_ROWS, Gate, gate_rows
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder that all executors see; a cluster has to name the shared one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", master := spark.conf.get("spark.master", "")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
@@ -40,16 +46,22 @@ def gathered(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame],
     stream = (reader.option("maxFilesPerTrigger", 1) if files else reader).parquet(f"{at}/input")
     rows = job(stream)
 
+    return batches_of(rows, mode, at)
+
+
+def batches_of(rows: DataFrame, mode: str, at: str) -> DataFrame:
+    """The rows of a stream until its input ends, each batch in its own folder, with the number of the batch."""
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
     rows.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     try:
-        return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, batch int").parquet(f"{at}/rows")
+        return rows.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, batch int").parquet(f"{at}/rows")
     except Exception as e:  # an empty input makes no batch and no folder
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], rows.schema.add("batch", "int"))
+        return rows.sparkSession.createDataFrame([], rows.schema.add("batch", "int"))
 
 
 def timed(df: DataFrame) -> DataFrame:
@@ -57,6 +69,17 @@ def timed(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def stream_gate_source(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """event_id, lot, lane, source, ts, kind: every gate event of the folder's ``events`` files, read as a stream by an explicit schema,
+    each once. What ``stream_latest`` does with them drops the old frames of a lane. files: read at most so many at a time."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+    reader = spark.readStream.schema(schema)
+    events = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/events.parq*").where("event_type <> 'error'")
+    kind = F.when(F.col("event_type").isin("signup", "view"), "entry").otherwise("exit").alias("kind")
+    rows = events.select("event_id", (F.col("user_id") % 5).alias("lot"), F.col("user_id").alias("lane"), (F.col("user_id") % 3).alias("source"), "ts", kind)
+    return batches_of(rows, "append", folder(spark, "source")).drop("batch")
+
+
 def stream_latest(frames: DataFrame, files: int | None = None) -> DataFrame:
     """lane, event_id of the newest frame of each lane; older ones are dropped."""
     job = lambda s: s.groupBy("lane").agg(F.max(F.struct("ts", "event_id")).alias("top"))
@@ -114,6 +137,12 @@ def stream_vote(reads: DataFrame, width: int = 5, least: int = 3, files: int | N
     return gathered(reads.sparkSession, reads.select("event_id", "lane", "ts", "raw", "control"), job, "append", "vote", files).drop("batch")
 
 
+def stream_mode_reset(reads: DataFrame, files: int | None = None) -> DataFrame:
+    """event_id, lane, stable: the votes of ``stream_vote`` where switching between entry and exit, a row whose ``control`` is 'clear',
+    makes a lane start anew."""
+    return stream_vote(reads, files=files)
+
+
 def stream_embedding_avg(faces: DataFrame, width: int = 3, files: int | None = None) -> DataFrame:
     """image_id, lane, avg for every face with a quality; a row whose ``control`` is 'clear' forgets the lane's faces."""
 
@@ -138,7 +167,8 @@ def stream_embedding_avg(faces: DataFrame, width: int = 3, files: int | None = N
 
 
 def stream_gate(frames: DataFrame, capacity: int = 500, files: int | None = None) -> DataFrame:
-    """event_id, lot, plate, code of entries and exits; one state for each lot, since success clears what was voted."""
+    """event_id, lot, plate, code of entries and exits; one state for each lot, since success clears what was voted. A row of the
+    kind 'clear' switches the lot's mode: reads and faces of all its lanes are forgotten, vehicles stay inside."""
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         lot = Gate(capacity, held=state.get[0] if state.exists else None)

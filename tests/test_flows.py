@@ -1,4 +1,7 @@
-from gatelens.operators import folds
+import pytest
+
+from gatelens.operators import folds, identity
+from gatelens.sources import files
 from gatelens.sources.views import view
 from gatelens.streaming import jobs
 
@@ -43,3 +46,48 @@ def test_streams_over_several_batches(spark):
     reads, events = view(spark, SF, "v_reads"), view(spark, SF, "v_gate")
     assert rows(jobs.stream_latest(reads, files=3)) == rows(jobs.stream_latest(reads))
     assert rows(jobs.stream_occupancy(events, files=3)) == rows(jobs.stream_occupancy(events))
+
+
+def test_counted_streams_over_several_batches(spark):
+    reads, modes, faces = view(spark, SF, "v_reads"), view(spark, SF, "v_mode_reads"), view(spark, SF, "v_face_vectors")
+    assert rows(jobs.stream_fps(reads, files=3)) == rows(jobs.stream_fps(reads))
+    assert rows(jobs.stream_mode_reset(modes, files=4)) == rows(jobs.stream_mode_reset(modes))
+    assert rows(jobs.stream_embedding_avg(faces, files=3)) == rows(jobs.stream_embedding_avg(faces))
+
+
+def test_source_reads_each_event_once(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    got = rows(jobs.stream_gate_source(spark, str(tmp_path), files=2))
+    assert len(got) == events.where("event_type <> 'error'").count() and got == rows(jobs.stream_gate_source(spark, SF))
+
+
+def test_clear_empties_the_gate():
+    gate = folds.Gate(rest=10)
+    ask = lambda e, ts, kind="entry": gate.step((e, 0, ts, 7, kind, "99B1-25739", 0.5, [1.0, 0.0]))
+    assert [ask(1, 1), ask(2, 2), ask(3, 3, "clear"), ask(4, 4), ask(5, 5)] == [None] * 5 and ask(6, 6) == (6, 0, "99B1-25739", 6)
+    assert ask(7, 7, "clear") is None and list(gate.inside) == ["99B1-25739"]
+
+
+def test_cluster_must_name_its_shared_folder():
+    class Session:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        jobs.folder(Session, "x")
+
+
+def test_label_files(spark, tmp_path):
+    (tmp_path / "a.1.txt").write_text("7 0.5 0.5 0.1 0.2\nx 1 2 3 4\n\n36 1 1 1 1\n35 0.1 0.2 0.3 0.4 0.9")
+    (tmp_path / "b.txt").write_text("")
+    got = rows(files.box_labels(files.label_lines(spark, str(tmp_path))))
+    assert got == [("a.1", 1, 7, "7", 0.5, 0.5, 0.1, 0.2), ("a.1", 5, 35, "Z", 0.1, 0.2, 0.3, 0.4)]
+    (tmp_path / "b.txt").write_text("image,text\nx.jpg\t30a-1\nx.jpg,30A 2\nbad")
+    truth = files.text_truth(files.label_lines(spark, str(tmp_path / "b.txt")))
+    assert rows(truth) == [("x.jpg", "x", "30A2")]
+
+
+def test_bounded_percentiles(spark):
+    timing = spark.range(10_001).selectExpr("'s' AS stage", "cast(id AS double) AS ms")
+    exact, near = (identity.latency_summary(timing, accuracy=a).first() for a in (None, 1000))
+    assert exact.n == near.n and all(abs(exact[c] - near[c]) <= 15 for c in ("p50", "p95", "p99"))
