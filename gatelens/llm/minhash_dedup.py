@@ -228,7 +228,7 @@ def links_in_groups(groups: DataFrame, percent: int, miss: float) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def links_in_buckets(units: DataFrame, sets: DataFrame, percent: int, miss: float, block: int, block_bytes: int, pivots: int = 32) -> DataFrame:
+def links_in_buckets(units: DataFrame, sets: DataFrame, percent: int, miss: float, block: int, block_bytes: int, pivots: int = 24) -> DataFrame:
     """a, b for the nodes of ``sets`` (node, sig, members), compared in each bucket of ``units`` (key, node, n, bytes) that they share.
 
     A bucket is dealt to blocks of about ``block`` nodes or ``block_bytes``. First each block is worked on by itself, with some
@@ -267,7 +267,7 @@ def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6, cluster_nodes: int = 4_000, block: int = 250, block_bytes: int = 32_000_000) -> DataFrame:
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6, cluster_nodes: int = 4_000, block: int = 200, block_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, rid, n_shingles, component_id, owner for every row: the row hash of its component's owner, null without words."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     base = written(shingled(docs, shingle), "shingled")
@@ -280,7 +280,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("lo"), F.max("node").alias("hi"), *same).where("n > 1")
     buckets = buckets.groupBy("n", "lo", "hi", "x0", "x1").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes"))
     buckets = written(buckets.select("key", "n", "bytes", F.col("lo").alias("first")), "buckets")
-    members = written(join_hot(bands.drop("bytes"), buckets, "key").select("key", "node", "n", "bytes", "first"), "members")
+    # bands are far more than buckets at any size, so they are dealt by key even where so few buckets could be broadcast
+    members = written(join_hot(bands.drop("bytes"), buckets.hint("merge"), "key").select("key", "node", "n", "bytes", "first"), "members")
     clusters = connected_components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
     owners = written(clusters.join(nodes.select("node", F.col("low.rid").alias("rid"), "bytes", "sig"), "node"), "owners")
     weights = owners.groupBy("comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
