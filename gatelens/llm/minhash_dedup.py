@@ -239,7 +239,7 @@ def links_in_buckets(units: DataFrame, sets: DataFrame, percent: int, miss: floa
     units = written(units.select("key", "node", "n", blocks.alias("blocks")), "units")
     spot = lambda seed, k: F.pmod(F.xxhash64("node", F.lit(seed)), k).cast("int")
     every = lambda k: F.sequence(F.lit(0), k - 1)
-    with_sets = lambda rows: rows.join(sets.select("node", "sig", "members"), "node")
+    with_sets = lambda rows: rows.hint("merge").join(sets.select("node", "sig", "members"), "node")
 
     to = F.when(spot(3, F.col("n")) < pivots, every(F.col("blocks"))).otherwise(F.array(spot(2, F.col("blocks"))))
     first = units.select("node", "key", F.explode(to).alias("j")).select("node", F.xxhash64("key", "j").alias("gid"), F.lit(None).cast("bigint").alias("known"))
