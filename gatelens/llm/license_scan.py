@@ -59,6 +59,8 @@ def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
             found = Counter(w for p in open_pairs for w in set(p) if w not in COMMON)
             if not found:
                 raise ValueError(f"no anchor words left for: {text[:60]}")
+            # long words first: they are rarer in other texts
+            found = next(f for size in (7, 5, 1) if (f := {w: n for w, n in found.items() if len(w) >= size}))
             chosen.add(min(found, key=lambda w: (-found[w], -len(w), w)))
     return sorted(chosen)
 
