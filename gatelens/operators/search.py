@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import folder, written
+
 #: (similarities, ids of the rows, ids of the columns) -> which to keep
 Keep = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -146,49 +148,94 @@ def same_diff_pairs(rows: DataFrame, most: int = 100) -> DataFrame:
     return pairs.join(vec("a"), "a").join(vec("b"), "b").select("a", "b", "same", F.round(dot, 6).alias("sim"))
 
 
-def outlier_prune(rows: DataFrame, most: float = -0.2, bound: int = 20_000) -> DataFrame:
+def ends_of(bad: DataFrame) -> DataFrame:
+    """identity, id, other: every bad pair from both of its sides."""
+    side = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"))
+    return bad.select("identity", F.explode(F.array(side("i", "j"), side("j", "i"))).alias("e")).select("identity", "e.id", "e.other")
+
+
+def sums_of(vectors: DataFrame) -> DataFrame:
+    """identity, left (rows), s: the sum of an identity's vectors, each place added up by itself."""
+    places = vectors.select("identity", F.posexplode("v").alias("at", "x")).groupBy("identity", "at").agg(F.sum("x").alias("x"), F.count("*").alias("left"))
+    total = places.groupBy("identity").agg(F.max("left").alias("left"), F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s"))
+    return total.select("identity", "left", F.transform("s", lambda p: p.x).alias("s"))
+
+
+def turns_in_rounds(bad: DataFrame, vectors: DataFrame, bound: int, at: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs that are left and the rows (identity, id, reason) removed while an identity has more than ``bound`` bad pairs.
+
+    Degrees only fall, so all rows with the most bad pairs go before any other. Where no two of them are a bad pair themselves, none of
+    them changes another, and they go in one round; else a round takes the one that the greedy rule names. Each round is a job over
+    the pairs, written to ``at``; no identity is gathered."""
+    spark, paths = bad.sparkSession, []
+    gone = spark.createDataFrame([], bad.select("identity", F.col("i").alias("id"), F.lit("").alias("reason")).schema)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    while True:
+        ends = ends_of(bad)
+        degree = ends.groupBy("identity", "id").agg(F.count("*").alias("deg"))
+        level = degree.groupBy("identity").agg(F.max("deg").alias("most"), F.sum("deg").alias("twice")).where(F.col("twice") > 2 * bound)
+        if level.isEmpty():
+            return bad, gone
+        top = degree.join(level, "identity").where("deg = most").select("identity", "id", "deg")
+        other = top.select("identity", F.col("id").alias("other"))
+        clash = ends.join(top, ["identity", "id"]).join(other, ["identity", "other"]).select("identity").distinct().withColumn("clash", F.lit(True))
+        alive = vectors.join(level, "identity", "left_semi").join(gone, ["identity", "id"], "left_anti")
+        mean = (dot("v", "s") - dot("v", "v")) / F.greatest(F.col("left") - 1, F.lit(1))
+        scored = top.join(vectors, ["identity", "id"]).join(sums_of(alive), "identity").select("identity", F.struct(mean.alias("mean"), "id").alias("turn"))
+        turn = scored.groupBy("identity").agg(F.min("turn").alias("turn"))
+        going = top.join(turn, "identity").join(clash, "identity", "left").where("clash IS NULL OR id = turn.id")
+        paths.append(f"{at}/gone-{len(paths)}")
+        now = written(going.select("identity", "id", F.format_string("bad %d", "deg").alias("reason")), paths[-1])
+        for end in ("i", "j"):
+            bad = bad.join(now.select("identity", F.col("id").alias(end)), ["identity", end], "left_anti")
+        bad = written(bad, f"{at}/bad-{len(paths)}")
+        gone = spark.read.schema(gone.schema).parquet(*paths)
+
+
+def outlier_prune(rows: DataFrame, most: float = -0.2, bound: int = 1_000_000) -> DataFrame:
     """identity, id, reason of the rows to remove until no pair of an identity is as unlike as ``most``: of the two images of
     an identity both; else by turns the one with the most such pairs, the least alike on average on ties, then the smaller id.
 
-    Similarities are computed in blocks; only ids of bad pairs meet in a group, not vectors. An identity with more bad pairs
-    than ``bound`` squared over two is refused with an error, since its turns depend on each other."""
-    bad = low_pairs(rows, most)
-    vectors = rows.where("embedding IS NOT NULL").select("identity", F.col("id").cast("long").alias("id"), "embedding")
+    Similarities are computed in blocks. An identity with up to ``bound`` bad pairs takes its turns in one task, which gets these
+    pairs and the vectors of their ends; a larger one is brought there by ``turns_in_rounds``, with the same result."""
+    at = folder(rows.sparkSession, "prune")
+    bad = written(low_pairs(rows, most).select("identity", "i", "j"), f"{at}/bad")
+    vectors = rows.where("embedding IS NOT NULL").select("identity", F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    bad, gone = turns_in_rounds(bad, vectors, bound, at)
     sizes = vectors.groupBy("identity").agg(F.count("*").alias("n"))
-    ends = bad.select("identity", F.explode(F.array("i", "j")).alias("id")).distinct().join(vectors, ["identity", "id"]).select("identity", "id", F.col("embedding").cast("array<double>").alias("v"))
-    total = vectors.select("identity", F.posexplode("embedding").alias("at", "x")).groupBy("identity", "at").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    total = total.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).select("identity", F.transform("s", lambda p: p.x).alias("s"))
-    facts = ends.join(total, "identity").join(sizes, "identity")
+    ends = ends_of(bad).select("identity", "id").distinct()
+    first = ends.groupBy("identity").agg(F.min("id").alias("first"))  # the sum of an identity's vectors is sent with one row
+    alive = vectors.join(gone, ["identity", "id"], "left_anti")
+    facts = ends.join(vectors, ["identity", "id"]).join(sums_of(alive), "identity").join(sizes, "identity").join(first, "identity")
+    facts = facts.select(F.col("identity").alias("who"), "id", "v", F.when(F.col("id") == F.col("first"), F.col("s")).alias("s"), "n", "left")
     links = bad.select(F.col("identity").alias("owner"), "i", "j")
 
     def prune(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(nodes):
-            if len(pairs) > bound * bound // 2:
-                raise ValueError(f"an identity has {len(pairs)} bad pairs")
-            who = nodes["who"].iloc[0]
-            ids, m, n = nodes["id"].to_numpy(), np.stack(nodes["v"].to_numpy()), int(nodes["n"].iloc[0])
-            if n == 2:
-                out = [(who, int(i), "both") for i in ids]
-            else:
-                at = {i: p for p, i in enumerate(ids)}
-                near: list[set[int]] = [set() for _ in ids]
-                for i, j in zip(pairs["i"], pairs["j"]):
-                    near[at[i]].add(at[j])
-                    near[at[j]].add(at[i])
-                rest, left = nodes["s"].iloc[0].copy(), n
-                while (most_bad := max(map(len, near))) > 0:
-                    tied = [p for p, x in enumerate(near) if len(x) == most_bad]
-                    gone = min(tied, key=lambda p: ((m[p] @ (rest - m[p])) / max(left - 1, 1), ids[p]))
-                    out.append((who, int(ids[gone]), f"bad {most_bad}"))
-                    rest, left = rest - m[gone], left - 1
-                    for q in near[gone]:
-                        near[q].discard(gone)
-                    near[gone] = set()
+            nodes = nodes.sort_values("id")
+            who, ids, m = nodes["who"].iloc[0], nodes["id"].to_numpy(), np.stack(nodes["v"].to_numpy())
+            a, b = np.searchsorted(ids, pairs["i"]), np.searchsorted(ids, pairs["j"])
+            near = np.concatenate([b, a])[np.argsort(np.concatenate([a, b]), kind="stable")]
+            degree = np.bincount(np.concatenate([a, b]), minlength=len(ids))
+            start = np.concatenate([[0], np.cumsum(degree)])
+            rest, left = nodes["s"].iloc[0].copy(), int(nodes["left"].iloc[0])
+            alive = np.ones(len(ids), bool)
+            if nodes["n"].iloc[0] == 2:
+                out, degree = [(who, int(i), "both") for i in ids], np.zeros(1, int)
+            while (top := degree.max()) > 0:
+                tied = np.flatnonzero(degree == top)  # by rising id, so the first of equal means is the smaller
+                gone_now = tied[np.argmin((m[tied] @ rest - (m[tied] ** 2).sum(axis=1)) / max(left - 1, 1))]
+                out.append((who, int(ids[gone_now]), f"bad {top}"))
+                rest, left = rest - m[gone_now], left - 1
+                alive[gone_now], degree[gone_now] = False, 0
+                around = near[start[gone_now] : start[gone_now + 1]]
+                degree[around[alive[around]]] -= 1
         return pd.DataFrame(out, columns=["identity", "id", "reason"])
 
     kind = rows.schema["identity"].dataType.simpleString()
-    return facts.withColumnRenamed("identity", "who").groupBy("who").cogroup(links.groupBy("owner")).applyInPandas(prune, f"identity {kind}, id long, reason string")
+    pruned = facts.groupBy("who").cogroup(links.groupBy("owner")).applyInPandas(prune, f"identity {kind}, id long, reason string")
+    return gone.unionByName(pruned)
 
 
 def ivf_topk(exits: DataFrame, active: DataFrame, k: int = 3, cells: int = 22, probes: int = 16, sample: int = 50_000, seed: int = 11) -> DataFrame:

@@ -7,9 +7,6 @@ rows that come in a later batch than newer rows of their key are taken as they c
 from __future__ import annotations
 
 import json
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,16 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import GATE_ROWS, Gate, gate_rows
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; a cluster has to name the shared one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", master := spark.conf.get("spark.master", "")):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import folder
 
 
 def gathered(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, name: str, files: int | None = None) -> DataFrame:

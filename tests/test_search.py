@@ -23,6 +23,7 @@ def test_pruning_leaves_no_bad_pair_and_follows_the_greedy_rule(spark):
     m, df = vectors(spark)
     got = {r.id: r.reason for r in search.outlier_prune(df, -0.3).collect()}
     gone = []
+    assert {r.id: r.reason for r in search.outlier_prune(df, -0.3, bound=20).collect()} == got  # turns in Spark rounds first
     for identity in range(4):
         alive = list(range(identity, 60, 4))
         while True:
@@ -37,6 +38,12 @@ def test_pruning_leaves_no_bad_pair_and_follows_the_greedy_rule(spark):
     assert sorted(got) == sorted(gone)
 
 
+def test_opposite_halves_of_an_identity_go_in_rounds(spark):
+    df = spark.createDataFrame([(i, 1, [1.0 if i % 2 else -1.0, i / 1000]) for i in range(20)], "id long, identity long, embedding array<double>")
+    want = sorted((r.id, r.reason) for r in search.outlier_prune(df).collect())
+    assert want == sorted((r.id, r.reason) for r in search.outlier_prune(df, bound=1).collect()) and len(want) == 10
+
+
 def test_two_images_that_differ_go_together(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [-1.0, 0.0]), (3, 2, [1.0, 0.0])], "id long, identity long, embedding array<double>")
     assert sorted((r.id, r.reason) for r in search.outlier_prune(df).collect()) == [(1, "both"), (2, "both")]
