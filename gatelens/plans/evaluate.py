@@ -39,12 +39,15 @@ def _avg_digest(faces: DataFrame) -> DataFrame:
 
 
 def digest(averages: DataFrame) -> DataFrame:
-    """The outer components as whole hundred-thousandths, so that no engine's negative zero matters."""
-    at = lambda i: F.round(F.get("avg", F.lit(i)) * 100_000).cast("long")
-    return averages.select("image_id", "lane", at(0).alias("first"), at(63).alias("last"))
+    """The outer components as whole hundred-thousandths, so that no engine's negative zero matters, and the sum of all by place."""
+    whole = lambda x: F.round(x * 100_000).cast("long")
+    at = lambda i: whole(F.get("avg", F.lit(i)))
+    places = F.aggregate(F.transform("avg", lambda x, i: whole(x) * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return averages.select("image_id", "lane", at(0).alias("first"), at(63).alias("last"), places.alias("places"))
 
 
-AVG = """SELECT image_id, lane, CAST(round(s[1] / sqrt(list_inner_product(s, s)) * 100000) AS BIGINT) AS first, CAST(round(s[64] / sqrt(list_inner_product(s, s)) * 100000) AS BIGINT) AS last FROM
+AVG = """SELECT image_id, lane, CAST(round(s[1] / sqrt(list_inner_product(s, s)) * 100000) AS BIGINT) AS first, CAST(round(s[64] / sqrt(list_inner_product(s, s)) * 100000) AS BIGINT) AS last,
+ CAST(list_sum(list_transform(range(1, 65), lambda i: i * CAST(round(s[i] / sqrt(list_inner_product(s, s)) * 100000) AS BIGINT))) AS BIGINT) AS places FROM
  (SELECT image_id, lane, list_transform(range(1, 65), lambda i: q * e[i] + coalesce(q1 * e1[i], 0) + coalesce(q2 * e2[i], 0)) AS s FROM
  (SELECT image_id, lane, q, e, lag(q) OVER w AS q1, lag(e) OVER w AS e1, lag(q, 2) OVER w AS q2, lag(e, 2) OVER w AS e2 FROM (SELECT *, greatest(quality, 0.01::DOUBLE) AS q, embedding::DOUBLE[] AS e FROM {v_face_vectors} f WHERE quality IS NOT NULL) a WINDOW w AS (PARTITION BY lane ORDER BY ts, image_id)) b) c"""
 
