@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, license_scan, minhash_dedup, packing, quality_rules, secret_scan, simhash, source_mixing, substring_dedup, token_counts
+from . import hard_negatives, html_extract, license_scan, minhash_dedup, packing, periodic_runs, piece_codec, quality_rules, secret_scan, simhash, source_mixing, substring_dedup, token_counts
 from .common import table
 
 
@@ -54,5 +54,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.with_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_repeats, op3_packing, op4_fingerprints, op5_near_duplicates, op6_secrets, op7_token_counts, op8_main_text, op9_quality, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": source_mixing.oracle_sql(), "op2_repeats": substring_dedup.ORACLE_SQL, "op5_near_duplicates": minhash_dedup.ORACLE_SQL, "op10_licenses": license_scan.oracle_sql()}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_report(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_repeats, op3_packing, op4_fingerprints, op5_near_duplicates, op6_secrets, op7_token_counts, op8_main_text, op9_quality, op10_licenses, op11_runs, op12_negatives, op13_pieces)}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": source_mixing.oracle_sql(), "op2_repeats": substring_dedup.ORACLE_SQL, "op5_near_duplicates": minhash_dedup.ORACLE_SQL, "op10_licenses": license_scan.oracle_sql(), "op12_negatives": hard_negatives.ORACLE_SQL}
