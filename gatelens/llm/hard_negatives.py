@@ -194,7 +194,7 @@ class Group:
             other.append(ids[col][:, None])
             scores[line, col] = self.layout.none
         best, other = np.concatenate(best, axis=1), np.concatenate(other, axis=1)
-        order = np.lexsort((other, -best), axis=1)[:, : self.k]
+        order = np.lexsort((other, -best if self.layout.number is np.float64 else ~best), axis=1)[:, : self.k]
         self.scores[want], self.found[want] = np.take_along_axis(best, order, axis=1), np.take_along_axis(other, order, axis=1)
 
     def rows(self) -> pa.RecordBatch:
@@ -289,7 +289,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     window = lambda part, lo, hi: F.struct(part.cast("long").alias("part"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
     first = search(one.withColumn("windows", F.array(window(F.lit(0), F.lit(LEAST), F.lit(MOST)))), facts["anchors"], blocks, n_blocks, layout, True, positives)
     first = written(first.select("id", "rank", "other", "score"), "positives")
-    hundredths = lambda share: (F.lit(share) * F.col("score") - F.pmod(F.lit(share) * F.col("score"), F.lit(100))) / 100  # noqa: E731  rounded down, exact
+    # rounded down, and in longs all the way
+    hundredths = lambda share: F.expr(f"{share} * ((score - pmod(score, 100L)) DIV 100L) + floor({share} * pmod(score, 100L) / 100)")
     windows = first.select("id", window(F.col("rank"), -hundredths(-low), hundredths(high)).alias("w")).where("w.lo <= w.hi")
     asked = one.join(windows.groupBy("id").agg(F.sort_array(F.collect_list("w")).alias("windows")), "id")
     found = search(asked, facts["anchors"], blocks, n_blocks, layout, False, negatives)
