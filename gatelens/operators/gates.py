@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import Ranges
+
 
 def accepted(events: DataFrame) -> DataFrame:
     """The events that change who is in."""
@@ -25,11 +27,14 @@ def session_pairing(events: DataFrame) -> DataFrame:
     return paired.select("lot", "plate", F.col("event_id").alias("entry_id"), F.col("ts").alias("entry_ts"), "exit_ts", minutes.alias("duration_min"))
 
 
-def occupancy_timeline(events: DataFrame) -> DataFrame:
-    """lot, event_id, ts, occupancy after each accepted event."""
-    order = W.partitionBy("lot").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+def occupancy_timeline(events: DataFrame, **cut) -> DataFrame:
+    """lot, event_id, ts, occupancy after each accepted event. The history of a lot with many events is cut into ranges of time: each is summed by
+    itself, and the sums of the ranges before are carried into it."""
     step = F.when(F.col("kind") == "entry", 1).otherwise(-1)
-    return accepted(events).select("lot", "event_id", "ts", F.sum(step).over(order).cast("long").alias("occupancy"))
+    ranges = Ranges(accepted(events), "lot", "ts", **cut)
+    rows = ranges.rows.withColumn("own", F.sum(step).over(ranges.window("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)))
+    rows = ranges.carried(rows, "before", F.sum(step), F.sum)
+    return rows.select("lot", "event_id", "ts", (F.col("own") + F.coalesce("before", F.lit(0))).cast("long").alias("occupancy"))
 
 
 def occupancy_stats(events: DataFrame, capacity: int = 500) -> DataFrame:
@@ -48,20 +53,23 @@ def history_recent(events: DataFrame, most: int = 20) -> DataFrame:
     return session_pairing(events).where("exit_ts IS NOT NULL").orderBy(F.desc("exit_ts"), F.desc("entry_id")).limit(most)
 
 
-def plate_vote(reads: DataFrame, width: int = 5, least: int = 3) -> DataFrame:
+def plate_vote(reads: DataFrame, width: int = 5, least: int = 3, **cut) -> DataFrame:
     """event_id, lane, stable: the value that holds half or more of the last reads that are not empty, the oldest first on
-    ties; null below ``least`` reads."""
-    order = W.partitionBy("lane").orderBy("ts", "event_id").rowsBetween(1 - width, 0)
-    held = reads.where("raw <> ''").select("event_id", "lane", F.collect_list("raw").over(order).alias("held"))
+    ties; null below ``least`` reads. A lane with many reads is cut into ranges of time, each with the last reads before it."""
+    ranges = Ranges(reads.where("raw <> ''").select("event_id", "lane", "ts", "raw"), "lane", "ts", **cut)
+    order = ranges.window("ts", "event_id").rowsBetween(1 - width, 0)
+    held = ranges.with_halo(width - 1, "ts", "event_id").withColumn("held", F.collect_list("raw").over(order)).where("NOT halo")
     votes = F.transform(F.array_distinct("held"), lambda v: F.struct(F.size(F.filter("held", lambda x: x == v)).alias("n"), (-F.array_position("held", v)).alias("age"), v.alias("value")))
     held = held.withColumn("top", F.array_max(votes))
     return held.select("event_id", "lane", F.when((F.size("held") >= least) & (F.col("top.n") * 2 >= F.size("held")), F.col("top.value")).alias("stable"))
 
 
-def frame_sample(frames: DataFrame, every: int = 3) -> DataFrame:
-    """Every n-th frame of each lane, counted from 1."""
-    order = W.partitionBy("lane").orderBy("ts", "event_id")
-    return frames.withColumn("at", F.row_number().over(order)).where(F.col("at") % every == 0).select("event_id", "lane")
+def frame_sample(frames: DataFrame, every: int = 3, **cut) -> DataFrame:
+    """Every n-th frame of each lane, counted from 1; the count of the ranges before is carried into each range of a long lane."""
+    ranges = Ranges(frames.select("event_id", "lane", "ts"), "lane", "ts", **cut)
+    rows = ranges.rows.withColumn("own", F.row_number().over(ranges.window("ts", "event_id")))
+    rows = ranges.carried(rows, "before", F.count("*"), F.sum)
+    return rows.where((F.col("own") + F.coalesce("before", F.lit(0))) % every == 0).select("event_id", "lane")
 
 
 def fps_per_second(frames: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import Ranges
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,8 +21,9 @@ def cosine(a: str, b: str) -> Column:
 
 
 def plate_lookup_join(exits: DataFrame, active: DataFrame) -> DataFrame:
-    """Every exit with the active entry of its plate, null if there is none."""
-    return exits.select("id", "plate").join(active.select(F.col("id").alias("active_id"), "plate"), "plate", "left").select("id", "plate", "active_id")
+    """Every exit with the active entries of its plate in its lot, null if there is none."""
+    known = active.select(F.col("id").alias("active_id"), "lot", "plate")
+    return exits.select("id", "lot", "plate").join(known, ["lot", "plate"], "left").select("id", "lot", "plate", "active_id")
 
 
 def cosine_verify(exits: DataFrame, active: DataFrame, least: float = 0.05) -> DataFrame:
@@ -97,22 +100,17 @@ def orientation_pick(images: DataFrame, order: tuple[int, ...] = (0, 1, 3, 2)) -
     return images.where("n_faces > 0").groupBy("image").agg(F.min_by("code", place).alias("code"))
 
 
-def embedding_avg(faces: DataFrame, width: int = 3) -> DataFrame:
+def embedding_avg(faces: DataFrame, width: int = 3, **cut) -> DataFrame:
     """image_id, lane, avg: unit mean of the last accepted vectors of the lane, weighted by quality (0.01 at least). Faces
-    without quality are not accepted and have no row; a mean of norm 0 stays as it is."""
-    order = W.partitionBy("lane").orderBy("ts", "image_id").rowsBetween(1 - width, 0)
-    held = faces.where("quality IS NOT NULL AND embedding IS NOT NULL").select("image_id", "lane", F.collect_list(F.struct(F.greatest("quality", F.lit(0.01)).alias("q"), F.col("embedding").cast("array<double>").alias("e"))).over(order).alias("held"))
+    without quality are not accepted and have no row; a mean of norm 0 stays as it is. A lane with many faces is cut into ranges of time, each with the
+    last vectors before it."""
+    rows = faces.where("quality IS NOT NULL AND embedding IS NOT NULL").select("image_id", "lane", "ts", F.greatest("quality", F.lit(0.01)).alias("q"), F.col("embedding").cast("array<double>").alias("e"))
+    ranges = Ranges(rows, "lane", "ts", **cut)
+    order = ranges.window("ts", "image_id").rowsBetween(1 - width, 0)
+    held = ranges.with_halo(width - 1, "ts", "image_id").withColumn("held", F.collect_list(F.struct("q", "e")).over(order)).where("NOT halo").select("image_id", "lane", "held")
     zero = F.transform(F.get("held", F.lit(0)).e, lambda x: F.lit(0.0))
     total = F.aggregate("held", zero, lambda s, h: F.zip_with(s, h.e, lambda x, y: x + y * h.q))
     weight = F.aggregate("held", F.lit(0.0), lambda s, h: s + h.q)
     mean = held.select("image_id", "lane", total.alias("total"), weight.alias("weight")).select("image_id", "lane", F.transform("total", lambda x: x / F.col("weight")).alias("mean"))
     norm = F.sqrt(dot(F.col("mean"), F.col("mean")))
     return mean.withColumn("norm", norm).select("image_id", "lane", F.when(F.col("norm") > 0, F.transform("mean", lambda x: x / F.col("norm"))).otherwise(F.col("mean")).alias("avg"))
-
-
-def exit_settlement(exits: DataFrame, active: DataFrame, least: float = 0.05) -> DataFrame:
-    """id, active_id, outcome (matched, mismatch, not_found), sim: plate first, then the face."""
-    both = exits.select("id", "plate", F.col("embedding").alias("a")).join(active.select(F.col("id").alias("active_id"), "plate", F.col("embedding").alias("b")), "plate", "left")
-    rows = both.select("id", "active_id", F.round(cosine("a", "b"), 6).alias("sim"))
-    outcome = F.when(F.col("active_id").isNull(), "not_found").when(F.col("sim") >= least, "matched").otherwise("mismatch")
-    return rows.select("id", "active_id", outcome.alias("outcome"), "sim")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .gates import accepted, session_pairing
 from .identity import cosine, edit_cer
+from .ranges import Ranges
 
 
 def event_union(events: DataFrame) -> DataFrame:
@@ -45,13 +46,17 @@ def pattern_exclude(reads: DataFrame, pattern: str = r"^[0-9]{2}[A-Z][0-9]{6}$")
     return reads.where(~F.col("pred").rlike(pattern)).select("event_id", "pred")
 
 
-def asof_frames(reads: DataFrame, faces: DataFrame) -> DataFrame:
-    """event_id, image_id: for each read the newest face image with a face of its lane up to then. One sort by lane and
-    time over both tables, no range join."""
+def asof_frames(reads: DataFrame, faces: DataFrame, **cut) -> DataFrame:
+    """event_id, image_id: for each read the newest face image with a face of its lane up to then (of equal times the larger id). One sort by lane and
+    time over both tables, no range join; a long lane is cut into ranges of time, and the newest image before a range is carried into it."""
     a = reads.select("lane", "ts", "event_id", F.lit(None).cast("long").alias("image_id"))
     b = faces.where("n_faces > 0").select("lane", "ts", F.lit(None).cast("long").alias("event_id"), "image_id")
-    order = W.partitionBy("lane").orderBy("ts", F.col("event_id").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("image_id", F.last("image_id", ignorenulls=True).over(order)).where("event_id IS NOT NULL").select("event_id", "image_id")
+    ranges = Ranges(a.unionByName(b), "lane", "ts", **cut)
+    order = ranges.window("ts", F.col("event_id").isNotNull(), "image_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = ranges.rows.withColumn("own", F.last("image_id", ignorenulls=True).over(order))
+    newest = F.max_by("image_id", F.when(F.col("image_id").isNotNull(), F.struct("ts", "image_id")))
+    rows = ranges.carried(rows, "before", newest, lambda fold: F.last(fold, ignorenulls=True))
+    return rows.where("event_id IS NOT NULL").select("event_id", F.coalesce("own", "before").alias("image_id"))
 
 
 def worst_strings(reads: DataFrame, most: int = 50) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, gates, identity
+from ..operators import evaluate, gates, identity, settlement
 from ..operators.text import FORMATS
 from ..sources import files
 from .text import _bare, _format
@@ -29,6 +29,17 @@ _OUTCOMES = f"""(SELECT i, plate_entry, rid, match_sim, matched_rid, genuine_sim
 _STAGES = {"entry_ocr_valid": "plate_entry IS NOT NULL", "entry_ok": "rid IS NOT NULL", "exit_face_ok": "genuine_sim IS NOT NULL", "exit_matched": "exit_matched", "exit_correct": "exit_correct", "exit_wrong": "exit_matched AND NOT exit_correct"}
 _RANKED = "(SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':5'), id) AS place FROM {0} v)"
 
+#: A walk over the exits of each lot and plate in their order, with the number of the record that is next.
+_SETTLED = f"""SELECT id, lot, plate, active_id, outcome, sim, CASE WHEN outcome = 'matched' THEN entry_ts END AS entry_ts, CASE WHEN outcome = 'matched' THEN ts END AS exit_ts,
+ CASE WHEN outcome = 'matched' THEN CAST((epoch_us(ts) - epoch_us(entry_ts)) // 60000000 AS BIGINT) END AS duration_min, CASE WHEN outcome = 'matched' THEN sim END AS match_conf FROM
+ (WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY lot, plate ORDER BY ts, id) AS n FROM {{v_leaving}} l),
+  r AS (SELECT *, row_number() OVER (PARTITION BY lot, plate ORDER BY entry_ts, id) AS turn FROM {{v_parked}} k),
+  w AS (SELECT DISTINCT lot, plate, 0::BIGINT AS n, 1::BIGINT AS head, NULL::BIGINT AS id, NULL::TIMESTAMP AS ts, NULL::BIGINT AS active_id, NULL::TIMESTAMP AS entry_ts, NULL::DOUBLE AS sim FROM x WHERE plate IS NOT NULL
+   UNION ALL SELECT w.lot, w.plate, x.n, w.head + CASE WHEN {_cosine('x.embedding', 'r.embedding')} >= 0.05 THEN 1 ELSE 0 END, x.id, x.ts, r.id, r.entry_ts, {_cosine('x.embedding', 'r.embedding')}
+   FROM w JOIN x ON x.lot = w.lot AND x.plate = w.plate AND x.n = w.n + 1 LEFT JOIN r ON r.lot = w.lot AND r.plate = w.plate AND r.turn = w.head AND r.entry_ts <= x.ts)
+  SELECT *, CASE WHEN active_id IS NULL THEN 'not_found' WHEN sim >= 0.05 THEN 'matched' ELSE 'mismatch' END AS outcome FROM (SELECT lot, plate, id, ts, active_id, entry_ts, sim FROM w WHERE n > 0
+   UNION ALL SELECT lot, plate, id, ts, NULL, NULL, NULL FROM x WHERE plate IS NULL) s) q"""
+
 
 def _over(report):
     return lambda samples: report(evaluate.paired_eval(samples))
@@ -66,7 +77,8 @@ def specs(accepted: str, sessions: str) -> dict:
         "db_scaling_summary": (evaluate.db_scaling_summary, ["v_scaling"], "SELECT n, round(sum(ms) FILTER (op = 'insert'), 4) AS total_ms, round(sum(ms) FILTER (op = 'insert') / n, 6) AS per_ms, round(avg(ms) FILTER (op = 'search'), 6) AS search_ms FROM {v_scaling} s GROUP BY n"),
         "orientation_pick": (identity.orientation_pick, ["v_rotations"], "SELECT image, code FROM {v_rotations} r WHERE n_faces > 0 QUALIFY row_number() OVER (PARTITION BY image ORDER BY list_position([0, 1, 3, 2], code)) = 1"),
         "embedding_avg": (_avg_digest, ["v_face_vectors"], AVG),
-        "exit_settlement": (identity.exit_settlement, ["v_exit", "v_active"], f"SELECT id, active_id, CASE WHEN active_id IS NULL THEN 'not_found' WHEN sim >= 0.05 THEN 'matched' ELSE 'mismatch' END AS outcome, sim FROM (SELECT x.id, a.id AS active_id, {_cosine('x.embedding', 'a.embedding')} AS sim FROM {{v_exit}} x LEFT JOIN {{v_active}} a ON a.plate = x.plate) q"),
+        "exit_settlement": (settlement.exit_settlement, ["v_leaving", "v_parked"], _SETTLED),
+        "exit_remaining": (settlement.still_active, ["v_leaving", "v_parked"], f"SELECT id, lot, plate, entry_ts FROM {{v_parked}} k WHERE id NOT IN (SELECT active_id FROM ({_SETTLED}) t WHERE outcome = 'matched')"),
         "event_feed": (gates.event_feed, ["v_gate"], f"SELECT event_id, lot, plate, ts, kind AS type FROM ({accepted}) a ORDER BY ts DESC, event_id DESC LIMIT 50"),
         "session_display": (gates.session_display, ["v_gate"], f"SELECT entry_id, plate, strftime(entry_ts, '%Y-%m-%dT%H:%M:%S') AS entered, coalesce(strftime(exit_ts, '%Y-%m-%dT%H:%M:%S'), '') AS \"left\", coalesce(CAST(duration_min AS VARCHAR) || ' min', '') AS stay FROM ({sessions}) s"),
         "source_route": (gates.source_route, ["v_frames"], "SELECT event_id, CASE source_id WHEN 0 THEN 'plate' ELSE 'face' END AS source FROM {v_frames} f WHERE source_id < 2"),

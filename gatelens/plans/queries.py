@@ -36,7 +36,7 @@ SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str | None]] = {
     "plate_vote": (gates.plate_vote, ["v_reads"], "SELECT event_id, lane, CASE WHEN len(held) >= 3 AND top.n * 2 >= len(held) THEN top.value END AS stable FROM (SELECT *, list_max(list_transform(list_distinct(held), lambda v: {'n': len(list_filter(held, lambda x: x = v)), 'age': -list_position(held, v), 'value': v})) AS top FROM (SELECT event_id, lane, list(raw) OVER (PARTITION BY lane ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held FROM {v_reads} r WHERE raw <> '') a) b"),
     "frame_sample": (gates.frame_sample, ["v_reads"], "SELECT event_id, lane FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY ts, event_id) AS n FROM {v_reads} r) q WHERE n % 3 = 0"),
     "fps_per_second": (gates.fps_per_second, ["v_reads"], "SELECT lane, CAST(date_trunc('second', ts) AS TIMESTAMP) AS second, count(*) AS frames FROM {v_reads} r GROUP BY ALL"),
-    "plate_lookup_join": (identity.plate_lookup_join, ["v_exit", "v_active"], "SELECT x.id, x.plate, a.id AS active_id FROM {v_exit} x LEFT JOIN {v_active} a ON a.plate = x.plate"),
+    "plate_lookup_join": (identity.plate_lookup_join, ["v_exit", "v_active"], "SELECT x.id, x.lot, x.plate, a.id AS active_id FROM {v_exit} x LEFT JOIN {v_active} a ON a.plate = x.plate AND a.lot = x.lot"),
     "cosine_verify": (identity.cosine_verify, ["v_exit", "v_active"], "SELECT *, sim >= 0.05 AS passed FROM (SELECT x.id, a.id AS active_id, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) q"),
     "quality_gate": (identity.quality_gate, ["v_faces"], "SELECT image_id, reason = 'ok' AS ok, reason FROM (SELECT image_id, CASE WHEN blur < 50 THEN 'blurry' WHEN brightness <= 30 THEN 'dark' WHEN brightness >= 230 THEN 'bright' ELSE 'ok' END AS reason FROM {v_faces} f) q"),
     "quality_score": (identity.quality_score, ["v_faces"], f"SELECT image_id, CASE WHEN {GATE} THEN 0.5::DOUBLE * least(blur / 500, 1.0::DOUBLE) + 0.2::DOUBLE * (1 - abs(brightness - 128) / 128) + 0.3::DOUBLE * least(w * h / 20000.0::DOUBLE, 1.0::DOUBLE) END AS score FROM {{v_faces}} f"),

@@ -25,8 +25,12 @@ FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 A
     "v_mode_reads": """SELECT event_id, lane, ts, CASE WHEN event_id % 13 = 0 THEN '' ELSE raw END AS raw, CASE WHEN event_id % 13 = 0 THEN 'clear' END AS control FROM {v_reads} r""",
     "v_gate": """SELECT event_id, user_id % 5 AS lot, 'P' || CAST(user_id AS STRING) AS plate, ts, CASE WHEN event_type IN ('signup', 'view') THEN 'entry' ELSE 'exit' END AS kind FROM {events} e WHERE event_type <> 'error'""",
     "v_faces": """SELECT event_id AS image_id, user_id AS lane, ts, value AS blur, CAST(event_id * 7 % 256 AS DOUBLE) AS brightness, CAST(40 + event_id % 160 AS INT) AS w, CAST(40 + event_id % 120 AS INT) AS h, CAST(event_id % 3 AS INT) AS n_faces FROM {events} e""",
-    "v_active": """SELECT vec_id AS id, 'P' || CAST(CAST(floor(vec_id / 2) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 0""",
-    "v_exit": """SELECT vec_id AS id, 'P' || CAST(CAST(floor(vec_id / 2) + (CASE WHEN vec_id % 10 = 1 THEN 1000000 ELSE 0 END) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 1""",
+    "v_active": """SELECT vec_id AS id, CAST(floor(vec_id / 2) AS INT) % 5 AS lot, 'P' || CAST(CAST(floor(vec_id / 2) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 0""",
+    "v_exit": """SELECT vec_id AS id, CAST(floor(vec_id / 2) AS INT) % 5 + (CASE WHEN vec_id % 14 = 3 THEN 1 ELSE 0 END) AS lot, 'P' || CAST(CAST(floor(vec_id / 2) + (CASE WHEN vec_id % 10 = 1 THEN 1000000 ELSE 0 END) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 1""",
+    "v_parked": """SELECT e.vec_id AS id, CAST(floor(e.vec_id / 12) AS INT) % 3 AS lot, 'P' || CAST(CAST(floor(e.vec_id / 12) AS INT) AS STRING) AS plate, v.ts AS entry_ts, CASE WHEN e.vec_id % 33 > 0 THEN e.embedding END AS embedding
+ FROM {embeddings} e JOIN {events} v ON v.event_id = e.vec_id WHERE e.vec_id % 3 = 0""",
+    "v_leaving": """SELECT e.vec_id AS id, CAST(floor(e.vec_id / 12) AS INT) % 3 AS lot, CASE WHEN e.vec_id % 31 > 0 THEN 'P' || CAST(CAST(floor(e.vec_id / 12) AS INT) AS STRING) END AS plate, v.ts AS ts, e.embedding
+ FROM {embeddings} e JOIN {events} v ON v.event_id = e.vec_id + 300 WHERE e.vec_id % 3 <> 0""",
     "v_det_ch": """SELECT *, substring('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + det_id % 36 AS INT), 1) AS ch FROM {v_det} d""",
     "v_truth_ch": """SELECT *, substring('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + (truth_id + (CASE WHEN x1 % 5 = 0 THEN 1 ELSE 0 END)) % 36 AS INT), 1) AS ch FROM {v_truth} t""",
     "v_anchors": """SELECT event_id AS frame_id, array(CAST(event_id % 50 AS DOUBLE), CAST(event_id % 60 AS DOUBLE), CAST(30 AS DOUBLE)) AS cx, array(CAST(event_id % 40 AS DOUBLE), CAST(12 AS DOUBLE), CAST(20 AS DOUBLE)) AS cy, array(CAST(8 AS DOUBLE), CAST(10 AS DOUBLE), CAST(event_id % 9 AS DOUBLE)) AS w, array(CAST(4 AS DOUBLE), CAST(6 AS DOUBLE), CAST(8 AS DOUBLE)) AS h,
