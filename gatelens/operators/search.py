@@ -1,6 +1,6 @@
 """Similarity search over embeddings (id, plate, identity, embedding): best matches, similar pairs, Top-1, pruning, approximate search.
 
-Vectors are compared in blocks: both sides are dealt by the hash of their id into blocks of about ``size`` rows, every pair of
+The best of all rows and all pairs over a threshold go by way of a metric index (``angles``). Vectors are compared in blocks: both sides are dealt by the hash of their id into blocks of about ``size`` rows, every pair of
 blocks is one matrix product in one task, and only what passes leaves it: the best ``k`` of a row or the pairs on one side
 of a threshold. Where a key must be equal, blocks are made within the key, so a key with a third of all rows is many blocks.
 Rows with null vectors take no part. Similarities are of unit length vectors, in doubles; ties go to the smaller id."""
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import folder, written
+from . import angles
 
 #: (similarities, ids of the rows, ids of the columns) -> which to keep
 Keep = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -27,7 +28,7 @@ def best(k: int) -> Keep:
     def keep(sims: np.ndarray, _a: np.ndarray, _b: np.ndarray) -> np.ndarray:
         if sims.shape[1] <= k:
             return np.ones(sims.shape, bool)
-        return sims >= np.partition(sims, -k, axis=1)[:, -k][:, None] - 1e-9
+        return sims >= np.partition(sims, -k, axis=1)[:, -k][:, None] - 1e-6  # equal in six decimals
 
     return keep
 
@@ -41,6 +42,21 @@ def pairs_up_to(most: float) -> Keep:
     return lambda sims, a, b: (sims <= most) & (a[:, None] < b[None, :])
 
 
+def compared(a: DataFrame, b: DataFrame, on: list[str], keep: Keep) -> DataFrame:
+    """a, b, sim of what ``keep`` lets through of the products of blocks; both sides: id, v and the columns ``on`` that name a pair of blocks."""
+
+    def product(rows: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(columns):
+            return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
+        unit = lambda df: (m := np.stack(df["v"].to_numpy())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        sims = unit(rows) @ unit(columns).T
+        ids, others = rows["id"].to_numpy(), columns["id"].to_numpy()
+        r, c = np.nonzero(keep(sims, ids, others))
+        return pd.DataFrame({"a": ids[r], "b": others[c], "sim": sims[r, c]})
+
+    return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(product, "a long, b long, sim double")
+
+
 def matched(left: DataFrame, right: DataFrame, keep: Keep, key: str | None = None, size: int = 2048) -> DataFrame:
     """a, b (ids of left and right), sim for what ``keep`` lets through, within equal keys if a key is named."""
     shape = lambda df: df.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), (F.col(key) if key else F.lit(0)).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
@@ -51,17 +67,21 @@ def matched(left: DataFrame, right: DataFrame, keep: Keep, key: str | None = Non
     every = lambda over: F.explode(F.sequence(F.lit(0), F.col(over) - 1))
     a = a.join(plan, "k").withColumn("i", deal("rows")).select("k", "i", every("columns").alias("j"), "id", "v")
     b = b.join(plan, "k").withColumn("j", deal("columns")).select("k", every("rows").alias("i"), "j", "id", "v")
+    return compared(a, b, ["k", "i", "j"], keep)
 
-    def product(rows: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(columns):
-            return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
-        unit = lambda df: (m := np.stack(df["v"].to_numpy())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        sims = unit(rows) @ unit(columns).T
-        ids, others = rows["id"].to_numpy(), columns["id"].to_numpy()
-        r, c = np.nonzero(keep(sims, ids, others))
-        return pd.DataFrame({"a": ids[r], "b": others[c], "sim": sims[r, c]})
 
-    return a.groupBy("k", "i", "j").cogroup(b.groupBy("k", "i", "j")).applyInPandas(product, "a long, b long, sim double")
+def near(left: DataFrame, right: DataFrame, keep: Keep, k: int | None, least: float, size: int = 2048) -> DataFrame:
+    """As ``matched`` without a key, for the best ``k`` that reach ``least`` (or all that do), by way of the metric index: each row goes
+    only to the blocks that can hold an answer."""
+    a, b, pairs = angles.candidates(left, right, keep, k, least, size)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    to = pairs.groupBy("c").agg(F.collect_list(F.struct("d", "nj")).alias("to"))  # at most a row for each cluster
+    back = pairs.groupBy("d").agg(F.collect_list(F.struct("c", "ni")).alias("to"))
+    a = a.join(F.broadcast(to), F.col("cluster") == F.col("c")).select("id", "v", "c", F.col("block").alias("i"), F.explode("to").alias("t"))
+    a = a.select("id", "v", "c", "i", "t.d", F.col("t.nj").alias("nj")).select("id", "v", "c", "i", "d", F.explode(every("nj")).alias("j"))
+    b = b.join(F.broadcast(back), F.col("cluster") == F.col("d")).select("id", "v", "d", F.col("block").alias("j"), F.explode("to").alias("t"))
+    b = b.select("id", "v", "d", "j", "t.c", F.col("t.ni").alias("ni")).select("id", "v", "c", F.explode(every("ni")).alias("i"), "d", "j")
+    return compared(a, b, ["c", "i", "d", "j"], keep)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -72,12 +92,12 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def topk_similar(exits: DataFrame, active: DataFrame, k: int = 3, least: float = 0.15) -> DataFrame:
     """id, rank, active_id, sim: the k most alike active rows, of these the ones that reach ``least``."""
-    return ranked(matched(exits, active, best(k)), k).where(F.col("sim") >= least).select(F.col("a").alias("id"), "rank", F.col("b").alias("active_id"), "sim")
+    return ranked(near(exits, active, best(k), k, least), k).where(F.col("sim") >= least).select(F.col("a").alias("id"), "rank", F.col("b").alias("active_id"), "sim")
 
 
 def cross_similarity(exits: DataFrame, active: DataFrame, least: float = 0.3) -> DataFrame:
     """id, active_id, sim for all pairs that reach ``least``."""
-    found = matched(exits, active, over(least - 1e-6)).select(F.col("a").alias("id"), F.col("b").alias("active_id"), F.round("sim", 6).alias("sim"))
+    found = near(exits, active, over(least - 1e-6), None, least).select(F.col("a").alias("id"), F.col("b").alias("active_id"), F.round("sim", 6).alias("sim"))
     return found.where(F.col("sim") >= least)
 
 
@@ -112,7 +132,7 @@ def top1_rows(rows: DataFrame, seed: int = 7) -> DataFrame:
     vec = rows.select("id", "embedding")
     gallery = split.select("identity", F.col("gallery").alias("id")).join(vec, "id")
     probes = split.select("identity", F.col("probe").alias("id")).join(vec, "id")
-    two = ranked(matched(probes, gallery, best(2)), 2)
+    two = ranked(near(probes, gallery, best(2), 2, -2.0), 2)
     names = gallery.select(F.col("id").alias("b"), F.col("identity").alias("said"))
     asked = probes.select(F.col("id").alias("a"), "identity")
     two = two.join(names, "b").join(asked, "a")

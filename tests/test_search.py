@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from gatelens.operators import search
+from gatelens.operators import angles, search
 
 
 def vectors(spark, n=60, identities=4, seed=1):
@@ -19,6 +21,40 @@ def test_blocks_give_the_same_pairs_as_one_product(spark):
     assert {(r.a, r.b) for r in found} == {(i, int(j)) for i in range(60) for j in np.argsort(-(m @ m[i]))[:3]}
 
 
+def clustered(spark, n, clusters, seed, spread=0.05, dims=8, first=0):
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(0).normal(size=(clusters, dims))
+    m = centres[rng.integers(clusters, size=n)] + spread * rng.normal(size=(n, dims))
+    m[:2] = 0  # no angle
+    m[2:6] = m[2]
+    return m, spark.createDataFrame([(first + i, i, m[i].tolist()) for i in range(n)] + [(first + n, 0, None)], "id long, identity long, embedding array<double>")
+
+
+@pytest.mark.parametrize("clusters, spread", [(12, 0.05), (1, 3.0)])
+def test_the_metric_index_is_exact(spark, monkeypatch, clusters, spread):
+    monkeypatch.setattr(angles, "ROWS_EACH", 20)
+    x, exits = clustered(spark, 150, clusters, 1, spread)
+    g, active = clustered(spark, 300, clusters, 2, spread, first=1000)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    sims = np.round(unit(x) @ unit(g).T, 6) + 0.0
+    for k, least in ((3, 0.15), (2, -2.0), (400, 0.5)):
+        want = [(i, at, 1000 + int(j), sims[i, j]) for i in range(150) for at, j in enumerate(np.lexsort((np.arange(300), -sims[i]))[:k], 1) if sims[i, j] >= least]
+        got = search.ranked(search.near(exits, active, search.best(k), k, least, size=16), k).where(F.col("sim") >= least).collect()
+        assert sorted((r.a, r["rank"], r.b) for r in got) == sorted(w[:3] for w in want)
+        assert np.allclose([r.sim for r in sorted(got, key=lambda r: (r.a, r["rank"]))], [w[3] for w in want], atol=2e-6)
+    pairs = {(r.id, r.active_id) for r in search.cross_similarity(exits, active, 0.9).collect()}
+    assert pairs == {(int(i), 1000 + int(j)) for i, j in zip(*np.nonzero(sims >= 0.9))}
+
+
+def test_the_metric_index_drops_most_pairs_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(angles, "ROWS_EACH", 20)
+    _, exits = clustered(spark, 300, 40, 1)
+    _, active = clustered(spark, 800, 40, 2, first=1000)
+    a, b, pairs = angles.candidates(exits, active, search.best(3), 3, 0.15, 64)
+    met = pairs.join(a.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("x")), "c").join(b.groupBy(F.col("cluster").alias("d")).agg(F.count("*").alias("y")), "d").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
+    assert met < 0.5 * 300 * 800
+
+
 def test_pruning_leaves_no_bad_pair_and_follows_the_greedy_rule(spark):
     m, df = vectors(spark)
     got = {r.id: r.reason for r in search.outlier_prune(df, -0.3).collect()}
