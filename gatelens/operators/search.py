@@ -73,15 +73,8 @@ def matched(left: DataFrame, right: DataFrame, keep: Keep, key: str | None = Non
 def near(left: DataFrame, right: DataFrame, keep: Keep, k: int | None, least: float, size: int = 2048) -> DataFrame:
     """As ``matched`` without a key, for the best ``k`` that reach ``least`` (or all that do), by way of the metric index: each row goes
     only to the blocks that can hold an answer."""
-    a, b, pairs = angles.candidates(left, right, keep, k, least, size)
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    to = pairs.groupBy("c").agg(F.collect_list(F.struct("d", "nj")).alias("to"))  # at most a row for each cluster
-    back = pairs.groupBy("d").agg(F.collect_list(F.struct("c", "ni")).alias("to"))
-    a = a.join(F.broadcast(to), F.col("cluster") == F.col("c")).select("id", "v", "c", F.col("block").alias("i"), F.explode("to").alias("t"))
-    a = a.select("id", "v", "c", "i", "t.d", F.col("t.nj").alias("nj")).select("id", "v", "c", "i", "d", F.explode(every("nj")).alias("j"))
-    b = b.join(F.broadcast(back), F.col("cluster") == F.col("d")).select("id", "v", "d", F.col("block").alias("j"), F.explode("to").alias("t"))
-    b = b.select("id", "v", "d", "j", "t.c", F.col("t.ni").alias("ni")).select("id", "v", "c", F.explode(every("ni")).alias("i"), "d", "j")
-    return compared(a, b, ["c", "i", "d", "j"], keep)
+    found = angles.routes(left, right, keep, k, least, size)
+    return compared(*found, ["c", "i", "d", "j"], keep) if found else matched(left, right, keep, size=size)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -32,7 +32,7 @@ def clustered(spark, n, clusters, seed, spread=0.05, dims=8, first=0):
 
 @pytest.mark.parametrize("clusters, spread", [(12, 0.05), (1, 3.0)])
 def test_the_metric_index_is_exact(spark, monkeypatch, clusters, spread):
-    monkeypatch.setattr(angles, "ROWS_EACH", 20)
+    monkeypatch.setattr(angles, "ROWS_EACH", 5)
     x, exits = clustered(spark, 150, clusters, 1, spread)
     g, active = clustered(spark, 300, clusters, 2, spread, first=1000)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
@@ -47,12 +47,17 @@ def test_the_metric_index_is_exact(spark, monkeypatch, clusters, spread):
 
 
 def test_the_metric_index_drops_most_pairs_of_clustered_vectors(spark, monkeypatch):
-    monkeypatch.setattr(angles, "ROWS_EACH", 20)
+    monkeypatch.setattr(angles, "ROWS_EACH", 5)
     _, exits = clustered(spark, 300, 40, 1)
     _, active = clustered(spark, 800, 40, 2, first=1000)
-    a, b, pairs = angles.candidates(exits, active, search.best(3), 3, 0.15, 64)
-    met = pairs.join(a.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("x")), "c").join(b.groupBy(F.col("cluster").alias("d")).agg(F.count("*").alias("y")), "d").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
-    assert met < 0.5 * 300 * 800
+    a, b = angles.routes(exits, active, search.best(3), 3, 0.15, 64)
+    blocks = a.groupBy("c", "i", "d", "j").agg(F.count("*").alias("x")).join(b.groupBy("c", "i", "d", "j").agg(F.count("*").alias("y")), ["c", "i", "d", "j"])
+    assert blocks.agg(F.sum(F.col("x") * F.col("y"))).first()[0] < 0.5 * 300 * 800
+
+
+def test_vectors_without_clusters_take_plain_blocks(spark):
+    _, exits = clustered(spark, 300, 1, 1, 3.0)
+    assert angles.routes(exits, exits, search.best(3), 3, -2.0, 64) is None
 
 
 def test_pruning_leaves_no_bad_pair_and_follows_the_greedy_rule(spark):
