@@ -7,8 +7,8 @@ labelled; a fixed number, so training doesn't grow with the corpus) and decoded
 
 Scripts, styles, templates, images, comments and the head are no text. A head without end tag goes as far as its own kinds of tags do, an
 image without one up to the next block; scripts and styles without one run to the end of the page, of templates and noscript
-parts only the tag is left out then. A '<' that begins no tag is text, except as the last character of a page. Blocks nested more than
-DEEPEST deep count as blocks of that depth. White space inside a block is one space, character
+parts only the tag is left out then. A '<' that begins no tag is text, except as the last character of a page. Of blocks nested
+more than DEEPEST deep every ancestor counts, equal ones once. White space inside a block is one space, character
 references are decoded, blocks are joined by a line feed. A null or empty page, or one without blocks, gives an empty text with 0
 characters. Pages are read whole, cut-off ones up to where they end. Rows are independent, so repeated rows
 repeat their result; columns named like a result are replaced, extra columns stay where they are kept. An empty table gives an empty result.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -66,10 +67,41 @@ CLOSED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template")}
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
+class Open:
+    """The open blocks: tag and path part (tag and the words of class and id) of each, and how often each is open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []
+        self.tags: Counter[str] = Counter()
+        self.parts: dict[str, int] = {}
+
+    def push(self, tag: str, part: str) -> None:
+        self.stack.append((tag, part))
+        self.tags[tag] += 1
+        self.parts[part] = self.parts.get(part, 0) + 1
+
+    def pop(self) -> str:
+        tag, part = self.stack.pop()
+        self.tags[tag] -= 1
+        self.parts[part] -= 1
+        if not self.parts[part]:
+            del self.parts[part]
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost block of this tag, and all in it; nothing where none is open."""
+        while self.tags[tag] and self.pop() != tag:
+            pass
+
+    def path(self) -> tuple[str, ...]:
+        """The parts from the outermost on. Of more than DEEPEST, each part once and the innermost at the end: the features are the same."""
+        return tuple(p for _, p in self.stack) if len(self.stack) <= DEEPEST else (*self.parts, self.stack[-1][1])
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path of ancestors, text, characters of link text) for each leaf block, in page order."""
     out: list = []
-    stack: list[tuple[str, str]] = []  # tag, path part with the words of class and id
+    blocks = Open()
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -78,7 +110,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             if block:
-                out.append((tuple(p for _, p in stack), block, linked))
+                out.append((blocks.path(), block, linked))
             text = []
         linked = 0
 
@@ -118,19 +150,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag in VOID:
                 continue
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                blocks.close(tag)
                 continue
             ends = CLOSES.get(tag, ())
-            while stack and stack[-1][0] in ends:
-                stack.pop()
+            while blocks.stack and blocks.stack[-1][0] in ends:
+                blocks.pop()
             names = " ".join(v.strip("\"'") for v in NAMED.findall(m["named"] or m["named2"] or ""))
             words = sorted({w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()) if len(w) > 1})
-            if len(stack) >= DEEPEST:
-                stack.pop()
-            stack.append((tag, " ".join([tag, *words])))
+            blocks.push(tag, " ".join([tag, *words]))
     add(re.sub(r"</?\Z", "", page[at:]))
     end_block()
     return out

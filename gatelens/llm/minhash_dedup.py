@@ -304,9 +304,10 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def near_duplicates(df: DataFrame, *args, **limits) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; arguments as in ``components``."""
-    is_owner = F.coalesce(F.col("rid") == F.col("owner"), F.lit(True))
-    return components(df, *args, **limits).select("doc_id", "n_shingles", "component_id", is_owner.alias("kept"))
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id) for every row; arguments as in ``components``. A row without
+    an id is never kept; to keep one row of each group where ids are null or repeated, take the owner of ``components``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return components(df, *args, **limits).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 #: DuckDB SQL for op5's rows over ``documents``: shingles counted pair by pair, components by a recursive walk.

@@ -108,3 +108,11 @@ def test_main_text_of_pages_without_any_known_name():
     page = f"<body><div><ul><li><a href=/>Start</a></li><li><a href=/b>More</a></li></ul></div><div><h1>Title of it</h1>{article}</div><div><a href=/x>About</a> <a href=/y>Terms</a></div></body>"
     found = html_extract.Extractor(*html_extract.train()).text(page).split("\n")
     assert "At last the story ends." in found and "Start" not in found
+
+
+@pytest.mark.parametrize("depth", [10, 64, 80, 5000])
+def test_ancestors_count_at_any_depth(depth):
+    page = "<body><div class=comments>" + "<div>" * depth + "<nav><b>x</b></nav></b></span>" + "</div>" * depth + "<p>inside</p></div><p>outside</p>"
+    (deep, *_), (inside, *_), (outside, *_) = html_extract.blocks_of(page)
+    assert {"tag:nav", "name:comments", "tag:div", "tag:body", "parent:nav"} <= set(html_extract.path_features(deep))
+    assert inside == ("body", "div comments", "p") and outside == ("body", "p")
