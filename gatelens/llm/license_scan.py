@@ -5,7 +5,8 @@ A text's units are the whole text, its paragraphs (between blank lines), its lin
 neighbouring pieces (sentences, cut at line ends too) that neither hold nor lie in a unit which matches by itself. So a notice of several paragraphs, lines or
 sentences is found between other text; one that begins or ends inside a piece is not. Of runs that overlap the one that shares most pairs
 with its template counts, then the most alike; a run has at most three times the words that the upper bound allows pairs. For a template of
-more than LONG pairs the only run is the one from the first to the last piece half of whose pairs are the template's. Runs are looked for
+more than LONG pairs the runs are those from one strong piece (half of its pairs are the template's) to another with no more than a 50th, an 8th or half of
+the template's pairs between two of them; they also end before a piece that is their first one once more, so copies in a row are told apart. Runs are looked for
 only where a text has as many of a template's pairs as a match needs. The SQL has no runs: rows with such a notice differ. Normalised: lower case, letters and digits kept, everything
 else one space. A template is compared only with units whose number of pairs lies within the bounds that the threshold
 leaves: 2 min / (a + b) >= t. Texts without any anchor word have no match at all: anchors are chosen so that the
@@ -30,8 +31,9 @@ from .license_texts import TEMPLATES
 
 #: Common words that would let nearly every text pass as anchors.
 COMMON = frozenset("a above all an and any are as at be but by can copies do for form free from has have hope if in into is it list may met mit more must no not of on one or other out related sa see should so source such terms that the this to under use used was will with without work you".split())
-#: Pairs from which a template is long.
+#: Pairs from which a template is long; parts of it that may lie between two of a long run's strong pieces.
 LONG = 400
+GAPS = (50, 8, 2)
 PARTS = ("n_licenses", "license", "dice", "licenses")
 
 
@@ -115,10 +117,25 @@ def _runs(pieces: Column, wanted: Column, threshold: float) -> Column:
             fits = lambda i, j: (between(size, i, j) <= t["most"]) & (between(hit, i, j) >= t["need"]) & (between(bar, i, j) == 0)
             run = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
             starts = F.filter(F.sequence(F.lit(0), last - 1), lambda i: between(hit, i, i) > 0)
+
+            def runs_of(at: Column, part: int, again: bool) -> Column:
+                """Strong pieces in a row, with no more other pairs between two of them than this part of the template's; ``again``: one
+                that is the first of its run once more begins another."""
+
+                def step(held: Column, x: Column) -> Column:
+                    return let(F.get(held, F.size(held) - 1), lambda last: F.when(joins(last, x), F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(run(last["i"], x)))).otherwise(F.concat(held, F.array(run(x, x)))))
+
+                def joins(last: Column, x: Column) -> Column:
+                    close = F.get(size, x) - F.get(size, last["j"] + 1) <= F.size(t["pairs"]) / part
+                    return F.coalesce(close & (F.get(pieces, x) != F.get(pieces, last["i"])) if again else close, F.lit(False))
+
+                return F.aggregate(at, F.expr("cast(array() as array<struct<i:int,j:int>>)"), step)
+
             # a piece has a word at least, which bounds how far a run may go
             short = lambda i: F.transform(F.filter(F.sequence(i + 1, F.least(last, i + t["most"])), lambda j: fits(i, j)), lambda j: run(i, j))
             strong = F.filter(F.sequence(F.lit(0), last), lambda i: (between(hit, i, i) * 2 >= between(size, i, i)) & (between(size, i, i) > 2))
-            whole = let(strong, lambda at: F.filter(F.array(run(F.get(at, F.lit(0)), F.element_at(at, -1))), lambda r: (r["i"] < r["j"]) & fits(r["i"], r["j"])))
+            clusters = let(strong, lambda at: F.array_distinct(F.flatten(F.array(*[runs_of(at, part, again) for part in GAPS for again in (False, True)]))))
+            whole = F.filter(clusters, lambda r: (r["i"] < r["j"]) & fits(r["i"], r["j"]))
             found = F.when(t["long"], whole).otherwise(F.flatten(F.transform(starts, short)))
 
             def scored(r: Column) -> Column:

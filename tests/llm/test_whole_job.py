@@ -69,3 +69,24 @@ def test_notices_of_several_paragraphs_between_prose(spark):
     got = license_scan.with_licenses(spark.createDataFrame(rows, "want string, how string, text string"), keep=["want", "how"]).collect()
     assert {(r.want, r.how): r.license or "" for r in got} == {(w, h): w for w, h, _ in rows}
     assert all((r.n_licenses > 0) == (r.want != "") and (not r.want or r.dice >= 0.8) for r in got), got
+
+
+def test_names_and_numbers_of_licences_in_one_text(spark):
+    whole = {name: text for name, text in TEMPLATES if len(text) > 5_000}
+    prose = "\n".join(f"A line of the report with number n{i} tells t{i} of w{i} and of things a{i} and b{i} in town e{i}." for i in range(150))
+    end = "\n".join(whole["GPL-2.0"].split("\n")[100:103])
+    head = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details.\n"
+    cases = [
+        (f"{prose}\n{whole['GPL-2.0']}\n{prose}", "GPL-2.0", 1),
+        (f"{prose}\n{whole['GPL-2.0']}\n{prose}\n{end}", "GPL-2.0", 1),
+        (f"{whole['GPL-2.0']}\n{prose}\n{whole['GPL-2.0']}", "GPL-2.0", 2),
+        (f"{whole['MPL-2.0']}\n{prose}\n{whole['GPL-2.0']}", "GPL-2.0,MPL-2.0", 2),
+        (f"{whole['MPL-2.0']}\n{whole['Apache-2.0']}", "Apache-2.0,MPL-2.0", 3),  # the short notice at the end of Apache-2.0 is a unit of its own, once
+        (f"{whole['Apache-2.0']}\n{whole['Apache-2.0']}\n{prose}", "Apache-2.0", 3),
+        (prose + "\n\n" + head.format("program", "", "2") + "\n" + prose, "GPL-2.0", 1),
+        (prose + "\n\n" + head.format("library", "Lesser ", "2.1") + "\n" + prose, "LGPL-2.1", 1),
+        (prose + "\n\n" + head.format("program", "", "3") + "\n" + prose, "GPL-3.0", 1),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "id long, text string")
+    got = {r.id: (r.licenses, r.n_licenses) for r in license_scan.with_licenses(df, keep=["id"]).collect()}
+    assert {i: got[i] for i in got} == {i: (names, n) for i, (_, names, n) in enumerate(cases)}
