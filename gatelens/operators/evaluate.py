@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .identity import cosine, hash_rank
+from .percentiles import exact_percentiles
 from .text import FORMATS, bare, first_format
 
 THRESHOLD = 0.05
@@ -71,8 +72,10 @@ def drop_details(outcomes: DataFrame, most: int = 40) -> DataFrame:
 def below_thr_profile(outcomes: DataFrame) -> DataFrame:
     """One row over matches below the threshold: n, low, p25, median, p75, high, n_same (the record was the right one)."""
     low = outcomes.where("drop_stage = 'exit_sim_below_thr'")
-    cut = lambda p: F.round(F.percentile("match_sim", p), 6)
-    return low.agg(F.count("*").alias("n"), F.min("match_sim").alias("low"), cut(0.25).alias("p25"), cut(0.5).alias("median"), cut(0.75).alias("p75"), F.max("match_sim").alias("high"), F.count_if(F.col("rid") == F.col("matched_rid")).alias("n_same"))
+    one = low.agg(F.count("*").alias("n"), F.min("match_sim").alias("low"), F.max("match_sim").alias("high"), F.count_if(F.col("rid") == F.col("matched_rid")).alias("n_same"))
+    exact = exact_percentiles(low, F.lit(1), F.col("match_sim"), [0.25, 0.5, 0.75])
+    cut = [F.round(F.get("cuts", F.lit(i)), 6).alias(name) for i, name in enumerate(("p25", "median", "p75"))]
+    return one.join(F.broadcast(exact.select("cuts")), how="left").select("n", "low", *cut, "high", "n_same")  # one row each
 
 
 def threshold_whatif(outcomes: DataFrame, hundredths: tuple[int, ...] = (0, 2, 5, 10, 15, 20)) -> DataFrame:

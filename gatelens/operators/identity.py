@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .percentiles import exact_percentiles
 from .ranges import Ranges
 
 
@@ -53,6 +54,12 @@ def face_status(faces: DataFrame) -> DataFrame:
     return n.join(F.broadcast(n.agg(F.sum("n").alias("all_n")))).select("status", "n", F.round(F.col("n") / F.col("all_n"), 6).alias("share"))  # three rows at most
 
 
+def face_image_status(faces: DataFrame) -> DataFrame:
+    """image_id, n_faces, status (ok, no_face, multi_face) of each image; an image without a count shows no face."""
+    n = F.coalesce("n_faces", F.lit(0))
+    return faces.select("image_id", n.alias("n_faces"), F.when(n == 1, "ok").when(n == 0, "no_face").otherwise("multi_face").alias("status"))
+
+
 def first_n_per_group(rows: DataFrame, most: int = 2) -> DataFrame:
     order = W.partitionBy("identity").orderBy("id")
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("identity", "id", "place")
@@ -73,12 +80,16 @@ def split_hold_out(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def latency_summary(timing: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """n, mean, std (population), min, max, p50, p95, p99 (interpolated), fps for each stage; 6 decimals. Exact percentiles hold a
-    stage's distinct values in one buffer; with an ``accuracy`` the buffer is bounded and ranks are off by at most n / accuracy."""
+    """n, mean, std (population), min, max, p50, p95, p99 (interpolated), fps for each stage; 6 decimals. Percentiles are exact, by narrowing
+    ranges; with an ``accuracy`` they come from one pass, and ranks are off by at most n / accuracy."""
     r = lambda c: F.round(c, 6)
-    mean = F.avg("ms")
-    cut = lambda p: r(F.percentile_approx("ms", p, accuracy) if accuracy else F.percentile("ms", p)).alias(f"p{int(p * 100)}")
-    return timing.groupBy("stage").agg(F.count("ms").alias("n"), r(mean).alias("mean"), r(F.stddev_pop("ms")).alias("std"), F.min("ms").alias("low"), F.max("ms").alias("high"), cut(0.5), cut(0.95), cut(0.99), r(F.when(mean > 0, 1000 / mean).otherwise(0.0)).alias("fps"))
+    mean, shares = F.avg("ms"), [0.5, 0.95, 0.99]
+    plain = timing.groupBy("stage").agg(F.count("ms").alias("n"), r(mean).alias("mean"), r(F.stddev_pop("ms")).alias("std"), F.min("ms").alias("low"), F.max("ms").alias("high"), r(F.when(mean > 0, 1000 / mean).otherwise(0.0)).alias("fps"), *([F.percentile_approx("ms", shares, accuracy).alias("cuts")] if accuracy else []))
+    if not accuracy:
+        exact = exact_percentiles(timing, F.col("stage"), F.col("ms"), shares).select("key", "cuts")
+        plain = plain.join(exact, F.col("stage").eqNullSafe(F.col("key")), "left").drop("key")
+    cuts = [r(F.get("cuts", F.lit(i))).alias(f"p{int(p * 100)}") for i, p in enumerate(shares)]
+    return plain.select("stage", "n", "mean", "std", "low", "high", *cuts, "fps")
 
 
 def value_histogram(timing: DataFrame, bins: int = 25) -> DataFrame:

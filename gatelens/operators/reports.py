@@ -4,6 +4,8 @@ Nulls: a null read or similarity is left out of counts that compare it. Ties are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,9 +43,40 @@ def min_group_size(events: DataFrame, least: int = 2) -> DataFrame:
     return events.join(often, "plate", "left_semi").select("event_id", "plate")
 
 
-def pattern_exclude(reads: DataFrame, pattern: str = r"^[0-9]{2}[A-Z][0-9]{6}$") -> DataFrame:
-    """Reads whose prediction doesn't match the pattern."""
-    return reads.where(~F.col("pred").rlike(pattern)).select("event_id", "pred")
+#: Truth rows of this shape are taken out, and all that depends on them.
+EXCLUDED = r"^[0-9]{2}[A-Z][0-9]{6}$"
+
+
+def pattern_exclude(truth: DataFrame, dependents: dict[str, DataFrame], pattern: str = EXCLUDED) -> dict[str, DataFrame]:
+    """The truth rows (id, text) whose text doesn't match, under 'truth', and of each dependent set (id, ...) the rows whose id is not one of a
+    truth row that does. A null text matches nothing; rows of a set without an id stay."""
+    match = F.coalesce(F.col("text").rlike(pattern), F.lit(False))
+    gone = truth.where(match).select("id").distinct()
+    return {name: rows.join(gone, "id", "left_anti") for name, rows in {"truth": truth, **dependents}.items()}
+
+
+def pattern_exclude_counts(truth: DataFrame, dependents: dict[str, DataFrame], pattern: str = EXCLUDED) -> DataFrame:
+    """part, removed, kept: rows of each set that ``pattern_exclude`` takes out and leaves."""
+    gone = truth.where(F.coalesce(F.col("text").rlike(pattern), F.lit(False))).select("id").distinct().withColumn("gone", F.lit(True))
+    counts = [rows.select("id").join(gone, "id", "left").agg(F.lit(name).alias("part"), F.count_if(F.col("gone").isNotNull()).alias("removed"), F.count_if(F.col("gone").isNull()).alias("kept")) for name, rows in {"truth": truth, **dependents}.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def excluded_sets(reads: DataFrame, chars: DataFrame, boxes: DataFrame, truths: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Truth rows and their four sets: crops, characters of crops, frames, boxes of frames."""
+    named = lambda rows, c: rows.select(F.col(c).alias("id"))
+    sets = {"crops": named(chars, "crop_id").distinct(), "characters": named(chars, "crop_id"), "frames": named(boxes, "frame_id").distinct(), "boxes": named(truths, "frame_id")}
+    return reads.select(F.col("event_id").alias("id"), F.col("pred").alias("text")), sets
+
+
+def excluded_rows(*tables: DataFrame) -> DataFrame:
+    """part, id, n: what is left of every set, by id."""
+    kept = pattern_exclude(*excluded_sets(*tables))
+    return reduce(DataFrame.unionByName, [rows.groupBy("id").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "id", "n") for name, rows in kept.items()])
+
+
+def excluded_counts(*tables: DataFrame) -> DataFrame:
+    return pattern_exclude_counts(*excluded_sets(*tables))
 
 
 def asof_frames(reads: DataFrame, faces: DataFrame, **cut) -> DataFrame:
@@ -72,10 +105,12 @@ def confusion_counts(reads: DataFrame) -> DataFrame:
 
 def threshold_sweep(exits: DataFrame, active: DataFrame) -> DataFrame:
     """thr (hundredths), right, n: how many pairs of equal plates are judged right at each threshold. Pairs are first
-    counted by hundredth, so the sweep is over at most 201 rows whatever the table's size."""
+    counted by hundredth, so the sweep is over at most 201 rows whatever the table's size. first_best: the lowest threshold of those with most right."""
     both = exits.select("plate", F.col("identity").alias("i"), F.col("embedding").alias("a")).join(active.select("plate", F.col("identity").alias("j"), F.col("embedding").alias("b")), "plate")
     step = F.floor(F.round(cosine("a", "b"), 6) * 100).cast("int")
     counts = both.select(step.alias("step"), (F.col("i") == F.col("j")).alias("same")).groupBy("step").agg(F.count_if("same").alias("same"), F.count_if(~F.col("same")).alias("other"))
     swept = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("thr"))
     right = F.when(F.col("step") >= F.col("thr"), F.col("same")).otherwise(F.col("other"))
-    return swept.groupBy("thr").agg(F.sum(right).alias("right"), F.sum(F.col("same") + F.col("other")).alias("n"))
+    rows = swept.groupBy("thr").agg(F.sum(right).alias("right"), F.sum(F.col("same") + F.col("other")).alias("n"))
+    place = F.row_number().over(W.orderBy(F.desc("right"), "thr"))  # over 100 rows
+    return rows.select("thr", "right", "n", F.round(F.col("right") / F.col("n"), 6).alias("acc"), (place == 1).alias("first_best"))

@@ -102,12 +102,17 @@ def low_pairs(rows: DataFrame, most: float = -0.2) -> DataFrame:
 
 
 def low_sim_pairs(rows: DataFrame, most: float = -0.2) -> DataFrame:
-    """One row: n_pairs of equal identity, n_low of them, their share, identities hit, lowest similarity."""
+    """One row: n_pairs of equal identity, n_low of them, their share, identities hit, and lowest, mean and highest similarity of the low ones."""
     sizes = rows.where("embedding IS NOT NULL").groupBy("identity").count()
     pairs = sizes.agg(F.coalesce(F.sum(F.expr("count * (count - 1) DIV 2")), F.lit(0)).alias("n_pairs"))
-    low = low_pairs(rows, most).agg(F.count("*").alias("n_low"), F.count_distinct("identity").alias("identities"), F.min("sim").alias("lowest"))
+    low = low_pairs(rows, most).agg(F.count("*").alias("n_low"), F.count_distinct("identity").alias("identities"), F.min("sim").alias("lowest"), F.round(F.avg("sim"), 6).alias("mean"), F.max("sim").alias("highest"))
     share = F.round(F.col("n_low") / F.greatest(F.col("n_pairs"), F.lit(1)), 6)
-    return low.join(F.broadcast(pairs)).select("n_pairs", "n_low", share.alias("share"), "identities", "lowest")  # one row each
+    return low.join(F.broadcast(pairs)).select("n_pairs", "n_low", share.alias("share"), "identities", "lowest", "mean", "highest")  # one row each
+
+
+def lowest_pairs(rows: DataFrame, most: float = -0.2, shown: int = 15) -> DataFrame:
+    """The ``shown`` pairs of one identity that are least alike, of those that are no more alike than ``most``."""
+    return low_pairs(rows, most).orderBy("sim", "identity", "i", "j").limit(shown)
 
 
 def gallery_probe_split(rows: DataFrame, seed: int = 7) -> DataFrame:

@@ -18,6 +18,9 @@ ACCEPTED = "SELECT * FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY lot,
 SESSIONS = f"""SELECT lot, plate, event_id AS entry_id, ts AS entry_ts, exit_ts, CAST((epoch_us(exit_ts) - epoch_us(ts)) // 60000000 AS BIGINT) AS duration_min
  FROM (SELECT *, lead(ts) OVER (PARTITION BY lot, plate ORDER BY ts, event_id) AS exit_ts FROM ({ACCEPTED}) a) b WHERE kind = 'entry'"""
 GATE = "blur >= 50 AND brightness > 30 AND brightness < 230"
+EXCLUDE = ["v_reads", "v_chars", "v_det", "v_truth"]
+_GONE = "SELECT event_id FROM {v_reads} g WHERE regexp_matches(pred, '^[0-9]{2}[A-Z][0-9]{6}$')"
+_SETS = "SELECT 'truth' AS part, event_id AS id FROM {v_reads} r UNION ALL SELECT DISTINCT 'crops', crop_id FROM {v_chars} c UNION ALL SELECT 'characters', crop_id FROM {v_chars} d UNION ALL SELECT DISTINCT 'frames', frame_id FROM {v_det} e UNION ALL SELECT 'boxes', frame_id FROM {v_truth} t"
 
 #: name -> operator, its input tables or views, SQL.
 SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str | None]] = {
@@ -51,11 +54,13 @@ SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str | None]] = {
     "dup_semi_join": (reports.dup_semi_join, ["v_gate"], "SELECT event_id, lot, plate, ts FROM (SELECT *, lag(kind) OVER (PARTITION BY lot, plate ORDER BY ts, event_id) AS before FROM {v_gate} g) q WHERE kind = 'entry' AND before = 'entry'"),
     "prefix_group": (reports.prefix_group, ["v_reads"], "SELECT split_part(raw, '-', 1) AS prefix, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM {v_reads} r WHERE raw <> '' GROUP BY 1"),
     "min_group_size": (reports.min_group_size, ["v_gate"], "SELECT event_id, plate FROM (SELECT *, count(*) OVER (PARTITION BY plate) AS n FROM {v_gate} g) q WHERE n >= 2"),
-    "pattern_exclude": (reports.pattern_exclude, ["v_reads"], "SELECT event_id, pred FROM {v_reads} r WHERE NOT regexp_matches(pred, '^[0-9]{2}[A-Z][0-9]{6}$')"),
+    "pattern_exclude": (reports.excluded_rows, EXCLUDE, f"SELECT part, id, count(*) AS n FROM ({_SETS}) s WHERE id NOT IN ({_GONE}) GROUP BY part, id"),
+    "pattern_exclude_counts": (reports.excluded_counts, EXCLUDE, f"SELECT part, count(*) FILTER (id IN ({_GONE})) AS removed, count(*) FILTER (id NOT IN ({_GONE})) AS kept FROM ({_SETS}) s GROUP BY part"),
+    "face_image_status": (identity.face_image_status, ["v_faces"], "SELECT image_id, n_faces, CASE n_faces WHEN 1 THEN 'ok' WHEN 0 THEN 'no_face' ELSE 'multi_face' END AS status FROM {v_faces} f"),
     "asof_frames": (reports.asof_frames, ["v_reads", "v_faces"], "SELECT r.event_id, f.image_id FROM {v_reads} r ASOF LEFT JOIN (SELECT * FROM {v_faces} g WHERE n_faces > 0) f ON f.lane = r.lane AND r.ts >= f.ts"),
     "worst_strings": (reports.worst_strings, ["v_reads"], "SELECT * FROM (SELECT event_id, CAST(levenshtein(base, pred) AS BIGINT) AS dist, round(levenshtein(base, pred) / greatest(length(base), 1), 6) AS cer FROM {v_reads} r) q WHERE cer > 0 ORDER BY cer DESC, dist DESC, event_id LIMIT 50"),
     "confusion_counts": (reports.confusion_counts, ["v_reads"], "SELECT truth, said, count(*) AS n FROM (SELECT unnest(string_split(base, '')) AS truth, unnest(string_split(pred, '')) AS said FROM {v_reads} r) q WHERE truth <> '' AND said <> '' GROUP BY ALL"),
-    "threshold_sweep": (reports.threshold_sweep, ["v_exit", "v_active"], "SELECT CAST(thr AS INT) AS thr, CAST(sum(CASE WHEN (floor(sim * 100) >= thr) = same THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) AS n FROM (SELECT x.identity = a.identity AS same, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) p, range(100) t(thr) GROUP BY 1"),
+    "threshold_sweep": (reports.threshold_sweep, ["v_exit", "v_active"], "SELECT *, round(\"right\" / n, 6) AS acc, row_number() OVER (ORDER BY \"right\" DESC, thr) = 1 AS first_best FROM (SELECT CAST(thr AS INT) AS thr, CAST(sum(CASE WHEN (floor(sim * 100) >= thr) = same THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) AS n FROM (SELECT x.identity = a.identity AS same, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) p, range(100) t(thr) GROUP BY 1) w"),
 }
 
 SPECS |= text.SPECS | matching.SPECS | search.SPECS | evaluate.specs(ACCEPTED, SESSIONS) | flows.specs(ACCEPTED, SESSIONS)

@@ -14,7 +14,8 @@ SPECS = {
     "topk_similar": (search.topk_similar, ["v_exit", "v_active"], f"SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY sim DESC, active_id) AS rank, active_id, sim FROM (SELECT x.id, a.id AS active_id, {_SIM} AS sim FROM {{v_exit}} x, {{v_active}} a) p) q WHERE rank <= 3 AND sim >= 0.15"),
     "cross_similarity": (search.cross_similarity, ["v_exit", "v_active"], f"SELECT * FROM (SELECT x.id, a.id AS active_id, {_SIM} AS sim FROM {{v_exit}} x, {{v_active}} a) p WHERE sim >= 0.3"),
     "identity_self_join": (search.low_pairs, ["v_active"], f"SELECT * FROM {_LOW} p WHERE sim <= -0.2"),
-    "low_sim_pairs": (search.low_sim_pairs, ["v_active"], f"SELECT count(*) AS n_pairs, count(*) FILTER (sim <= -0.2) AS n_low, round(count(*) FILTER (sim <= -0.2) / greatest(count(*), 1), 6) AS share, count(DISTINCT identity) FILTER (sim <= -0.2) AS identities, min(sim) FILTER (sim <= -0.2) AS lowest FROM {_LOW} p"),
+    "low_sim_pairs": (search.low_sim_pairs, ["v_active"], f"SELECT count(*) AS n_pairs, count(*) FILTER (sim <= -0.2) AS n_low, round(count(*) FILTER (sim <= -0.2) / greatest(count(*), 1), 6) AS share, count(DISTINCT identity) FILTER (sim <= -0.2) AS identities, min(sim) FILTER (sim <= -0.2) AS lowest, round(avg(sim) FILTER (sim <= -0.2), 6) AS mean, max(sim) FILTER (sim <= -0.2) AS highest FROM {_LOW} p"),
+    "lowest_pairs": (search.lowest_pairs, ["v_active"], f"SELECT * FROM {_LOW} p WHERE sim <= -0.2 ORDER BY sim, identity, i, j LIMIT 15"),
     "gallery_probe_split": (search.gallery_probe_split, ["v_active"], f"SELECT * FROM {_SPLIT} s"),
     "top1_accuracy": (search.top1_accuracy, ["v_active"], f"SELECT count(*) AS n, count(*) FILTER (said = identity) AS correct, round(avg(CAST(said = identity AS INT)), 6) AS acc, round(avg(true_sim), 6) AS mean_genuine, round(avg(imposter_sim), 6) AS mean_imposter FROM {_TOP1} t"),
     "top_mismatches": (search.top_mismatches, ["v_active"], f"SELECT identity, said, true_sim, said_sim, round(said_sim - true_sim, 6) AS margin FROM {_TOP1} t WHERE said <> identity ORDER BY margin DESC, identity LIMIT 15"),

@@ -5,8 +5,10 @@ lines tell how many). Empty folders give empty tables."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -57,10 +59,41 @@ def event_json(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.to_json(F.struct(F.col("kind").alias("type"), F.struct("plate", "lot").alias("data"))).alias("json"))
 
 
-def sink_sessions(sessions: DataFrame, path: str) -> None:
-    """Appends finished sessions, in folders by the day of exit."""
-    done = sessions.where("exit_ts IS NOT NULL").withColumn("day", F.to_date("exit_ts"))
-    done.repartition("day", F.pmod(F.xxhash64("plate"), F.lit(16))).write.mode("append").partitionBy("day").parquet(path)
+def committed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all batches that the ledger names; those of a batch that was begun and not committed are passed over."""
+    try:
+        ledger = spark.read.schema("batch bigint").parquet(f"{path}/ledger").distinct()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(f"{path}/data")
+    return rows.join(ledger, "batch", "left_semi").select(*schema.names)
+
+
+def commit(rows: DataFrame, path: str, batch: int) -> None:
+    """Writes the rows of a batch under its number, then its number into the ledger. A batch that the ledger names already is left alone,
+    one that was begun is written anew, so a job that is killed and run again leaves each row once. Fits ``foreachBatch``."""
+    spark = rows.sparkSession
+    try:
+        if not spark.read.schema("batch bigint").parquet(f"{path}/ledger").where(F.col("batch") == batch).isEmpty():
+            return
+    except AnalysisException as missing:  # the first batch
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    rows.write.mode("overwrite").parquet(f"{path}/data/batch={batch}")
+    spark.createDataFrame([(batch,)], "batch bigint").coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+
+
+def sink_sessions(sessions: DataFrame, path: str, batch: int = 0) -> None:
+    """Commits the finished sessions of a batch."""
+    done = sessions.where("exit_ts IS NOT NULL")
+    commit(done.repartition(F.to_date("exit_ts"), F.pmod(F.xxhash64("plate"), F.lit(16))), path, batch)
+
+
+def sink_events(events: DataFrame, path: str, batch: int = 0) -> None:
+    """Commits the events of a batch as JSON for subscribers."""
+    commit(event_json(events), path, batch)
 
 
 def sink_csv(rows: DataFrame, fields: list[str], path: str) -> None:
@@ -69,9 +102,10 @@ def sink_csv(rows: DataFrame, fields: list[str], path: str) -> None:
 
 
 def sessions_read_back(sessions: DataFrame, path: str) -> DataFrame:
-    """Writes finished sessions and reads the folder again."""
-    sink_sessions(sessions, path)
-    return sessions.sparkSession.read.schema(sessions.schema).parquet(path).select(*sessions.columns)
+    """Commits finished sessions, twice as a job that is run again does, and reads what is committed."""
+    for _ in range(2):
+        sink_sessions(sessions, path)
+    return committed(sessions.sparkSession, path, sessions.schema)
 
 
 def csv_read_back(rows: DataFrame, path: str) -> DataFrame:
