@@ -4,7 +4,7 @@ Strings of 20 or more token characters are candidates. A window slides over each
 separators that fills a window. The counts of the characters in the window stand in the lanes of a few longs; a step adds
 one to the lane of the character that enters and takes one from that of the one that leaves, and changes the sum of
 c log2 c by these two alone. A candidate is a span of kind ``entropy`` if the most even window of it or of a part reaches the
-Shannon entropy that its class of characters asks for, unless the allow-list matches it or a pattern's span overlaps it.
+Shannon entropy that its class of characters asks for, unless the allow-list matches what was judged or a pattern's span overlaps it.
 
 Classes: hexadecimal; letters of both cases with digits or plus signs (base64); letters of both cases alone; lower-case
 letters and digits, upper-case letters and digits (base36, base32). Words with numbers are told from single-case keys by how often
@@ -120,7 +120,7 @@ def highest_entropy(candidate: Column, window: int) -> Column:
 
 def suspicious(candidate: Column, window: int = 20, hex_bits: float = 3.0, mixed_bits: float = 3.7, letter_bits: float = 3.8, lower_bits: float = 3.3, upper_bits: float = 3.2) -> Column:
     """True for a candidate that a class's threshold finds, in it or in a part, and the allow-list does not let go."""
-    allowed = candidate.rlike(PLACEHOLDER) | (candidate.rlike(SLUG) & ~candidate.rlike(NO_SLUG))
+    slug = candidate.rlike(SLUG) & ~candidate.rlike(NO_SLUG)
     most = lambda bits: F.lit(int((math.log2(window) - bits) * window * SCALE)).cast("bigint")
 
     def judged(unit: Column) -> Column:
@@ -133,8 +133,10 @@ def suspicious(candidate: Column, window: int = 20, hex_bits: float = 3.0, mixed
         limit = F.when(is_hex, most(hex_bits)).when(is_mixed, most(mixed_bits)).when(is_letters, most(letter_bits)).when(is_lower, most(lower_bits)).when(is_upper, most(upper_bits))
         return let(limit, lambda at: F.when(at.isNull(), F.lit(False)).otherwise(least_plog(unit, window) <= at))
 
+    # a placeholder lets go the part that it stands in and what is judged as one with it, not a key that is glued to it
     parts = F.filter(F.split(candidate, SEPARATORS), lambda p: F.length(p) >= window)
-    return F.when(allowed, F.lit(False)).otherwise(F.exists(F.array_distinct(F.concat(F.array(candidate), parts)), judged))
+    units = F.filter(F.array_distinct(F.concat(F.array(candidate), parts)), lambda u: ~u.rlike(PLACEHOLDER))
+    return F.when(slug, F.lit(False)).otherwise(F.exists(units, judged))
 
 
 def _free(candidates: Column, base: Column) -> Column:

@@ -119,3 +119,10 @@ def test_clean_slugs(spark):
     slugs = ["how-to-use-this-page-2024-01-15", "internationalization", "src/main/java/org/Some/Thing", "getElementsByClassName", "snake_case_names_in_code_0", "MAX_RETRY_COUNT_PER_HOST", "2024-01-15-12-30-45-2024", "--------------------------", "https://a.b/some/long/path/to/page"]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(slugs)], "doc_id long, text string")
     assert [r.spans for r in secret_scan.scan_report(rows).collect() if r.spans] == []
+
+
+def test_a_placeholder_lets_go_its_own_part_only(spark):
+    key = "Q7dK2mZp9LxT4vBn8RsW3yHc"
+    texts = [f"{key}-12345678-q", f"example-{key}", key, "example-api-key-12345678-abcdefgh", "exampleQ7dK2mZp9LxT4vBn8RsW3"]
+    rows = secret_scan.scan_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.n_entropy for r in rows.collect()} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0}
