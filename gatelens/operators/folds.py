@@ -61,29 +61,6 @@ def micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp")).alias("ts")
 
 
-def admission(events: DataFrame, capacity: int = 500) -> DataFrame:
-    """event_id, lot, code of every entry: its event_id if admitted, -1 if the lot is full, else -2 if the plate is in."""
-
-    def fresh() -> Step:
-        inside: set[str] = set()
-
-        def step(row: tuple) -> tuple | None:
-            event, lot, _, plate, kind = row
-            if kind == "exit":
-                inside.discard(plate)
-                return None
-            if len(inside) >= capacity:
-                return event, lot, -1
-            if plate in inside:
-                return event, lot, -2
-            inside.add(plate)
-            return event, lot, event
-
-        return step
-
-    return fold(events.select("event_id", "lot", micros("ts"), "plate", "kind"), "lot", fresh, "event_id long, lot long, code long")
-
-
 class Gate:
     """One lot: votes and faces of each lane, vehicles inside. Success clears the lane and lets it rest for ``rest`` microseconds."""
 

@@ -52,11 +52,24 @@ def detection_eval(boxes: DataFrame, truth: DataFrame, least: float = 0.5) -> Da
     return prf_from_counts(hits.join(F.broadcast(n)).join(F.broadcast(m)).select("tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("m") - F.col("tp")).alias("fn")))
 
 
+def matched_chars(boxes: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
+    """frame_id, det_id, truth_id, ch, true_ch of the pairs of boxes and truths taken by falling overlap, each box and truth once."""
+    taken = greedy_match(iou_pair_join(boxes, truth, least), [-F.col("iou"), -F.col("det_id"), -F.col("truth_id")])
+    return taken.join(boxes.select("frame_id", "det_id", "ch"), ["frame_id", "det_id"]).join(truth.select("frame_id", "truth_id", F.col("ch").alias("true_ch")), ["frame_id", "truth_id"])
+
+
+def confusion_counts(boxes: DataFrame, truth: DataFrame, least: float = 0.5, most: int = 100) -> DataFrame:
+    """truth, said, n: the ``most`` most frequent pairs of unlike characters over matched boxes, ties by truth, then said. A pair with a null character is
+    left out. A character that no box matches shifts nothing: places in the string don't count."""
+    unlike = matched_chars(boxes, truth, least).where("ch <> true_ch")
+    counts = unlike.groupBy(F.col("true_ch").alias("truth"), F.col("ch").alias("said")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "truth", "said").limit(most)
+
+
 def char_eval(boxes: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """frame_id, tp, fp, fn, cls_err, exact: pairs by falling overlap, whatever their characters; a pair of unlike characters
     is a class error. Frames with boxes or truths have a row."""
-    taken = greedy_match(iou_pair_join(boxes, truth, least), [-F.col("iou"), -F.col("det_id"), -F.col("truth_id")])
-    said = taken.join(boxes.select("frame_id", "det_id", "ch"), ["frame_id", "det_id"]).join(truth.select("frame_id", "truth_id", F.col("ch").alias("true_ch")), ["frame_id", "truth_id"])
+    said = matched_chars(boxes, truth, least)
     part = lambda df, **n: df.select("frame_id", *[n.get(c, F.lit(0)).cast("long").alias(c) for c in ("n", "m", "tp", "err")])
     same = F.col("ch").eqNullSafe(F.col("true_ch"))
     counts = part(boxes, n=F.lit(1)).unionByName(part(truth, m=F.lit(1))).unionByName(part(said, tp=same, err=~same))

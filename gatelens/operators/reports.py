@@ -97,12 +97,6 @@ def worst_strings(reads: DataFrame, most: int = 50) -> DataFrame:
     return edit_cer(reads).where("cer > 0").orderBy(F.desc("cer"), F.desc("dist"), "event_id").limit(most)
 
 
-def confusion_counts(reads: DataFrame) -> DataFrame:
-    """truth, said, n for characters at the same place of true and predicted strings."""
-    pairs = reads.select(F.explode(F.arrays_zip(F.split("base", "").alias("truth"), F.split("pred", "").alias("said"))).alias("p"))
-    return pairs.where("p.truth <> '' AND p.said <> ''").groupBy("p.truth", "p.said").agg(F.count("*").alias("n"))
-
-
 def threshold_sweep(exits: DataFrame, active: DataFrame) -> DataFrame:
     """thr (hundredths), right, n: how many pairs of equal plates are judged right at each threshold. Pairs are first
     counted by hundredth, so the sweep is over at most 201 rows whatever the table's size. first_best: the lowest threshold of those with most right."""

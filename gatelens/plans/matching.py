@@ -13,7 +13,7 @@ _AREAS = "((k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1]
 def _taken(order: str) -> str:
     """Frames with the pairs taken in order, as lists of one pair folded into one list."""
     return f"""SELECT frame_id, unnest(list_reduce(pairs, lambda held, x: CASE WHEN len(list_filter(held, lambda k: k.d = x[1].d OR k.t = x[1].t)) > 0 THEN held ELSE list_concat(held, x) END)) AS p
- FROM (SELECT frame_id, list([{{'d': det_id, 't': truth_id, 'same': ch = true_ch}}] ORDER BY {order}) AS pairs FROM {_IOU} i WHERE iou >= 0.5 GROUP BY frame_id) f"""
+ FROM (SELECT frame_id, list([{{'d': det_id, 't': truth_id, 'same': ch = true_ch, 'ch': ch, 'true': true_ch}}] ORDER BY {order}) AS pairs FROM {_IOU} i WHERE iou >= 0.5 GROUP BY frame_id) f"""
 
 
 _PRF = "round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall, round(2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1), 1e-6), 6) AS f1"
@@ -25,6 +25,7 @@ _LABELS = "SELECT stem, line_no, CAST(f[1] AS INT) AS cls_id, substring('0123456
 SPECS = {
     "nms": (matching.nms, ["v_det"], f"SELECT frame_id, b.det_id AS det_id, b.conf AS conf FROM (SELECT frame_id, unnest(list_reduce(boxes, lambda held, x: CASE WHEN len(list_filter(held, lambda k: {_MEET} / ({_AREAS} - {_MEET}) > 0.45)) > 0 THEN held ELSE list_concat(held, x) END)) AS b FROM (SELECT frame_id, list([{{'det_id': det_id, 'conf': conf, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY conf DESC, det_id) AS boxes FROM {{v_det}} d GROUP BY frame_id) f) g"),
     "detection_eval": (matching.detection_eval, ["v_det_ch", "v_truth_ch"], f"SELECT tp, fp, fn, {_PRF} FROM (SELECT tp, n - tp AS fp, m - tp AS fn FROM (SELECT count(*) AS tp FROM ({_taken('conf DESC, det_id, iou DESC, truth_id')}) g) a, (SELECT count(*) AS n FROM {{v_det_ch}} d) b, (SELECT count(*) AS m FROM {{v_truth_ch}} t) c) r"),
+    "confusion_counts": (matching.confusion_counts, ["v_det_ch", "v_truth_ch"], f"SELECT p.true AS truth, p.ch AS said, count(*) AS n FROM ({_taken('iou DESC, det_id DESC, truth_id DESC')}) g WHERE NOT p.same GROUP BY ALL ORDER BY n DESC, truth, said LIMIT 100"),
     "char_eval": (matching.char_eval, ["v_det_ch", "v_truth_ch"], _CHARS),
     "prf_from_counts": (matching.char_prf, ["v_det_ch", "v_truth_ch"], f"SELECT tp, fp, fn, {_PRF} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp + cls_err) AS BIGINT) AS fp, CAST(sum(fn + cls_err) AS BIGINT) AS fn FROM ({_CHARS}) c) r"),
     "decode_anchors": (matching.decode_anchors, ["v_anchors"], "SELECT frame_id, CAST(i - 1 AS BIGINT) AS at, CASE WHEN scores[1][i] >= scores[2][i] THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS cls, greatest(scores[1][i], scores[2][i]) AS conf, cx[i] - w[i] / 2 AS x1, cy[i] - h[i] / 2 AS y1, cx[i] + w[i] / 2 AS x2, cy[i] + h[i] / 2 AS y2 FROM (SELECT *, unnest(range(1, 4)) AS i FROM {v_anchors} a) q WHERE greatest(scores[1][i], scores[2][i]) >= 0.4"),

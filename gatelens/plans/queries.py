@@ -59,7 +59,6 @@ SPECS: dict[str, tuple[Callable[..., DataFrame], list[str], str | None]] = {
     "face_image_status": (identity.face_image_status, ["v_faces"], "SELECT image_id, n_faces, CASE n_faces WHEN 1 THEN 'ok' WHEN 0 THEN 'no_face' ELSE 'multi_face' END AS status FROM {v_faces} f"),
     "asof_frames": (reports.asof_frames, ["v_reads", "v_faces"], "SELECT r.event_id, f.image_id FROM {v_reads} r ASOF LEFT JOIN (SELECT * FROM {v_faces} g WHERE n_faces > 0) f ON f.lane = r.lane AND r.ts >= f.ts"),
     "worst_strings": (reports.worst_strings, ["v_reads"], "SELECT * FROM (SELECT event_id, CAST(levenshtein(base, pred) AS BIGINT) AS dist, round(levenshtein(base, pred) / greatest(length(base), 1), 6) AS cer FROM {v_reads} r) q WHERE cer > 0 ORDER BY cer DESC, dist DESC, event_id LIMIT 50"),
-    "confusion_counts": (reports.confusion_counts, ["v_reads"], "SELECT truth, said, count(*) AS n FROM (SELECT unnest(string_split(base, '')) AS truth, unnest(string_split(pred, '')) AS said FROM {v_reads} r) q WHERE truth <> '' AND said <> '' GROUP BY ALL"),
     "threshold_sweep": (reports.threshold_sweep, ["v_exit", "v_active"], "SELECT *, round(\"right\" / n, 6) AS acc, row_number() OVER (ORDER BY \"right\" DESC, thr) = 1 AS first_best FROM (SELECT CAST(thr AS INT) AS thr, CAST(sum(CASE WHEN (floor(sim * 100) >= thr) = same THEN 1 ELSE 0 END) AS BIGINT) AS \"right\", count(*) AS n FROM (SELECT x.identity = a.identity AS same, round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) + 1e-8), 6) AS sim FROM {v_exit} x JOIN {v_active} a ON a.plate = x.plate) p, range(100) t(thr) GROUP BY 1) w"),
 }
 

@@ -1,6 +1,6 @@
 import pytest
 
-from gatelens.operators import folds, identity
+from gatelens.operators import admission, folds, identity
 from gatelens.sources import files
 from gatelens.sources.views import view
 from gatelens.streaming import jobs
@@ -14,8 +14,8 @@ def rows(df):
 
 def test_full_comes_before_duplicate(spark):
     events = spark.createDataFrame([(1, 0, "A", 1, "entry"), (2, 0, "A", 2, "entry"), (3, 0, "B", 3, "entry"), (4, 0, "A", 4, "exit"), (5, 0, "B", 5, "entry")], "event_id long, lot long, plate string, at long, kind string").selectExpr("event_id", "lot", "plate", "timestamp_micros(at) AS ts", "kind")
-    assert rows(folds.admission(events, 1)) == [(1, 0, 1), (2, 0, -1), (3, 0, -1), (5, 0, 5)]
-    assert rows(folds.admission(events, 2)) == [(1, 0, 1), (2, 0, -2), (3, 0, 3), (5, 0, -2)]
+    assert rows(admission.admission(events, 1)) == [(1, 0, 1), (2, 0, -1), (3, 0, -1), (5, 0, 5)]
+    assert rows(admission.admission(events, 2)) == [(1, 0, 1), (2, 0, -2), (3, 0, 3), (5, 0, -2)]
 
 
 def test_gate_admits_clears_and_lets_out():
