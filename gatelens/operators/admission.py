@@ -29,9 +29,9 @@ def _running(ranges: Ranges, rows: DataFrame, step: str, name: str) -> DataFrame
     return rows.withColumn(name, F.col("own") + F.coalesce("before", F.lit(0))).drop("own", "before")
 
 
-def stretches(events: DataFrame, capacity: int = 500, **cut) -> DataFrame:
-    """event_id, lot, ts, plate, leaves (an exit), held (occupancy before the event without a limit), known ('in', 'out', or null for an uncertain
-    plate, before the event), stretch (number of the congested stretch in the lot, null outside of one)."""
+def occupied(events: DataFrame, capacity: int = 500, **cut) -> tuple[DataFrame, Ranges, bool]:
+    """event_id, lot, ts, plate, leaves (an exit), change (of the occupancy without a limit), held (that occupancy before the event), part, written once; their
+    ranges; and whether any entry may meet a full lot."""
     plates = W.partitionBy("lot", "plate").orderBy("ts", "event_id")
     leaves = F.coalesce(F.col("kind") == "exit", F.lit(False))
     rows = events.select("event_id", "lot", micros("ts"), "plate", leaves.alias("leaves")).dropna(subset=["lot", "ts"])
@@ -39,8 +39,14 @@ def stretches(events: DataFrame, capacity: int = 500, **cut) -> DataFrame:
     change = F.when(was_out == F.col("leaves"), 0).when(F.col("leaves"), -1).otherwise(1)
     ranges = Ranges(rows.withColumn("change", change), "lot", "ts", **cut)
     rows = _running(ranges, ranges.rows, "change", "held").withColumn("held", F.col("held") - F.col("change"))
-    rows = written(rows.drop("change"), f"{folder(events.sparkSession, 'admission')}/rows")
+    rows = written(rows, f"{folder(events.sparkSession, 'admission')}/rows")
+    return rows, ranges, not rows.where(~F.col("leaves") & (F.col("held") >= capacity)).isEmpty()
 
+
+def stretches(rows: DataFrame, ranges: Ranges, capacity: int = 500) -> DataFrame:
+    """Of ``occupied`` event_id, lot, ts, plate, leaves, held, and known ('in', 'out', or null for an uncertain plate, before the event), stretch (number of
+    the congested stretch in the lot, null outside of one)."""
+    plates = W.partitionBy("lot", "plate").orderBy("ts", "event_id")
     tight = ~F.col("leaves") & (F.col("held") >= capacity)
     rows = rows.withColumn("tight", tight)
     settled = F.last(F.when(~F.col("tight"), F.col("leaves")), ignorenulls=True).over(plates.rowsBetween(W.unboundedPreceding, -1))
@@ -57,9 +63,12 @@ def stretches(events: DataFrame, capacity: int = 500, **cut) -> DataFrame:
 
 def admission(events: DataFrame, capacity: int = 500, **cut) -> DataFrame:
     """event_id, lot, code of every entry: its event_id if admitted, -1 if the lot is full, else -2 if the plate is in."""
-    rows = written(stretches(events, capacity, **cut), f"{folder(events.sparkSession, 'admission')}/stretches")
+    rows, ranges, full = occupied(events, capacity, **cut)
+    plain = lambda rows, code: rows.where("NOT leaves").select(F.col("event_id").cast("long").alias("event_id"), F.col("lot").cast("long").alias("lot"), code.cast("long").alias("code"))
+    if not full:  # every lot has room at all times
+        return plain(rows, F.when(F.col("change") == 0, F.lit(-2)).otherwise(F.col("event_id")))
+    rows = written(stretches(rows, ranges, capacity), f"{folder(events.sparkSession, 'admission')}/stretches")
     code = F.when(F.col("held") >= capacity, F.lit(-1)).when(F.col("known") == "in", F.lit(-2)).otherwise(F.col("event_id"))
-    plain = rows.where("stretch IS NULL AND NOT leaves").select(F.col("event_id").cast("long").alias("event_id"), F.col("lot").cast("long").alias("lot"), code.cast("long").alias("code"))
 
     def fresh() -> Step:
         inside: dict[str, bool] = {}  # plates whose state is uncertain from outside
@@ -87,4 +96,4 @@ def admission(events: DataFrame, capacity: int = 500, **cut) -> DataFrame:
         return step
 
     congested = rows.where("stretch IS NOT NULL").select("event_id", F.concat_ws(":", "lot", "stretch").alias("key"), "ts", "lot", "plate", "leaves", "held", "known")
-    return plain.unionByName(fold(congested, "key", fresh, "event_id long, lot long, code long"))
+    return plain(rows.where("stretch IS NULL"), code).unionByName(fold(congested, "key", fresh, "event_id long, lot long, code long"))

@@ -1,4 +1,4 @@
-"""Similarity search over embeddings (id, plate, identity, embedding): best matches, similar pairs, Top-1, pruning, approximate search.
+"""Similarity search over embeddings (id, plate, identity, embedding): best matches, similar pairs, Top-1, pruning.
 
 The best of all rows and all pairs over a threshold go by way of a metric index (``angles``). Vectors are compared in blocks: both sides are dealt by the hash of their id into blocks of about ``size`` rows, every pair of
 blocks is one matrix product in one task, and only what passes leaves it: the best ``k`` of a row or the pairs on one side
@@ -254,24 +254,3 @@ def outlier_prune(rows: DataFrame, most: float = -0.2, bound: int = 1_000_000) -
     kind = rows.schema["identity"].dataType.simpleString()
     pruned = facts.groupBy("who").cogroup(links.groupBy("owner")).applyInPandas(prune, f"identity {kind}, id long, reason string")
     return gone.unionByName(pruned)
-
-
-def ivf_topk(exits: DataFrame, active: DataFrame, k: int = 3, cells: int = 22, probes: int = 16, sample: int = 50_000, seed: int = 11) -> DataFrame:
-    """id, rank, active_id, sim among the ``probes`` nearest of ``cells`` cells. The cells are learned from about ``sample``
-    gallery rows; every gallery row is indexed. A cell is split into blocks like any other key."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df: df.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    gallery, asked = unit(active), unit(exits)
-    n = gallery.count()
-    if not n:
-        return asked.select("id", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("active_id"), F.lit(0.0).alias("sim")).where("false")
-    learn = gallery if n <= sample else gallery.sample(sample / n, seed)
-    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10, featuresCol="f", predictionCol="cell").fit(learn.select(array_to_vector("embedding").alias("f")))
-    placed = model.transform(gallery.withColumn("f", array_to_vector("embedding"))).select("id", "embedding", "cell")
-    centres = [[float(x) for x in c / max(np.linalg.norm(c), 1e-12)] for c in model.clusterCenters()]
-    dot = lambda c: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, c)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    order = F.slice(F.sort_array(F.array(*[F.struct(dot(c).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centres)]), asc=False), 1, probes)
-    near = asked.select("id", "embedding", F.explode(order).alias("c")).select("id", "embedding", F.col("c.cell").alias("cell"))
-    return ranked(matched(near, placed, best(k), "cell"), k).select(F.col("a").alias("id"), "rank", F.col("b").alias("active_id"), "sim")

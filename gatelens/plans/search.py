@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import search
+from ..operators import inverted, search
 
 _SIM = "round(list_inner_product(x.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), 6)"
 _LOW = f"(SELECT x.identity, x.id AS i, a.id AS j, {_SIM} AS sim FROM {{v_active}} x JOIN {{v_active}} a ON x.identity = a.identity AND x.id < a.id)"
@@ -21,5 +21,5 @@ SPECS = {
     "top_mismatches": (search.top_mismatches, ["v_active"], f"SELECT identity, said, true_sim, said_sim, round(said_sim - true_sim, 6) AS margin FROM {_TOP1} t WHERE said <> identity ORDER BY margin DESC, identity LIMIT 15"),
     "same_diff_pairs": (search.same_diff_pairs, ["v_active"], "SELECT p.a, p.b, p.same, round(list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS sim FROM (SELECT min(id) AS a, max(id) AS b, true AS same FROM (SELECT identity, id, row_number() OVER (PARTITION BY identity ORDER BY id) AS n FROM {v_active} v) q WHERE n <= 2 AND identity IN (SELECT DISTINCT identity FROM {v_active} f ORDER BY identity LIMIT 100) GROUP BY identity HAVING count(*) = 2 UNION ALL SELECT a, b, false FROM (SELECT min(id) AS a, lead(min(id)) OVER (ORDER BY identity) AS b FROM (SELECT * FROM {v_active} w WHERE identity IN (SELECT DISTINCT identity FROM {v_active} f ORDER BY identity LIMIT 100)) v GROUP BY identity) r WHERE b IS NOT NULL) p JOIN {v_active} x ON x.id = p.a JOIN {v_active} y ON y.id = p.b"),
     "outlier_prune": (search.outlier_prune, ["v_active"], None),
-    "ivf_topk": (search.ivf_topk, ["v_exit", "v_active"], None),
+    "ivf_topk": (inverted.ivf_topk, ["v_exit", "v_active"], None),
 }
