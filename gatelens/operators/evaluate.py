@@ -28,17 +28,19 @@ def _passes(samples: DataFrame) -> DataFrame:
     return rows.withColumn("rid", F.when(F.col("plate_entry").isNotNull() & (F.col("entry_faces") == 1), F.col("i")))
 
 
-def candidates(samples: DataFrame) -> DataFrame:
-    """i, cand, sim: enrolled records of the plate that the exit read gives."""
+def candidates(samples: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """i, cand, sim: enrolled records of the plate that the exit read gives. earlier: records (id, raw, gallery) from before the samples, with ids of their own."""
     rows = _passes(samples).where("rid IS NOT NULL")
     asked = rows.where("exit_faces > 0 AND plate_exit IS NOT NULL").select("i", F.col("plate_exit").alias("plate"), "probe")
     known = rows.select(F.col("rid").alias("cand"), F.col("plate_entry").alias("plate"), "gallery")
+    if earlier is not None:
+        known = known.unionByName(earlier.select(F.col("id").alias("cand"), plate_of("raw").alias("plate"), "gallery"))
     return asked.join(known, "plate").select("i", "cand", F.round(cosine("probe", "gallery"), 6).alias("sim")).where("sim IS NOT NULL")
 
 
-def paired_eval(samples: DataFrame, least: float = THRESHOLD) -> DataFrame:
+def paired_eval(samples: DataFrame, least: float = THRESHOLD, earlier: DataFrame | None = None) -> DataFrame:
     """i, plate_entry, rid, match_sim, matched_rid, genuine_sim, exit_matched, exit_correct, drop_stage: the first stage that fails, null for full success."""
-    top = candidates(samples).groupBy("i").agg(F.max(F.struct("sim", (-F.col("cand")).alias("down"))).alias("top"))
+    top = candidates(samples, earlier).groupBy("i").agg(F.max(F.struct("sim", (-F.col("cand")).alias("down"))).alias("top"))
     rows = _passes(samples).join(top, "i", "left").withColumn("match_sim", F.col("top.sim")).withColumn("matched_rid", -F.col("top.down"))
     stage = (
         F.when(F.col("plate_entry").isNull(), "entry_ocr_invalid").when(~F.coalesce(F.col("entry_faces") == 1, F.lit(False)), "entry_face")
@@ -95,6 +97,21 @@ def wrong_match_report(samples: DataFrame, most: int = 3) -> DataFrame:
     return ranked.join(wrong, "i").select("i", "rank", "cand", "sim", F.round(F.col("sim") - F.col("genuine_sim"), 6).alias("gap"))
 
 
+def wrong_match_origin(samples: DataFrame, earlier: DataFrame) -> DataFrame:
+    """i, match_sim, matched_rid, genuine_sim, gap (over the genuine similarity), origin of wrong matches where the gate knew ``earlier`` records (id, raw, gallery)
+    too: 'earlier' or 'own', as the record that won is from before the samples or of one of them. Ids of both must differ."""
+    wrong = paired_eval(samples, earlier=earlier).where("drop_stage = 'exit_wrong_id'")
+    before = earlier.select(F.col("id").alias("matched_rid"), F.lit("earlier").alias("origin")).distinct()
+    gap = F.round(F.col("match_sim") - F.col("genuine_sim"), 6).alias("gap")
+    return wrong.join(before, "matched_rid", "left").select("i", "match_sim", "matched_rid", "genuine_sim", gap, F.coalesce("origin", F.lit("own")).alias("origin"))
+
+
+def wrong_match_counts(samples: DataFrame, earlier: DataFrame) -> DataFrame:
+    """One row: n wrong matches, by_earlier and by_own records, covered (the winner is nearer than the genuine record)."""
+    n = lambda c: F.count_if(F.expr(c))
+    return wrong_match_origin(samples, earlier).agg(F.count("*").alias("n"), n("origin = 'earlier'").alias("by_earlier"), n("origin = 'own'").alias("by_own"), n("gap > 0").alias("covered"))
+
+
 def index_pairing(left: DataFrame, right: DataFrame, seed: int = 5) -> DataFrame:
     """a, b: two tables' ids in md5 order, paired by place up to the shorter one."""
     a, b = hash_rank(left, seed), hash_rank(right, seed)

@@ -26,6 +26,10 @@ _CANDIDATES = f"(SELECT x.i, a.rid AS cand, {_cosine('x.probe', 'a.gallery')} AS
 _OUTCOMES = f"""(SELECT i, plate_entry, rid, match_sim, matched_rid, genuine_sim, coalesce(match_sim >= 0.05, false) AS exit_matched, drop_stage IS NULL AS exit_correct, drop_stage FROM (SELECT p.*, match_sim, matched_rid, CASE WHEN rid IS NOT NULL AND exit_faces > 0 THEN {_cosine('gallery', 'probe')} END AS genuine_sim,
  CASE WHEN plate_entry IS NULL THEN 'entry_ocr_invalid' WHEN entry_faces <> 1 THEN 'entry_face' WHEN exit_faces = 0 THEN 'exit_face_none' WHEN plate_exit IS NULL THEN 'exit_ocr_invalid' WHEN match_sim IS NULL THEN 'exit_plate_not_found' WHEN match_sim < 0.05 THEN 'exit_sim_below_thr' WHEN matched_rid <> rid THEN 'exit_wrong_id' END AS drop_stage
  FROM {_PASSES} p LEFT JOIN (SELECT i, sim AS match_sim, cand AS matched_rid FROM {_CANDIDATES} c QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, cand) = 1) t USING (i)) o)"""
+#: The same with the records of v_earlier among the candidates.
+_KNOWN = f"(SELECT rid, plate_entry, gallery FROM {_PASSES} y WHERE rid IS NOT NULL UNION ALL SELECT id, {_plate('raw')}, gallery FROM {{v_earlier}} e)"
+_WITH_EARLIER = f"(SELECT x.i, a.rid AS cand, {_cosine('x.probe', 'a.gallery')} AS sim FROM {_PASSES} x JOIN {_KNOWN} a ON a.plate_entry = x.plate_exit WHERE x.rid IS NOT NULL AND x.exit_faces > 0)"
+_ORIGIN = f"(SELECT i, match_sim, matched_rid, genuine_sim, round(match_sim - genuine_sim, 6) AS gap, CASE WHEN matched_rid < 0 THEN 'earlier' ELSE 'own' END AS origin FROM {_OUTCOMES.replace(_CANDIDATES, _WITH_EARLIER)} q WHERE drop_stage = 'exit_wrong_id')"
 _STAGES = {"entry_ocr_valid": "plate_entry IS NOT NULL", "entry_ok": "rid IS NOT NULL", "exit_face_ok": "genuine_sim IS NOT NULL", "exit_matched": "exit_matched", "exit_correct": "exit_correct", "exit_wrong": "exit_matched AND NOT exit_correct"}
 _RANKED = "(SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':5'), id) AS place FROM {0} v)"
 
@@ -73,6 +77,8 @@ def specs(accepted: str, sessions: str) -> dict:
         "below_thr_profile": (_over(evaluate.below_thr_profile), ["v_samples"], f"SELECT count(*) AS n, min(match_sim) AS low, round(quantile_cont(match_sim, 0.25), 6) AS p25, round(quantile_cont(match_sim, 0.5), 6) AS median, round(quantile_cont(match_sim, 0.75), 6) AS p75, max(match_sim) AS high, count(*) FILTER (rid = matched_rid) AS n_same FROM {_OUTCOMES} q WHERE drop_stage = 'exit_sim_below_thr'"),
         "threshold_whatif": (_over(evaluate.threshold_whatif), ["v_samples"], f"SELECT thr, count(*) FILTER (floor(round(match_sim * 100, 4)) >= thr AND rid = matched_rid) AS correct, count(*) FILTER (floor(round(match_sim * 100, 4)) >= thr AND rid <> matched_rid) AS wrong FROM {_OUTCOMES} q, (SELECT unnest([0, 2, 5, 10, 15, 20]) AS thr) t WHERE match_sim IS NOT NULL GROUP BY thr"),
         "wrong_match_report": (evaluate.wrong_match_report, ["v_samples"], f"SELECT c.i, rank, cand, sim, round(sim - genuine_sim, 6) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, cand) AS rank FROM {_CANDIDATES} k) c JOIN {_OUTCOMES} o USING (i) WHERE drop_stage = 'exit_wrong_id' AND rank <= 3"),
+        "wrong_match_origin": (evaluate.wrong_match_origin, ["v_samples", "v_earlier"], f"SELECT * FROM {_ORIGIN} w"),
+        "wrong_match_counts": (evaluate.wrong_match_counts, ["v_samples", "v_earlier"], f"SELECT count(*) AS n, count(*) FILTER (origin = 'earlier') AS by_earlier, count(*) FILTER (origin = 'own') AS by_own, count(*) FILTER (gap > 0) AS covered FROM {_ORIGIN} w"),
         "index_pairing": (evaluate.index_pairing, ["v_exit", "v_active"], f"SELECT x.id AS a, y.id AS b FROM {_RANKED.format('{v_exit}')} x JOIN {_RANKED.format('{v_active}')} y USING (place)"),
         "db_scaling_summary": (evaluate.db_scaling_summary, ["v_scaling"], "SELECT n, round(sum(ms) FILTER (op = 'insert'), 4) AS total_ms, round(sum(ms) FILTER (op = 'insert') / n, 6) AS per_ms, round(avg(ms) FILTER (op = 'search'), 6) AS search_ms FROM {v_scaling} s GROUP BY n"),
         "orientation_pick": (identity.orientation_pick, ["v_rotations"], "SELECT image, code FROM {v_rotations} r WHERE n_faces > 0 QUALIFY row_number() OVER (PARTITION BY image ORDER BY list_position([0, 1, 3, 2], code)) = 1"),

@@ -36,7 +36,7 @@ def specs(accepted: str, sessions: str) -> dict:
         "stream_latest": (jobs.stream_latest, ["v_reads"], "SELECT lane, arg_max(event_id, (ts, event_id)) AS event_id FROM {v_reads} r GROUP BY lane"),
         "stream_fps": (jobs.stream_fps, ["v_reads"], "SELECT lane, CAST(date_trunc('second', ts) AS TIMESTAMP) AS second, count(*) AS frames FROM {v_reads} r GROUP BY ALL"),
         "stream_camera_health": (jobs.stream_camera_health, ["v_reads"], _HEALTH),
-        "stream_occupancy": (jobs.stream_occupancy, ["v_gate"], f"SELECT lot, CAST(sum(CASE WHEN kind = 'entry' THEN 1 ELSE -1 END) AS BIGINT) AS current FROM ({accepted}) a GROUP BY lot"),
+        "stream_occupancy": (jobs.stream_occupancy, ["v_gate"], f"SELECT lot, current, CAST(500 AS BIGINT) AS capacity, round(100.0::DOUBLE * current / 500, 1) AS pct FROM (SELECT lot, CAST(sum(CASE WHEN kind = 'entry' THEN 1 ELSE -1 END) AS BIGINT) AS current FROM ({accepted}) a GROUP BY lot) c"),
         "stream_vote": (jobs.stream_vote, ["v_reads"], _VOTE),
         "stream_mode_reset": (jobs.stream_mode_reset, ["v_mode_reads"], _RESET),
         "stream_gate": (jobs.stream_gate, ["v_gate_frames"], None),

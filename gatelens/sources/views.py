@@ -37,6 +37,7 @@ FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 A
   array(array(CAST(event_id % 100 AS DOUBLE) / 100, CAST(0.5 AS DOUBLE), CAST(event_id % 7 AS DOUBLE) / 7), array(CAST(event_id % 90 AS DOUBLE) / 90, CAST(0.5 AS DOUBLE), CAST(event_id % 11 AS DOUBLE) / 11)) AS scores FROM {events} e""",
     "v_samples": """SELECT r.event_id AS i, r.raw AS entry_raw, r.pred AS exit_raw, CASE r.event_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS entry_faces, CASE WHEN r.event_id % 8 = 0 THEN 0 ELSE 1 END AS exit_faces, g.embedding AS gallery, p.embedding AS probe
  FROM {v_reads} r CROSS JOIN (SELECT count(*) AS n FROM {embeddings} c) m JOIN {embeddings} g ON g.vec_id = r.event_id % m.n JOIN {embeddings} p ON p.vec_id = r.event_id * 7 % m.n""",
+    "v_earlier": """SELECT -1 - r.event_id AS id, r.raw, e.embedding AS gallery FROM {v_reads} r CROSS JOIN (SELECT count(*) AS n FROM {embeddings} c) m JOIN {embeddings} e ON e.vec_id = r.event_id * 3 % m.n WHERE r.event_id % 3 = 0""",
     "v_face_vectors": """SELECT f.image_id, f.lane, f.ts, CASE WHEN f.blur >= 50 THEN f.blur / 500 END AS quality, e.embedding FROM {v_faces} f CROSS JOIN (SELECT count(*) AS n FROM {embeddings} c) m JOIN {embeddings} e ON e.vec_id = f.image_id % m.n""",
     "v_rotations": """SELECT CAST(floor(image_id / 4) AS BIGINT) AS image, CAST(image_id % 4 AS INT) AS code, CASE WHEN image_id % 5 < 3 THEN 0 ELSE 1 END AS n_faces FROM {v_faces} f""",
     "v_frames": """SELECT event_id, CAST(user_id % 3 AS INT) AS source_id FROM {events} e""",

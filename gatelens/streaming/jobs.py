@@ -94,12 +94,13 @@ def stream_camera_health(frames: DataFrame, gap: str = "6 hours") -> DataFrame:
     return found.select("lane", ntz("up_from"), ntz("up_to"), "frames")
 
 
-def stream_occupancy(events: DataFrame, files: int | None = None) -> DataFrame:
-    """lot, current: plates whose newest event is an entry, kept for each plate as events come."""
+def stream_occupancy(events: DataFrame, files: int | None = None, capacity: int = 500) -> DataFrame:
+    """lot, current, capacity, pct (one decimal): plates whose newest event is an entry, kept for each plate as events come."""
     job = lambda s: s.groupBy("lot", "plate").agg(F.max(F.struct("ts", "event_id", "kind")).alias("top"))
     found = gathered(events.sparkSession, events.select("lot", "plate", "ts", "event_id", "kind"), job, "update", "occupancy", files)
     now = found.groupBy("lot", "plate").agg(F.max("top").alias("top"))
-    return now.groupBy("lot").agg(F.count_if(F.col("top.kind") == "entry").alias("current"))
+    lots = now.groupBy("lot").agg(F.count_if(F.col("top.kind") == "entry").alias("current"))
+    return lots.select("lot", "current", F.lit(capacity).cast("long").alias("capacity"), F.round(100.0 * F.col("current") / max(capacity, 1), 1).alias("pct"))
 
 
 def stream_vote(reads: DataFrame, width: int = 5, least: int = 3, files: int | None = None) -> DataFrame:
