@@ -30,6 +30,8 @@ SPECS = {
     "prf_from_counts": (matching.char_prf, ["v_det_ch", "v_truth_ch"], f"SELECT tp, fp, fn, {_PRF} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp + cls_err) AS BIGINT) AS fp, CAST(sum(fn + cls_err) AS BIGINT) AS fn FROM ({_CHARS}) c) r"),
     "decode_anchors": (matching.decode_anchors, ["v_anchors"], "SELECT frame_id, CAST(i - 1 AS BIGINT) AS at, CASE WHEN scores[1][i] >= scores[2][i] THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS cls, greatest(scores[1][i], scores[2][i]) AS conf, cx[i] - w[i] / 2 AS x1, cy[i] - h[i] / 2 AS y1, cx[i] + w[i] / 2 AS x2, cy[i] + h[i] / 2 AS y2 FROM (SELECT *, unnest(range(1, 4)) AS i FROM {v_anchors} a) q WHERE greatest(scores[1][i], scores[2][i]) >= 0.4"),
     "scan_box_labels": (files.box_labels, ["v_label_lines"], _LABELS),
+    "label_line_counts": (files.label_line_counts, ["v_label_lines"], "SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN len(f) < 5 THEN 'short' WHEN TRY_CAST(f[1] AS INT) IS NULL THEN 'unparsable' WHEN TRY_CAST(f[1] AS INT) NOT BETWEEN 0 AND 35 THEN 'class' ELSE 'kept' END AS status, count(*) AS n FROM (SELECT line, regexp_split_to_array(trim(line), '\\s+') AS f FROM {v_label_lines} l) q GROUP BY 1"),
+    "truth_line_counts": (files.truth_line_counts, ["v_truth_lines"], "SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN NOT regexp_matches(line, '[\\t,]') THEN 'unsplit' WHEN trim(regexp_extract(line, '^([^\\t,]*)[\\t,]', 1)) = '' THEN 'nameless' ELSE 'read' END AS status, count(*) AS n FROM {v_truth_lines} t GROUP BY 1"),
     "label_audit": (lambda lines: files.label_audit(files.box_labels(lines)), ["v_label_lines"], f"SELECT c AS cls_id, count(stem) AS n, CASE WHEN count(stem) = 0 THEN 'no data' END AS flag FROM range(36) r(c) LEFT JOIN ({_LABELS}) l ON l.cls_id = c GROUP BY c"),
     "scan_text_truth": (files.text_truth, ["v_truth_lines"], "SELECT name, regexp_replace(name, '\\.[^.]*$', '') AS stem, translate(upper(trim(arg_max(txt, line_no))), ' -._', '') AS text FROM (SELECT line_no, trim(regexp_extract(line, '^([^\\t,]*)[\\t,](.*)$', 1)) AS name, regexp_extract(line, '^([^\\t,]*)[\\t,](.*)$', 2) AS txt FROM {v_truth_lines} t) q WHERE name <> '' GROUP BY name"),
     "pair_samples": (files.pair_samples, ["v_truth_lines", "v_label_lines"], "SELECT DISTINCT stem FROM (SELECT CAST(line_no AS VARCHAR) AS stem FROM {v_truth_lines} t) i WHERE stem IN (SELECT stem FROM {v_label_lines} l)"),

@@ -1,12 +1,12 @@
 """Label and truth files as tables, and sinks of sessions, events and mismatches.
 
-Lines are read with ``spark.read.text``; a line that doesn't parse is left out of the result (``label_audit`` and counts of the
-lines tell how many). Empty folders give empty tables."""
+Lines are read with ``spark.read.text``; a line that doesn't parse is left out of the result (``label_line_counts`` and
+``truth_line_counts`` tell how many and why). Empty folders give empty tables."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -19,13 +19,40 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("stem", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
+def _label_parts(lines: DataFrame, classes: int) -> DataFrame:
+    """stem, line_no, the parsed fields, and status: what keeps a line out ('blank', 'short' of five fields, 'unparsable', 'class' out of range), or 'kept'."""
+    parts = lines.select("stem", "line_no", "line", F.split(F.trim("line"), r"\s+").alias("f"))
+    number = lambda i: F.get("f", F.lit(i)).try_cast("double")
+    rows = parts.select("*", F.get("f", F.lit(0)).try_cast("int").alias("cls_id"), *[number(i + 1).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))])
+    odd = F.col("cls_id").isNull() | F.col("cx").isNull() | F.col("cy").isNull() | F.col("w").isNull() | F.col("h").isNull()
+    status = (
+        F.when(F.coalesce(F.col("line").rlike(r"^\s*$"), F.lit(True)), "blank").when(F.size("f") < 5, "short").when(odd, "unparsable")
+        .when(~F.col("cls_id").between(0, classes - 1), "class").otherwise("kept")
+    )
+    return rows.withColumn("status", status)
+
+
+def _labels(parts: DataFrame) -> DataFrame:
+    kept = parts.where("status = 'kept'")
+    return kept.select("stem", "line_no", "cls_id", F.substring(F.lit(ALPHABET), F.col("cls_id") + 1, F.lit(1)).alias("ch"), "cx", "cy", "w", "h")
+
+
 def box_labels(lines: DataFrame, classes: int = 36) -> DataFrame:
     """stem, line_no, cls_id, ch, cx, cy, w, h of the lines with five numbers and a known class."""
-    parts = lines.select("stem", "line_no", F.split(F.trim("line"), r"\s+").alias("f")).where(F.size("f") >= 5)
-    number = lambda i: F.get("f", F.lit(i)).try_cast("double")
-    rows = parts.select("stem", "line_no", F.get("f", F.lit(0)).try_cast("int").alias("cls_id"), *[number(i + 1).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))])
-    rows = rows.where(F.col("cls_id").between(0, classes - 1)).dropna(subset=["cx", "cy", "w", "h"])
-    return rows.select("stem", "line_no", "cls_id", F.substring(F.lit(ALPHABET), F.col("cls_id") + 1, F.lit(1)).alias("ch"), "cx", "cy", "w", "h")
+    return _labels(_label_parts(lines, classes))
+
+
+def observed_labels(lines: DataFrame, classes: int = 36) -> tuple[DataFrame, Observation]:
+    """The rows of ``box_labels``, and a count of the lines of every status, taken in the same pass: it can be read once the rows have been
+    written or counted. A sort of the rows reads lines twice and counts them twice: write them first."""
+    counts = Observation("label lines")
+    by_status = [F.count_if(F.col("status") == s).alias(s) for s in ("kept", "blank", "short", "unparsable", "class")]
+    return _labels(_label_parts(lines, classes).observe(counts, *by_status)), counts
+
+
+def label_line_counts(lines: DataFrame, classes: int = 36) -> DataFrame:
+    """status, n: lines that are kept, and lines left out by what is wrong with them; a status without lines has no row."""
+    return _label_parts(lines, classes).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def label_audit(labels: DataFrame, classes: int = 36) -> DataFrame:
@@ -36,18 +63,29 @@ def label_audit(labels: DataFrame, classes: int = 36) -> DataFrame:
     return rows.withColumn("flag", F.when(F.col("n") == 0, "no data"))
 
 
-def text_truth(lines: DataFrame) -> DataFrame:
-    """name, stem, text (normalised) of lines 'name<TAB>text' or 'name,text'; the last line of a name counts, a header in line 1 doesn't."""
-    line = F.trim("line")
+def _truth_parts(lines: DataFrame) -> DataFrame:
+    """line_no, name, text, status: 'blank', 'header' (in line 1), 'unsplit' (neither tab nor comma), 'nameless', or 'read'."""
+    line = F.coalesce(F.trim("line"), F.lit(""))
     tab = F.instr(line, "\t")
     at = F.when(tab > 0, tab).otherwise(F.instr(line, ","))
-    header = (F.col("line_no") == 1) & (tab == 0) & F.lower(line).contains("image") & F.lower(line).contains("text")
-    rows = lines.where(~header).select("line_no", line.alias("line"), at.alias("at")).where("at > 0")
-    rows = rows.select("line_no", F.trim(F.expr("substring(line, 1, at - 1)")).alias("name"), F.expr("substring(line, at + 1)").alias("text")).where("name <> ''")
-    last = rows.groupBy("name").agg(F.max_by("text", "line_no").alias("text"))
+    header = F.coalesce((F.col("line_no") == 1) & (tab == 0) & F.lower(line).contains("image") & F.lower(line).contains("text"), F.lit(False))
+    rows = lines.select("line_no", line.alias("line"), at.alias("at"), header.alias("header"))
+    rows = rows.select("*", F.trim(F.expr("substring(line, 1, at - 1)")).alias("name"), F.expr("substring(line, at + 1)").alias("text"))
+    status = F.when(F.col("line") == "", "blank").when(F.col("header"), "header").when(F.col("at") == 0, "unsplit").when(F.col("name") == "", "nameless").otherwise("read")
+    return rows.select("line_no", "name", "text", status.alias("status"))
+
+
+def text_truth(lines: DataFrame) -> DataFrame:
+    """name, stem, text (normalised) of lines 'name<TAB>text' or 'name,text'; the last line of a name counts, a header in line 1 doesn't."""
+    last = _truth_parts(lines).where("status = 'read'").groupBy("name").agg(F.max_by("text", "line_no").alias("text"))
     return last.select("name", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), F.translate(F.upper(F.trim("text")), " -._", "").alias("text"))
 
 
+def truth_line_counts(lines: DataFrame) -> DataFrame:
+    """status, n: lines that are read, and lines left out by what is wrong with them."""
+    return _truth_parts(lines).groupBy("status").agg(F.count("*").alias("n"))
+
+
 def pair_samples(images: DataFrame, labels: DataFrame) -> DataFrame:
     """The images' stems that have a label of the same stem."""
     stems = images.select(F.col("line_no").cast("string").alias("stem")).distinct()

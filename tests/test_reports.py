@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatelens.operators import identity, percentiles, reports
+from gatelens.operators import evaluate, identity, percentiles, reports
 from gatelens.sources import files
+from gatelens.sources.views import view
 
 
 @pytest.mark.parametrize("bins", [4, 1024])
@@ -51,3 +52,29 @@ def test_a_killed_and_repeated_batch_leaves_each_row_once(spark, tmp_path):
     files.commit(batch(1, 2), path, 0)
     files.commit(batch(), path, 2)
     assert read() == [1, 2, 3, 4]
+
+
+def test_lines_left_out_are_counted_in_the_pass_that_reads_the_rest(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 0.5 0.5 0.1 0.1\n\n7 0.5\nx 0.5 0.5 0.1 0.1\n36 0.5 0.5 0.1 0.1\n2 0.5 zero 0.1 0.1\n3 .1 .2 .3 .4 extra\n   ")
+    lines = files.label_lines(spark, f"file://{tmp_path}/*.txt")
+    labels, counts = files.observed_labels(lines)
+    assert sorted(r.line_no for r in labels.collect()) == [1, 7]
+    assert counts.get == {"kept": 2, "blank": 2, "short": 1, "unparsable": 2, "class": 1}
+    assert {r.status: r.n for r in files.label_line_counts(lines).collect()} == counts.get
+    null = spark.createDataFrame([("s", 1, None)], "stem string, line_no long, line string")
+    assert files.box_labels(null).count() == 0 and [tuple(r) for r in files.label_line_counts(null).collect()] == [("blank", 1)]
+
+
+def test_truth_lines_by_what_is_wrong_with_them(spark):
+    lines = ["image,text", "a.jpg\tAB 1", "", None, "nothing here", ",X", "b.jpg,c", "image,text"]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines, 1)], "line_no long, line string")
+    assert {r.status: r.n for r in files.truth_line_counts(df).collect()} == {"header": 1, "read": 3, "blank": 2, "unsplit": 1, "nameless": 1}
+    assert {(r.name, r.text) for r in files.text_truth(df).collect()} == {("a.jpg", "AB1"), ("b.jpg", "C"), ("image", "TEXT")}
+
+
+def test_wrong_matches_have_both_origins(spark):
+    tables = [view(spark, "/root/testdata/sf0.001", v) for v in ("v_samples", "v_earlier")]
+    rows = evaluate.wrong_match_origin(*tables).collect()
+    assert {r.origin for r in rows} == {"earlier", "own"} and all((r.matched_rid < 0) == (r.origin == "earlier") for r in rows)
+    one = evaluate.wrong_match_counts(*tables).first()
+    assert one.n == len(rows) == one.by_earlier + one.by_own and one.covered == sum(r.gap is not None and r.gap > 0 for r in rows)
