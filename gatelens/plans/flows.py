@@ -10,6 +10,7 @@ from .evaluate import AVG, digest
 _COOL = "SELECT event_id, lane FROM (SELECT lane, unnest(list_reduce(seen, lambda held, x: CASE WHEN x[1].t - held[-1].t >= 86400000000 THEN list_concat(held, x) ELSE held END)).e AS event_id FROM (SELECT lane, list([{'t': epoch_us(ts), 'e': event_id}] ORDER BY ts, event_id) AS seen FROM {v_reads} r GROUP BY lane) l) q"
 _VOTE = "SELECT event_id, lane, CASE WHEN len(held) >= 3 AND top.n * 2 >= len(held) THEN top.value END AS stable FROM (SELECT *, list_max(list_transform(list_distinct(held), lambda v: {'n': len(list_filter(held, lambda x: x = v)), 'age': -list_position(held, v), 'value': v})) AS top FROM (SELECT event_id, lane, list(raw) OVER (PARTITION BY lane ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held FROM {v_reads} r WHERE raw <> '') a) b"
 _HEALTH = "SELECT lane, min(ts) AS up_from, max(ts) AS up_to, count(*) AS frames FROM (SELECT *, sum(late) OVER (PARTITION BY lane ORDER BY ts, event_id) AS period FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY lane ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS late FROM {v_reads} r) a) b GROUP BY lane, period"
+_OUTAGES = "SELECT lane, down_from, down_to FROM (SELECT lane, ts AS down_to, lag(ts) OVER (PARTITION BY lane ORDER BY ts, event_id) AS down_from FROM {v_seen} r) q WHERE down_to >= down_from + INTERVAL 6 HOUR"
 
 _RESET = _VOTE.replace("PARTITION BY lane ORDER", "PARTITION BY lane, era ORDER").replace("FROM {v_reads} r", "FROM (SELECT *, sum(CASE WHEN control = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY ts, event_id) AS era FROM {v_mode_reads} m) r")
 #: Places of a lot in ``admission_full``: fewer than the vehicles that come, so lots fill up.
@@ -23,20 +24,22 @@ _FULL = (
 )
 
 
+#: ``~`` before a view: the table's files are read as a stream.
 def specs(accepted: str, sessions: str) -> dict:
     return {
         "sink_sessions": (lambda events: files.sessions_read_back(gates.session_pairing(events), jobs.folder(events.sparkSession, "sessions")), ["v_gate"], f"SELECT * FROM ({sessions}) s WHERE exit_ts IS NOT NULL"),
         "sink_error_csv": (lambda reads: files.csv_read_back(reports.edit_cer(reads).where("cer > 0"), jobs.folder(reads.sparkSession, "errors")), ["v_reads"], "SELECT * FROM (SELECT event_id, CAST(levenshtein(base, pred) AS BIGINT) AS dist, round(levenshtein(base, pred) / greatest(length(base), 1), 6) AS cer FROM {v_reads} r) q WHERE cer > 0"),
-        "stream_embedding_avg": (lambda faces: digest(jobs.stream_embedding_avg(faces)), ["v_face_vectors"], AVG),
+        "stream_embedding_avg": (lambda faces: digest(jobs.stream_embedding_avg(faces)), ["~v_face_vectors"], AVG),
         "cooldown_suppress": (folds.cooldown_suppress, ["v_reads"], _COOL),
         "admission": (admission.admission, ["v_gate"], f"SELECT g.event_id, g.lot, CASE WHEN a.event_id IS NULL THEN -2 ELSE g.event_id END AS code FROM {{v_gate}} g LEFT JOIN ({accepted}) a ON a.event_id = g.event_id WHERE g.kind = 'entry'"),
         "admission_full": (lambda events: admission.admission(events, PLACES), ["v_gate"], _FULL),
         "entry_pipeline_batch": (folds.entry_pipeline_batch, ["v_gate_frames"], None),
         "exit_pipeline_batch": (folds.exit_pipeline_batch, ["v_gate_frames"], None),
-        "stream_latest": (jobs.stream_latest, ["v_reads"], "SELECT lane, arg_max(event_id, (ts, event_id)) AS event_id FROM {v_reads} r GROUP BY lane"),
-        "stream_fps": (jobs.stream_fps, ["v_reads"], "SELECT lane, CAST(date_trunc('second', ts) AS TIMESTAMP) AS second, count(*) AS frames FROM {v_reads} r GROUP BY ALL"),
-        "stream_camera_health": (jobs.stream_camera_health, ["v_reads"], _HEALTH),
-        "stream_occupancy": (jobs.stream_occupancy, ["v_gate"], f"SELECT lot, current, CAST(500 AS BIGINT) AS capacity, round(100.0::DOUBLE * current / 500, 1) AS pct FROM (SELECT lot, CAST(sum(CASE WHEN kind = 'entry' THEN 1 ELSE -1 END) AS BIGINT) AS current FROM ({accepted}) a GROUP BY lot) c"),
+        "stream_latest": (jobs.stream_latest, ["~v_seen"], "SELECT lane, arg_max(event_id, (ts, event_id)) AS event_id FROM {v_reads} r GROUP BY lane"),
+        "stream_fps": (jobs.stream_fps, ["~v_seen"], "SELECT lane, CAST(date_trunc('second', ts) AS TIMESTAMP) AS second, count(*) AS frames FROM {v_reads} r GROUP BY ALL"),
+        "stream_camera_health": (jobs.stream_camera_health, ["~v_seen"], _HEALTH),
+        "stream_camera_outages": (jobs.stream_camera_outages, ["~v_seen"], _OUTAGES),
+        "stream_occupancy": (jobs.stream_occupancy, ["~v_gate"], f"SELECT lot, current, CAST(500 AS BIGINT) AS capacity, round(100.0::DOUBLE * current / 500, 1) AS pct FROM (SELECT lot, CAST(sum(CASE WHEN kind = 'entry' THEN 1 ELSE -1 END) AS BIGINT) AS current FROM ({accepted}) a GROUP BY lot) c"),
         "stream_vote": (jobs.stream_vote, ["v_reads"], _VOTE),
         "stream_mode_reset": (jobs.stream_mode_reset, ["v_mode_reads"], _RESET),
         "stream_gate": (jobs.stream_gate, ["v_gate_frames"], None),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import boxes, gates, identity, reports
 from ..sources.views import VIEWS, inlined, view
 from ..streaming.counts import stream_hourly_counts
-from ..streaming.jobs import stream_gate_source
+from ..streaming.jobs import stream_gate_source, streamed
 from . import evaluate, flows, matching, search, text
 
 IOU = """CASE WHEN un > 0 THEN inter / un ELSE 0.0 END"""
@@ -67,7 +67,8 @@ SPECS |= text.SPECS | matching.SPECS | search.SPECS | evaluate.specs(ACCEPTED, S
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     operator, inputs, _ = SPECS[name]
-    return lambda spark, sf_dir: operator(*[view(spark, sf_dir, v) for v in inputs])
+    given = lambda spark, sf_dir, v: streamed(spark, sf_dir, v[1:]) if v.startswith("~") else view(spark, sf_dir, v)
+    return lambda spark, sf_dir: operator(*[given(spark, sf_dir, v) for v in inputs])
 
 
 QUERIES = {name: _query(name) for name in SPECS} | {"stream_hourly_counts": stream_hourly_counts, "stream_gate_source": stream_gate_source}

@@ -22,6 +22,7 @@ VIEWS = {
  CASE WHEN event_id % 5 = 0 THEN translate(base, '058', 'ODB') WHEN event_id % 7 = 0 THEN substring(base, 1, 8) ELSE base END AS pred
 FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 AS INT)) || CAST(user_id % 10 AS STRING) || CAST(CAST(10000 + (user_id * 7919 + floor(rn / 7) * 104729) % 89999 AS INT) AS STRING) AS base
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events} e) a) b""",
+    "v_seen": """SELECT event_id, user_id AS lane, ts FROM {events} e""",
     "v_mode_reads": """SELECT event_id, lane, ts, CASE WHEN event_id % 13 = 0 THEN '' ELSE raw END AS raw, CASE WHEN event_id % 13 = 0 THEN 'clear' END AS control FROM {v_reads} r""",
     "v_gate": """SELECT event_id, user_id % 5 AS lot, 'P' || CAST(user_id AS STRING) AS plate, ts, CASE WHEN event_type IN ('signup', 'view') THEN 'entry' ELSE 'exit' END AS kind FROM {events} e WHERE event_type <> 'error'""",
     "v_faces": """SELECT event_id AS image_id, user_id AS lane, ts, value AS blur, CAST(event_id * 7 % 256 AS DOUBLE) AS brightness, CAST(40 + event_id % 160 AS INT) AS w, CAST(40 + event_id % 120 AS INT) AS h, CAST(event_id % 3 AS INT) AS n_faces FROM {events} e""",
@@ -53,12 +54,14 @@ FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 A
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, or a view over its tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, feed: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table of the folder, or a view over its tables; ``feed`` has what stands for a table's file, a stream for instance."""
+    if feed and name in feed:
+        return feed[name]
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     names = sorted(set(re.findall(r"\{(\w+)\}", VIEWS[name])))
-    return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in names})
+    return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n, feed) for n in names})
 
 
 def inlined(sql: str) -> str:

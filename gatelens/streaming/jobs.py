@@ -1,12 +1,11 @@
 """Structured Streaming jobs over frames, reads and gate events; each equals its batch form over the same rows.
 
-``gathered`` reads a table's files as a stream, applies a job and writes every batch to its own folder of the checkpoint
-folder, so a batch that runs again replaces its own rows. Rows of one key within a batch are taken in time order;
-rows that come in a later batch than newer rows of their key are taken as they come."""
+``streamed`` is a view over a table's files read as a stream, so the table is not copied. ``gathered`` takes such a stream, or writes rows of a
+batch view out as the files of a feed, applies a job and writes every batch to its own folder of the checkpoint folder, so a batch
+that runs again replaces its own rows. Votes and averages put rows that come late in order within ``delay`` (``stateful.Reordered``)."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,15 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.folds import GATE_ROWS, Gate, gate_rows
-from ..sources.shared import folder
+from ..sources.shared import folder, written
+from ..sources.views import view
+from .stateful import STORE, Periods, Reordered
 
 
-def gathered(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, name: str, files: int | None = None) -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """The view as a stream of the folder's ``events`` files, its other tables as they are; ``files``: so many at a time at most."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    reader = spark.readStream.schema(schema)
+    feed = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/events.parq*")
+    return view(spark, sf_dir, name, {"events": feed})
+
+
+def gathered(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, name: str, files: int | None = None, at: str | None = None) -> DataFrame:
     """The rows that the job gave over all batches, with the number of their batch. The source's rows are written as a
     stream's input: one after the other in ``files`` files by time, each a batch, or as they are, all in one batch at any size:
-    files of several batches would not follow time, and rows behind the watermark would be lost."""
-    at = folder(spark, name)
+    files of several batches would not follow time, and rows behind the watermark would be lost. A stream is taken as it comes."""
+    at = at or folder(spark, name)
+    if source.isStreaming:
+        return batches_of(job(source), mode, at)
     if files:
+        source = written(source, f"{at}/feed")  # cut from there, so the view is computed once
         time = F.col("ts") if dict(source.dtypes)["ts"] == "bigint" else F.unix_micros(F.col("ts").cast("timestamp"))
         cuts = source.agg(F.percentile_approx(time, [i / files for i in range(1, files)])).first()[0] or [0]
         for i in range(len(cuts) + 1):
@@ -43,7 +55,14 @@ def batches_of(rows: DataFrame, mode: str, at: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
-    rows.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    conf, store = rows.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(store)
+    conf.set(store, STORE)  # a stream takes the settings of its start
+    try:
+        stream = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    finally:
+        conf.set(store, before)
+    stream.awaitTermination()
     try:
         return rows.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, batch int").parquet(f"{at}/rows")
     except Exception as e:  # an empty input makes no batch and no folder
@@ -82,16 +101,34 @@ def stream_fps(frames: DataFrame, files: int | None = None) -> DataFrame:
     return found.groupBy("lane", F.col("window.start").cast("timestamp_ntz").alias("second")).agg(F.max("frames").alias("frames"))
 
 
-def stream_camera_health(frames: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """lane, up_from, up_to, frames for each period in which frames follow each other within the gap. Periods are closed by
-    the watermark; the last ones by the end of the input, for which a far row of no lane stands."""
-    spark = frames.sparkSession
-    end = frames.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit(None).cast("long").alias("lane"), F.expr("ts + INTERVAL 30 DAYS").alias("ts"))
-    job = lambda s: timed(s).withWatermark("ts", "1 hour").groupBy("lane", F.session_window("ts", gap)).agg(F.min("ts").alias("up_from"), F.max("ts").alias("up_to"), F.count("*").alias("frames"))
-    rows = frames.select(F.col("lane").cast("long").alias("lane"), "ts").unionByName(end)
-    found = gathered(spark, rows, job, "append", "health").where("lane IS NOT NULL")
-    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return found.select("lane", ntz("up_from"), ntz("up_to"), "frames")
+def camera_periods(frames: DataFrame, gap: int, delay: str, files: int | None) -> DataFrame:
+    """lane, up_from, up_to, frames, down_from (the end of the lane's period before). Periods that the watermark has closed are rows of the
+    stream; those that are open where the input ends are read from the stream's state."""
+    spark, at = frames.sparkSession, folder(frames.sparkSession, "health")
+    names = ["up_from", "up_to", "frames", "down_from"]
+
+    def job(rows: DataFrame) -> DataFrame:
+        rows = timed(rows).dropna(subset=["lane", "ts"]).withWatermark("ts", delay)
+        rows = rows.select(F.col("lane").cast("long").alias("lane"), "ts", F.unix_micros("ts").alias("at"))
+        periods = Periods(gap * 1_000_000)
+        return rows.groupBy("lane").transformWithStateInPandas(periods, f"lane long, {Periods.FIELDS}", "Append", "EventTime")
+
+    closed = gathered(spark, frames.select("lane", "ts"), job, "append", "health", files, at).select("lane", *names)
+    state = spark.read.format("statestore").option("stateVarName", "open").load(f"{at}/state")
+    still = state.select(F.col("key.lane").alias("lane"), *[F.col(f"list_element.{n}").alias(n) for n in names])
+    instant = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return closed.unionByName(still).select("lane", *[F.col(n) if n == "frames" else instant(n) for n in names])
+
+
+def stream_camera_health(frames: DataFrame, gap: int = 21_600, delay: str = "1 hour", files: int | None = None) -> DataFrame:
+    """lane, up_from, up_to, frames for each period in which frames follow each other within ``gap`` seconds."""
+    return camera_periods(frames, gap, delay, files).drop("down_from")
+
+
+def stream_camera_outages(frames: DataFrame, gap: int = 21_600, delay: str = "1 hour", files: int | None = None) -> DataFrame:
+    """lane, down_from (the last frame before), down_to (the first after) for each time without a frame for ``gap`` seconds or more."""
+    outages = camera_periods(frames, gap, delay, files).where("down_from IS NOT NULL")
+    return outages.select("lane", "down_from", F.col("up_from").alias("down_to"))
 
 
 def stream_occupancy(events: DataFrame, files: int | None = None, capacity: int = 500) -> DataFrame:
@@ -103,27 +140,38 @@ def stream_occupancy(events: DataFrame, files: int | None = None, capacity: int
     return lots.select("lot", "current", F.lit(capacity).cast("long").alias("capacity"), F.round(100.0 * F.col("current") / max(capacity, 1), 1).alias("pct"))
 
 
-def stream_vote(reads: DataFrame, width: int = 5, least: int = 3, files: int | None = None) -> DataFrame:
-    """event_id, lane, stable for every read that isn't empty; a row whose ``control`` is 'clear' empties the lane's votes."""
+def reordered(rows: DataFrame, processor: Reordered, schema: str, delay: str, name: str, files: int | None) -> DataFrame:
+    """The last answer of each id. rows: lane, ts, then the processor's row."""
+
+    def job(stream: DataFrame) -> DataFrame:
+        stream = timed(stream).dropna(subset=["lane", "ts"]).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+        return stream.groupBy("lane").transformWithStateInPandas(processor, schema, "Update", "EventTime")
+
+    found = gathered(rows.sparkSession, rows, job, "update", name, files)
+    first, *others = processor.answer
+    last = found.groupBy(first).agg(F.max_by(F.struct(*others), "batch").alias("last"))
+    return last.select(first, "last.*")
+
+
+def stream_vote(reads: DataFrame, width: int = 5, least: int = 3, files: int | None = None, delay: str = "1 day") -> DataFrame:
+    """event_id, lane, stable for every read that isn't empty; a row whose ``control`` is 'clear' empties the lane's votes. Reads come
+    in any order within ``delay``; event_id tells them apart."""
 
-    def vote(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one lane's reads of one batch
-        out = []
-        for event, raw, control in zip(rows["event_id"], rows["raw"], rows["control"]):
-            if control == "clear":
-                held = []
-            elif raw:
-                held = [*held, raw][-width:]
-                top = max(held, key=lambda v: (held.count(v), -held.index(v)))
-                out.append((event, key[0], top if len(held) >= least and 2 * held.count(top) >= len(held) else None))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["event_id", "lane", "stable"])
+    def vote(held: list[tuple], row: tuple) -> tuple[list[tuple], tuple | None]:
+        raw, control = row[2:]
+        if control == "clear":
+            return [], None
+        if not raw:
+            return held, None
+        held = [*held, (raw,)][-width:]
+        top = max(held, key=lambda v: (held.count(v), -held.index(v)))
+        return held, (top[0] if len(held) >= least and 2 * held.count(top) >= len(held) else None,)
 
     if "control" not in reads.columns:
         reads = reads.withColumn("control", F.lit(None).cast("string"))
-    job = lambda s: s.groupBy("lane").applyInPandasWithState(vote, "event_id long, lane long, stable string", "held array<string>", "append", "NoTimeout")
-    return gathered(reads.sparkSession, reads.select("event_id", "lane", "ts", "raw", "control"), job, "append", "vote", files).drop("batch")
+    processor = Reordered(vote, "at long, event_id long, raw string, control string", "raw string", ["event_id", "lane", "stable"])
+    rows = reads.select("event_id", F.col("lane").cast("long").alias("lane"), "ts", "raw", "control")
+    return reordered(rows, processor, "event_id long, lane long, stable string", delay, "vote", files)
 
 
 def stream_mode_reset(reads: DataFrame, files: int | None = None) -> DataFrame:
@@ -132,27 +180,26 @@ def stream_mode_reset(reads: DataFrame, files: int | None = None) -> DataFrame:
     return stream_vote(reads, files=files)
 
 
-def stream_embedding_avg(faces: DataFrame, width: int = 3, files: int | None = None) -> DataFrame:
-    """image_id, lane, avg for every face with a quality; a row whose ``control`` is 'clear' forgets the lane's faces."""
+def stream_embedding_avg(faces: DataFrame, width: int = 3, files: int | None = None, delay: str = "1 day") -> DataFrame:
+    """image_id, lane, avg for every face with a quality; a row whose ``control`` is 'clear' forgets the lane's faces. Faces come
+    in any order within ``delay``; image_id tells them apart."""
 
-    def average(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "image_id"])  # one lane's faces of one batch
-        out = []
-        for image, quality, face, control in zip(rows["image_id"], rows["quality"], rows["embedding"], rows["control"]):
-            if control == "clear":
-                held = []
-            elif quality == quality and quality is not None and face is not None:
-                held = [*held, (float(quality), [float(x) for x in face])][-width:]
-                out.append((image, key[0], Gate.mean(held)))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["image_id", "lane", "avg"])
+    def average(held: list[tuple], row: tuple) -> tuple[list[tuple], tuple | None]:
+        quality, face, control = row[2:]
+        if control == "clear":
+            return [], None
+        if quality is None or quality != quality or face is None:
+            return held, None
+        held = [*held, (float(quality), [float(x) for x in face])][-width:]
+        return held, (Gate.mean(held),)
 
     if "control" not in faces.columns:
         faces = faces.withColumn("control", F.lit(None).cast("string"))
-    job = lambda s: s.groupBy("lane").applyInPandasWithState(average, "image_id long, lane long, avg array<double>", "held string", "append", "NoTimeout")
-    rows = faces.select("image_id", "lane", "ts", "quality", F.col("embedding").cast("array<double>").alias("embedding"), "control")
-    return gathered(faces.sparkSession, rows, job, "append", "average", files).drop("batch")
+    fields = "at long, image_id long, quality double, embedding array<double>, control string"
+    processor = Reordered(average, fields, "quality double, embedding array<double>", ["image_id", "lane", "avg"])
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    rows = faces.select("image_id", F.col("lane").cast("long").alias("lane"), "ts", F.col("quality").cast("double").alias("quality"), vector, "control")
+    return reordered(rows, processor, "image_id long, lane long, avg array<double>", delay, "average", files)
 
 
 def stream_gate(frames: DataFrame, capacity: int = 500, files: int | None = None) -> DataFrame:
