@@ -182,12 +182,53 @@ def parse_vectors(rows: DataFrame, dim: int = 3) -> DataFrame:
 
 
 def string_eval(reads: DataFrame) -> DataFrame:
-    """One row over the reads whose true text is a plate: n, exact_raw, exact_plate, pass_pred, mean_dist, mean_cer."""
+    """One row over the reads whose true text is a plate: n, exact_raw, exact_plate, pass_pred, pass_truth, mean_dist, mean_cer, mean_conf (of the
+    reads that have a ``conf``; null if none has)."""
     plate = lambda c: F.when(~bare(F.col(c)).rlike("^[0-9]{5}(NN|NG|QT|CV)000$"), first_format(bare(F.col(c)), FORMATS)[0])
-    rows = reads.select("base", "pred", plate("base").alias("want"), plate("pred").alias("got")).where("want IS NOT NULL")
+    conf = F.col("conf") if "conf" in reads.columns else F.lit(None).cast("double")
+    rows = reads.select("base", "pred", conf.alias("conf"), plate("base").alias("want"), plate("pred").alias("got")).where("want IS NOT NULL")
     dist = F.levenshtein("base", "pred")
     r = lambda c: F.round(F.avg(c), 6)
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("base") == F.col("pred")).alias("exact_raw"), F.count_if(F.col("want") == F.col("got")).alias("exact_plate"), F.count_if(F.col("got").isNotNull()).alias("pass_pred"), r(dist).alias("mean_dist"), r(dist / F.greatest(F.length("base"), F.lit(1))).alias("mean_cer"))
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("base") == F.col("pred")).alias("exact_raw"),
+        F.count_if(F.col("want") == F.col("got")).alias("exact_plate"),
+        F.count_if(F.col("got").isNotNull()).alias("pass_pred"),
+        F.count("want").alias("pass_truth"),
+        r(dist).alias("mean_dist"),
+        r(dist / F.greatest(F.length("base"), F.lit(1))).alias("mean_cer"),
+        r("conf").alias("mean_conf"),
+    )
+
+
+def wrong_reads(chars: DataFrame, reads: DataFrame) -> DataFrame:
+    """event_id, truth (text), chars (array of pos, ch, conf in reading order) of the reads whose characters don't spell the true text. One shuffle
+    by event_id; an array holds the characters of one read. Characters without a place or a letter are left out, equal places go
+    by letter; a read without characters or without a true text has no row; a repeated event_id of ``reads`` has a row for each."""
+    spelt = chars.where("pos IS NOT NULL AND ch IS NOT NULL").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ch", "conf"))).alias("chars"))
+    text = F.array_join(F.transform("chars", lambda c: c.ch), "")
+    rows = spelt.join(reads.where("base IS NOT NULL").select("event_id", F.col("base").alias("truth")), "event_id")
+    return rows.withColumn("text", text).where("text <> truth")
+
+
+def char_confidence(chars: DataFrame, reads: DataFrame) -> DataFrame:
+    """event_id, pos (from 1), seen, mended, truth (null beyond its end), changed (by the repair), wrong (after it), conf for every
+    character of the reads that aren't right."""
+    rows = wrong_reads(chars, reads).withColumn("mended", F.split(repaired(F.col("text")), ""))
+    rows = rows.select("event_id", "mended", F.split("truth", "").alias("truth"), F.posexplode("chars").alias("at", "c"))
+    rows = rows.select("event_id", (F.col("at") + 1).cast("long").alias("pos"), F.col("c.ch").alias("seen"), F.get("mended", "at").alias("mended"), F.get("truth", "at").alias("truth"), F.col("c.conf").alias("conf"))
+    return rows.select("event_id", "pos", "seen", "mended", "truth", (F.col("mended") != F.col("seen")).alias("changed"), (~F.col("mended").eqNullSafe(F.col("truth"))).alias("wrong"), "conf")
+
+
+def weakest_chars(chars: DataFrame, reads: DataFrame) -> DataFrame:
+    """event_id, pos, ch, conf of the least confident character of every read that isn't right, the first on ties, and mean_conf over all of its
+    characters; characters without a confidence don't count, and where none has one there is no row."""
+    known = F.filter("chars", lambda c: c.conf.isNotNull())
+    rows = wrong_reads(chars, reads).withColumn("known", known).where("size(known) > 0")
+    # a fold with a strict comparison keeps the first of equals
+    least = F.aggregate("known", F.get("known", F.lit(0)), lambda low, c: F.when(c.conf < low.conf, c).otherwise(low))
+    rows = rows.withColumn("least", least).withColumn("mean_conf", F.round(_mean(F.transform("known", lambda c: c.conf)), 6))
+    return rows.select("event_id", "least.pos", "least.ch", "least.conf", "mean_conf")
 
 
 def char_position_diff(reads: DataFrame) -> DataFrame:

@@ -68,6 +68,8 @@ SPECS = {
     "best_variant": (text.best_variant, ["v_variants"], "SELECT crop_id, coalesce(text, '') AS text, coalesce(conf, 0) AS conf FROM (SELECT DISTINCT crop_id FROM {v_variants} a) c LEFT JOIN (SELECT crop_id, text, conf FROM {v_variants} v WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY crop_id ORDER BY conf DESC, variant) = 1) b USING (crop_id)"),
     "ocr_line_merge": (text.ocr_line_merge, ["v_variants"], "SELECT crop_id, upper(replace(string_agg(text, '' ORDER BY variant), ' ', '')) AS text, round(avg(coalesce(score, 0.5::DOUBLE)), 6) AS conf FROM {v_variants} v GROUP BY crop_id"),
     "parse_vectors": (_parsed, ["v_vector_text"], "SELECT id, CASE WHEN reason IS NULL THEN CAST(3 AS BIGINT) END AS n, CASE WHEN reason IS NULL THEN list_sum(v) END AS total, reason FROM (SELECT *, CASE WHEN body = '' THEN 'empty' WHEN len(list_filter(v, lambda x: x IS NULL)) > 0 THEN 'number' WHEN len(v) <> 3 THEN 'size' END AS reason FROM (SELECT *, list_transform(regexp_split_to_array(body, '[,\\s]+'), lambda p: try_cast(p AS DOUBLE)) AS v FROM (SELECT id, trim(regexp_replace(txt, '[\\[\\]]', '', 'g')) AS body FROM {v_vector_text} t) a) b) c"),
-    "string_eval": (text.string_eval, ["v_reads"], f"SELECT count(*) AS n, count(*) FILTER (base = pred) AS exact_raw, count(*) FILTER (want = got) AS exact_plate, count(got) AS pass_pred, round(avg(levenshtein(base, pred)), 6) AS mean_dist, round(avg(levenshtein(base, pred) / greatest(length(base), 1)), 6) AS mean_cer FROM (SELECT base, pred, {_format(_bare('base'), FORMATS, True)} AS want, {_format(_bare('pred'), FORMATS, True)} AS got FROM {{v_reads}} r) q WHERE want IS NOT NULL"),
+    "string_eval": (text.string_eval, ["v_read_conf"], f"SELECT count(*) AS n, count(*) FILTER (base = pred) AS exact_raw, count(*) FILTER (want = got) AS exact_plate, count(got) AS pass_pred, count(want) AS pass_truth, round(avg(conf), 6) AS mean_conf, round(avg(levenshtein(base, pred)), 6) AS mean_dist, round(avg(levenshtein(base, pred) / greatest(length(base), 1)), 6) AS mean_cer FROM (SELECT base, pred, conf, {_format(_bare('base'), FORMATS, True)} AS want, {_format(_bare('pred'), FORMATS, True)} AS got FROM {{v_read_conf}} r) q WHERE want IS NOT NULL"),
     "char_position_diff": (text.char_position_diff, ["v_reads"], f"SELECT * FROM (SELECT event_id, pos, nullif(pred[pos], '') AS seen, nullif(mended[pos], '') AS mended, nullif(base[pos], '') AS truth FROM (SELECT *, unnest(range(1, greatest(length(base), length(pred)) + 1)) AS pos FROM (SELECT event_id, base, pred, {_repaired('pred')} AS mended FROM {{v_reads}} r) a) b) c WHERE mended IS DISTINCT FROM truth"),
+    "char_confidence": (text.char_confidence, ["v_read_chars", "v_reads"], f"SELECT event_id, pos, ch AS seen, mended[pos] AS mended, nullif(base[pos], '') AS truth, mended[pos] <> ch AS changed, mended[pos] IS DISTINCT FROM nullif(base[pos], '') AS wrong, conf FROM {{v_read_chars}} c JOIN (SELECT event_id, base, {_repaired('pred')} AS mended FROM {{v_reads}} r WHERE base <> pred) w USING (event_id)"),
+    "weakest_chars": (text.weakest_chars, ["v_read_chars", "v_reads"], "SELECT event_id, pos, ch, conf, mean_conf FROM (SELECT event_id, pos, ch, conf, round(avg(conf) OVER (PARTITION BY event_id), 6) AS mean_conf, row_number() OVER (PARTITION BY event_id ORDER BY conf, pos) AS place FROM {v_read_chars} c JOIN (SELECT event_id FROM {v_reads} r WHERE base <> pred) w USING (event_id) WHERE conf IS NOT NULL) q WHERE place = 1"),
 }

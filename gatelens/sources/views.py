@@ -24,6 +24,9 @@ FROM (SELECT *, CAST(10 + user_id % 90 AS STRING) || chr(CAST(65 + user_id % 8 A
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events} e) a) b""",
     "v_seen": """SELECT event_id, user_id AS lane, ts FROM {events} e""",
     "v_mode_reads": """SELECT event_id, lane, ts, CASE WHEN event_id % 13 = 0 THEN '' ELSE raw END AS raw, CASE WHEN event_id % 13 = 0 THEN 'clear' END AS control FROM {v_reads} r""",
+    "v_read_conf": """SELECT event_id, base, pred, CASE WHEN event_id % 17 > 0 THEN CAST(event_id * 37 % 101 AS DOUBLE) / 101 END AS conf FROM {v_reads} r""",
+    "v_read_chars": """SELECT event_id, CAST(p.pos AS BIGINT) AS pos, substring(pred, p.pos, 1) AS ch, CASE WHEN event_id % 19 > 0 THEN CAST((event_id * 37 + p.pos * 53) % 11 AS DOUBLE) / 11 END AS conf
+ FROM {v_reads} r CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS p(pos) WHERE p.pos <= length(pred)""",
     "v_gate": """SELECT event_id, user_id % 5 AS lot, 'P' || CAST(user_id AS STRING) AS plate, ts, CASE WHEN event_type IN ('signup', 'view') THEN 'entry' ELSE 'exit' END AS kind FROM {events} e WHERE event_type <> 'error'""",
     "v_faces": """SELECT event_id AS image_id, user_id AS lane, ts, value AS blur, CAST(event_id * 7 % 256 AS DOUBLE) AS brightness, CAST(40 + event_id % 160 AS INT) AS w, CAST(40 + event_id % 120 AS INT) AS h, CAST(event_id % 3 AS INT) AS n_faces FROM {events} e""",
     "v_active": """SELECT vec_id AS id, CAST(floor(vec_id / 2) AS INT) % 5 AS lot, 'P' || CAST(CAST(floor(vec_id / 2) AS INT) AS STRING) AS plate, label AS identity, embedding FROM {embeddings} e WHERE vec_id % 2 = 0""",
