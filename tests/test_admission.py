@@ -60,3 +60,16 @@ def test_one_lot_has_many_stretches_and_the_rest_is_a_formula(spark):
 
 def test_no_events(spark):
     assert found(spark, [], 5) == set()
+
+
+def test_registered_query_equals_its_sql_where_a_lot_holds_more_than_500(spark):
+    import duckdb
+
+    from gatelens.plans.queries import ORACLE_SQL, SPECS
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, 5 * (i % 700) AS user_id, TIMESTAMP '2024-01-01' + to_minutes(i::INT) AS ts, CASE WHEN i % 9 = 8 THEN 'click' ELSE 'view' END AS event_type FROM range(1500) r(i)")
+    rows = [(e, u % 5, f"P{u}", t, "exit" if k == "click" else "entry") for e, u, t, k in con.execute("SELECT event_id, user_id, ts, event_type FROM events").fetchall()]
+    want = {tuple(r) for r in con.execute(ORACLE_SQL["admission"]).fetchall()}
+    assert {(r.event_id, r.lot, r.code) for r in SPECS["admission"][0](spark.createDataFrame(rows, SCHEMA)).collect()} == want
+    assert any(code == -1 for _, _, code in found(spark, rows, 500))
