@@ -18,3 +18,12 @@ def test_crops_at_equal_distances_fall_as_in_sql(spark, name, crops):
     chars = spark.sql(VIEWS["v_chars"], lineitem=rows).repartition(16)
     got = sorted((r.crop_id, r.text, r.conf, r.n_rows) for r in SPECS[name][0](chars).select("crop_id", "text", "conf", "n_rows").collect())
     assert len(got) == len(want) == crops and [w for w, g in zip(want, got) if w != g] == []
+
+
+def test_order_of_rows_decides_nothing(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(crop, i, "ABCDEFG"[rng.randrange(7)], rng.randrange(7) * 10.0, rng.randrange(4) + 40.0 * (i % 2), 24.0, 0.5) for crop in range(10000) for i in range(6)]
+    read = lambda given: sorted(map(tuple, SPECS["assemble_reads_midrange"][0](spark.createDataFrame(given, "crop_id long, char_id long, ch string, cx double, cy double, h double, conf double").coalesce(1)).collect()))
+    assert [p for p in zip(read(rows), read(rows[::-1])) if p[0] != p[1]] == []
