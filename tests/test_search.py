@@ -93,3 +93,17 @@ def test_two_images_that_differ_go_together(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, identity long, embedding array<double>")
     assert search.topk_similar(empty, empty).count() == 0 and search.outlier_prune(empty).count() == 0
+
+
+def test_turns_over_a_bound_take_one_job_not_a_round_each(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, 1, [float(x) for x in rng.normal(size=4)]) for i in range(150)], "id long, identity long, embedding array<double>")
+    want = sorted(map(tuple, search.outlier_prune(df).collect()))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("prune"))
+    spark.sparkContext.setJobGroup("prune", "turns")
+    try:
+        got = sorted(map(tuple, search.outlier_prune(df, bound=100).collect()))
+        assert len(got) > 50 and jobs() < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want
