@@ -78,3 +78,25 @@ def test_wrong_matches_have_both_origins(spark):
     assert {r.origin for r in rows} == {"earlier", "own"} and all((r.matched_rid < 0) == (r.origin == "earlier") for r in rows)
     one = evaluate.wrong_match_counts(*tables).first()
     assert one.n == len(rows) == one.by_earlier + one.by_own and one.covered == sum(r.gap is not None and r.gap > 0 for r in rows)
+
+
+def test_evaluations_read_the_samples_once(spark):
+    from pyspark.sql import functions as F
+
+    from gatelens.operators import evaluate
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        seen.add(1)
+        return i
+
+    mark = F.udf(counted, "long").asNondeterministic()
+    rows = [(i, f"29A{10000 + i // 4}", 1, [1.0, i % 3 - 1.0], f"29A{10000 + i // 4}", 1, [i % 5 - 2.0, 1.0]) for i in range(40)]
+    samples = spark.createDataFrame(rows, "i long, entry_raw string, entry_faces int, gallery array<double>, exit_raw string, exit_faces int, probe array<double>")
+    earlier = samples.select((-1 - F.col("i")).alias("id"), F.col("entry_raw").alias("raw"), "gallery")
+    samples = samples.withColumn("i", mark("i"))
+    for job in (lambda s: evaluate.below_thr_profile(evaluate.paired_eval(s)), evaluate.wrong_match_report, lambda s: evaluate.wrong_match_counts(s, earlier)):
+        before = seen.value
+        assert job(samples).collect()
+        assert seen.value - before == 40
