@@ -91,3 +91,20 @@ def test_bounded_percentiles(spark):
     timing = spark.range(10_001).selectExpr("'s' AS stage", "cast(id AS double) AS ms")
     exact, near = (identity.latency_summary(timing, accuracy=a).first() for a in (None, 1000))
     assert exact.n == near.n and all(abs(exact[c] - near[c]) <= 15 for c in ("p50", "p95", "p99"))
+
+
+def test_gate_in_slices_of_time_equals_one_walk(spark):
+    import random
+
+    from gatelens.operators import folds
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(2), 1_000_000 * (i // 2), rng.randrange(4), rng.choice(["entry", "exit"]), f"P{rng.randrange(3)}" if rng.random() < 0.8 else "", rng.choice([None, 0.2, 0.9]), [rng.random() for _ in range(3)]) for i in range(600)]
+    rows += [(900 + i, 7, 1_000_000 * i, None, "entry", "P1", 0.5, [1.0, 0.0, 0.0]) for i in range(4)]  # a lot that sends nothing more
+    frames = spark.createDataFrame(rows, "event_id long, lot long, ts long, lane long, kind string, plate string, quality double, embedding array<float>")
+    lots: dict = {}
+    want = [a for r in sorted(rows, key=lambda r: (r[2], r[0])) if (a := lots.setdefault(r[1], folds.Gate(2)).step(r)) is not None]
+    for most in (25, 10_000):
+        found, held = folds.gate_slices(frames.repartition(3), folds.folder(spark, "test"), 2, most=most)
+        assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 100
+        assert {r.lot for r in held.collect()} == {0, 1, 7}
