@@ -100,3 +100,18 @@ def test_evaluations_read_the_samples_once(spark):
         before = seen.value
         assert job(samples).collect()
         assert seen.value - before == 40
+
+
+def test_excluded_sets_are_counted_by_id_without_a_join(spark):
+    """A join sorted every row of a set in its tasks' memory."""
+    reads = spark.createDataFrame([(1, "12A345678"), (2, "x"), (3, None), (None, "12A345678"), (5, "y")], "event_id long, pred string")
+    chars = spark.createDataFrame([(1,), (2,), (2,), (None,), (9,)], "crop_id long")
+    boxes = spark.createDataFrame([(1,), (1,), (3,)], "frame_id long")
+    truth, sets = reports.excluded_sets(reads, chars, boxes, boxes)
+    kept = reports.pattern_exclude(truth, sets)
+    want = sorted([(name, r.id, r["count"]) for name, rows in kept.items() for r in rows.groupBy("id").count().collect()], key=repr)
+    found = reports.excluded_rows(reads, chars, boxes, boxes)
+    assert sorted(map(tuple, found.collect()), key=repr) == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r.part: (r.removed, r.kept) for r in reports.excluded_counts(reads, chars, boxes, boxes).collect()}
+    assert counts == {name: (rows.count() - kept[name].count(), kept[name].count()) for name, rows in {"truth": truth, **sets}.items()}
