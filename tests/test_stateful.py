@@ -69,3 +69,16 @@ def test_settled_reads_leave_the_buffer(spark, tmp_path, monkeypatch):
 def test_state_of_empty_feeds(spark):
     empty = spark.createDataFrame([], "event_id long, lane long, ts timestamp, raw string")
     assert jobs.stream_vote(empty).count() == 0 and jobs.stream_camera_health(empty).count() == 0
+
+
+def test_lanes_share_the_keys_of_the_state(spark, tmp_path, monkeypatch):
+    """A key of state costs the same whatever it holds, so their number must not grow with the lanes."""
+    monkeypatch.setattr(jobs, "folder", lambda session, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    reads = spark.createDataFrame([(i, i % 20, 3600 + i * 60, "AB"[i % 3 == 0]) for i in range(120)], "event_id long, lane long, ts long, raw string")
+    want = rows(gates.plate_vote(reads.withColumn("ts", F.timestamp_seconds("ts"))).select("event_id", "lane", "stable"))
+    assert rows(jobs.stream_vote(reads, files=2)) == want
+    assert rows(jobs.stream_camera_health(reads, gap=2000).select("lane", "frames")) == sorted([(lane, 6) for lane in range(20)], key=repr)
+    for name, kept in (("vote", "waiting"), ("health", "open")):
+        state = spark.read.format("statestore").option("stateVarName", kept).load(f"file://{tmp_path}/{name}/state")
+        assert state.select("list_element.lane").distinct().count() == 20 and state.select("key").distinct().count() == 2
