@@ -108,3 +108,17 @@ def test_gate_in_slices_of_time_equals_one_walk(spark):
         found, held = folds.gate_slices(frames.repartition(3), folds.folder(spark, "test"), 2, most=most)
         assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 100
         assert {r.lot for r in held.collect()} == {0, 1, 7}
+
+
+def test_lots_busy_at_different_times_are_cut_each_by_itself(spark, tmp_path):
+    """100 rows of lot 1, then 60 of lot 2: no slice may have many more than 20 rows of a lot, though all its rows lie in a part of the whole time."""
+    kinds = lambda i: "entry" if i // 4 % 2 == 0 else "exit"
+    seen = [(i, 1 + (i >= 100), 1_000_000 * i, 5, kinds(i), "P1", 0.5, [1.0, 0.0]) for i in range(160)] + [(200 + i, 3, 7_000_000 * i, 5, kinds(i), "P1", 0.5, [1.0, 0.0]) for i in range(18)]
+    frames = spark.createDataFrame(seen, "event_id long, lot long, ts long, lane long, kind string, plate string, quality double, embedding array<float>")
+    lots: dict = {}
+    want = [a for r in sorted(seen, key=lambda r: (r[2], r[0])) if (a := lots.setdefault(r[1], folds.Gate(2)).step(r)) is not None]
+    before = spark.createDataFrame([(9, folds.Gate(2).dump())], "lot long, held string")
+    found, held = folds.gate_slices(frames, f"file://{tmp_path}/at", 2, before, most=20)
+    assert rows(found) == sorted(want, key=repr) and {r.lot: r.held for r in held.collect()} == {k: g.dump() for k, g in lots.items()} | {9: folds.Gate(2).dump()}
+    sizes = spark.read.parquet(f"file://{tmp_path}/at/slices").groupBy("slice", "lot").count().collect()
+    assert max(r["count"] for r in sizes) <= 25 and sum(r["count"] for r in sizes) == len(seen)
