@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from gatelens.operators import inverted, search
+from gatelens.sources.shared import written
 from gatelens.sources.views import view
 
 from .test_search import clustered
@@ -62,3 +63,26 @@ def test_empty_and_null_sides(spark):
     one = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, None)], empty.schema)
     assert inverted.ivf_topk(empty, empty).count() == 0 and inverted.ivf_topk(one, empty).count() == 0 and inverted.ivf_topk(empty, one).count() == 0
     assert [tuple(r) for r in inverted.ivf_topk(one, one).collect()] == [(1, 1, 1, 1.0)]
+
+
+def test_a_query_goes_to_a_shelf_of_cells_once(spark, monkeypatch):
+    """Vectors without clusters, all cells probed: one copy of a query for all cells, not one for each."""
+    rng = np.random.default_rng(5)
+    rows = lambda n, first: spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 8)))], "id long, v array<double>")
+    asked, gallery = rows(30, 0), rows(400, 1000)
+    index = inverted.learned(gallery, asked, 400, 3, 0.97, 20, 11)
+    entries = sorted((r.id, inverted.units([r.v])[0]) for r in gallery.collect())
+    u = np.stack([v for _, v in entries])
+    home = index.cells(u)
+    back = np.stack([index.decoded(c, k) for c, k in zip(index.codes(u, home), home)])
+    want = set()
+    for r in asked.collect():
+        sims = np.round(back @ inverted.units([r.v])[0], 9)
+        want |= {(r.id, entries[j][0]) for j in sorted(range(400), key=lambda j: (-sims[j], entries[j][0]))[:6]}
+    for size in ({}, {"size": 64}):
+        assert {tuple(r) for r in inverted.estimated(asked, gallery, index, 6, **size).collect()} == want
+    seen = []
+    monkeypatch.setattr(inverted, "written", lambda df, at: seen.append(written(df, at)) or seen[-1])
+    inverted.estimated(asked, gallery, index, 6).count()
+    copies = seen[1].selectExpr("explode(shelf)").count() if "shelf" in seen[1].columns else seen[1].count()
+    assert copies == 30 and len(index.centres) == 20
