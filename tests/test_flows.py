@@ -122,3 +122,37 @@ def test_lots_busy_at_different_times_are_cut_each_by_itself(spark, tmp_path):
     assert rows(found) == sorted(want, key=repr) and {r.lot: r.held for r in held.collect()} == {k: g.dump() for k, g in lots.items()} | {9: folds.Gate(2).dump()}
     sizes = spark.read.parquet(f"file://{tmp_path}/at/slices").groupBy("slice", "lot").count().collect()
     assert max(r["count"] for r in sizes) <= 25 and sum(r["count"] for r in sizes) == len(seen)
+
+
+def test_state_of_a_lot_is_no_row_that_grows_with_its_lanes(spark, tmp_path):
+    import json
+
+    seen = [(i, 1, 1_000_000 * i, i % 3000, "entry", f"P{i % 3000}", 0.5, [1.0, 0.5]) for i in range(6000)]
+    frames = spark.createDataFrame(seen, "event_id long, lot long, ts long, lane long, kind string, plate string, quality double, embedding array<float>")
+    held = folds.gate_slices(frames, f"file://{tmp_path}/at", 2, most=2500)[1].collect()
+    lanes = [json.loads(r.held)[1] for r in held]
+    assert max(map(len, lanes)) <= 1000 and sorted(int(x) for own in lanes for x in own) == list(range(3000))
+    assert all(len(at["votes"]) == len(at["faces"]) == 2 for own in lanes for at in own.values())
+
+
+def test_lanes_with_states_of_their_own_equal_one_walk_over_batches(spark, tmp_path):
+    import json
+    import random
+
+    rng = random.Random(8)
+    kinds, plates = ["entry"] * 5 + ["exit"] * 5 + ["clear"], ["P1", "P2", "P3", "P4"]
+    here = lambda i: rng.randrange(12) if i // 200 % 2 else rng.randrange(6, 30)  # noqa: E731  # lanes that send nothing for a while
+    rows_of = [(i, rng.randrange(2), 1_000_000 * (i // 3), rng.choice([None, here(i), here(i)]), rng.choice(kinds) if i % 40 == 0 else rng.choice(kinds[:-1]), rng.choice([*plates, ""]), rng.choice([None, 0.2, 0.9]), [rng.random() - 0.4 for _ in range(3)]) for i in range(1500)]
+    frames = lambda part: spark.createDataFrame(part, "event_id long, lot long, ts long, lane long, kind string, plate string, quality double, embedding array<double>").repartition(3)
+    lots: dict = {}
+    want = [a for r in rows_of if (a := lots.setdefault(r[1], folds.Gate(2)).step(r)) is not None]
+    got, held = [], None
+    for n, (low, high) in enumerate([(0, 700), (700, 705), (705, 1500)]):
+        found, held = folds.gate_slices(frames(rows_of[low:high]), f"file://{tmp_path}/{n}", 2, held, most=60, lanes=3)
+        got += map(tuple, found.collect())
+    assert sorted(got) == sorted(want) and len({a[3] for a in want if a[3] < 0}) == 4 and any(a[0] == a[3] for a in want)
+    ends: dict = {}
+    for r in sorted(held.collect(), key=lambda r: r.lane is not None):
+        ends.setdefault(r.lot, folds.Gate(2)).take(r.held)
+    full = lambda gates: {lot: json.loads(g.dump()) for lot, g in gates.items()}
+    assert full(ends) == full(lots)
